@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 from hashloom.runtime import small_side, stage
 from hashloom.sources import files
 
+#: Raised whenever the files of an output table change their form; older tables are then recomputed.
+LAYOUT = 2
+
 Compute = Callable[[DataFrame], DataFrame]
 
 
@@ -55,7 +58,7 @@ class IncrementalTable:
         """
         now = stage(partition_fingerprints(source, part, columns), "fingerprints")
         old = self._state()
-        version = hashlib.md5(f"{version}{output.json()}".encode()).hexdigest()
+        version = hashlib.md5(f"{LAYOUT} {version} {output.json()}".encode()).hexdigest()
         if old is None or old["version"] != version:
             changed = now
         else:
