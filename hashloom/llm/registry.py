@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
-from hashloom.llm import heavy_hitters, top_n
+from hashloom.llm import heavy_hitters, set_join, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,19 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("value").alias("hash"), F.col("count").alias("n"), "total", F.col("count").between(F.col("low"), F.col("high")).alias("within_bounds"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of stored ids whose newest hash sets have a Jaccard similarity of 0.5 or more."""
+    return set_join.similar_pairs(table(spark, sf_dir, "fingerprints"), "id", "hashes", "0.5", "version").select("id_a", "id_b")
+
+
+def p2_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search requests whose query set overlaps a stored id by 0.5 or more, with the overlap."""
+    stored = table(spark, sf_dir, "fingerprints")
+    asked = table(spark, sf_dir, "search_requests").select(F.col("query_id").alias("id"), F.col("query").alias("hashes"), F.lit(0).alias("version"))
+    found = set_join.similar_between(asked, stored, "id", "hashes", "0.5", "version")
+    return found.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("stored_id"), F.col("overlap").cast("bigint").alias("overlap"), F.col("joined").cast("bigint").alias("joined"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first N hits of every search request, N = result_limit (null 40) within 1..100."""
     hits = table(spark, sf_dir, "search_hits")
@@ -45,15 +58,29 @@ def p7_best_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p2_between": p2_between,
     "p7_found": p7_found,
     "p7_best_by_score": p7_best_by_score,
 }
 
 _POSTINGS = "SELECT h & 4294967295 AS hash FROM (SELECT unnest(hashes) AS h FROM fingerprints) WHERE h IS NOT NULL"
 
+_SET = "list_distinct(list_transform(list_filter(hashes, lambda x: x IS NOT NULL), lambda x: x & 4294967295))"
+_STORED = f"stored AS (SELECT id, {_SET} AS s FROM (SELECT id, hashes, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM fingerprints) WHERE rn = 1)"
+_ASKED = f"asked AS (SELECT DISTINCT ON (query_id) query_id AS id, {_SET.replace('hashes', 'query')} AS s FROM search_requests)"
+
+
+def _overlaps(left: str, right: str) -> str:
+    return f"""met AS (SELECT a.id AS ia, b.id AS ib, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+FROM (SELECT id, len(s) AS n, unnest(s) AS h FROM {left}) a JOIN (SELECT id, len(s) AS n, unnest(s) AS h FROM {right}) b ON a.h = b.h {"AND a.id < b.id" if left == right else ""} GROUP BY 1, 2)"""
+
+
 ORACLES = {
     "p1_found": f"WITH p AS ({_POSTINGS}) SELECT hash FROM p GROUP BY hash HAVING count(*) * 1000 >= 2 * (SELECT count(*) FROM p)",
     "p1_counts": f"WITH p AS ({_POSTINGS}) SELECT hash, count(*) AS n, (SELECT count(*) FROM p) AS total, true AS within_bounds FROM p GROUP BY hash HAVING count(*) * 10000 >= 5 * (SELECT count(*) FROM p)",
+    "p2_found": f"WITH {_STORED}, {_overlaps('stored', 'stored')} SELECT ia AS id_a, ib AS id_b FROM met WHERE k * 2 >= na + nb - k",
+    "p2_between": f"WITH {_STORED}, {_ASKED}, {_overlaps('asked', 'stored')} SELECT ia AS query_id, ib AS stored_id, k AS overlap, na + nb - k AS joined FROM met WHERE k * 2 >= na + nb - k",
     "p7_found": """
 WITH newest AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, id ORDER BY commit_id DESC NULLS LAST, score DESC) AS rn FROM search_hits WHERE score IS NOT NULL),
   ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM newest WHERE rn = 1),
