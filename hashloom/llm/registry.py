@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
-from hashloom.llm import heavy_hitters, set_join, top_n
+from hashloom.llm import heavy_hitters, near_dups, set_join, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def p2_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("stored_id"), F.col("overlap").cast("bigint").alias("overlap"), F.col("joined").cast("bigint").alias("joined"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of pending inserts linked by a Jaccard similarity of 0.8 or more."""
+    return near_dups.groups(table(spark, sf_dir, "pending_inserts"), "id", "hashes", "0.8").select("id", "group_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first N hits of every search request, N = result_limit (null 40) within 1..100."""
     hits = table(spark, sf_dir, "search_hits")
@@ -60,6 +65,7 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p2_found": p2_found,
     "p2_between": p2_between,
+    "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_best_by_score": p7_best_by_score,
 }
@@ -81,6 +87,10 @@ ORACLES = {
     "p1_counts": f"WITH p AS ({_POSTINGS}) SELECT hash, count(*) AS n, (SELECT count(*) FROM p) AS total, true AS within_bounds FROM p GROUP BY hash HAVING count(*) * 10000 >= 5 * (SELECT count(*) FROM p)",
     "p2_found": f"WITH {_STORED}, {_overlaps('stored', 'stored')} SELECT ia AS id_a, ib AS id_b FROM met WHERE k * 2 >= na + nb - k",
     "p2_between": f"WITH {_STORED}, {_ASKED}, {_overlaps('asked', 'stored')} SELECT ia AS query_id, ib AS stored_id, k AS overlap, na + nb - k AS joined FROM met WHERE k * 2 >= na + nb - k",
+    "p3_found": f"""WITH RECURSIVE pending AS (SELECT DISTINCT ON (id) id, {_SET} AS s FROM pending_inserts), {_overlaps('pending', 'pending')},
+  links AS (SELECT ia AS u, ib AS v FROM met WHERE k * 5 >= (na + nb - k) * 4), sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+  reach AS (SELECT u, v FROM sym UNION SELECT r.u, s.v FROM reach r JOIN sym s ON r.v = s.u)
+SELECT u AS id, min(v) AS group_id FROM reach GROUP BY u""",
     "p7_found": """
 WITH newest AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, id ORDER BY commit_id DESC NULLS LAST, score DESC) AS rn FROM search_hits WHERE score IS NOT NULL),
   ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM newest WHERE rn = 1),
