@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
-from hashloom.llm import heavy_hitters, near_dups, set_join, top_n
+from hashloom.llm import contamination, heavy_hitters, near_dups, set_join, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def p7_best_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n.top_n(hits, "query_id", "score", ["id"], 10).select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 15 or more consecutive words of a test item."""
+    items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
+    return contamination.leaks(items, "item_id", "text", docs, "doc_id", "text").select("item_id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -68,6 +74,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_best_by_score": p7_best_by_score,
+    "p8_found": p8_found,
 }
 
 _POSTINGS = "SELECT h & 4294967295 AS hash FROM (SELECT unnest(hashes) AS h FROM fingerprints) WHERE h IS NOT NULL"
