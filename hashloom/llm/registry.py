@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
-from hashloom.llm import contamination, heavy_hitters, near_dups, set_join, top_n
+from hashloom.llm import contamination, heavy_hitters, language, near_dups, set_join, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(items, "item_id", "text", docs, "doc_id", "text").select("item_id", "doc_id")
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> language.Profiles:
+    return language.train(table(spark, sf_dir, "lang_samples"), "sample_id", "lang", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label or with several languages."""
+    return language.wrong_labels(_profiles(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "lang").distinct()
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every one-language segment of every document with its confidence."""
+    return language.segments(_profiles(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -75,6 +89,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_best_by_score": p7_best_by_score,
     "p8_found": p8_found,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 
 _POSTINGS = "SELECT h & 4294967295 AS hash FROM (SELECT unnest(hashes) AS h FROM fingerprints) WHERE h IS NOT NULL"
