@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
-from hashloom.llm import contamination, heavy_hitters, language, near_dups, set_join, top_n
+from hashloom.llm import contamination, heavy_hitters, language, mixing, near_dups, set_join, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(items, "item_id", "text", docs, "doc_id", "text").select("item_id", "doc_id")
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every copy of a document in the mixture."""
+    chosen, _ = _mixture(spark, sf_dir)
+    return chosen.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each listed source gives to the mixture, against its target."""
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> language.Profiles:
     return language.train(table(spark, sf_dir, "lang_samples"), "sample_id", "lang", "text")
 
@@ -89,6 +104,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_best_by_score": p7_best_by_score,
     "p8_found": p8_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
