@@ -41,7 +41,7 @@ PROFILE = 2000
 #: Cost of a change of language, in n-grams of greatest distance.
 SWITCH = 3.0
 #: Characters handled at once, but for a longer single text.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 250_000
 
 _CUT, _DROP = 254, 255
 
