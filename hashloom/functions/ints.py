@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 U32_MAX = 4294967295
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row; the planner inlines a named column into every turn of a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def u32(value: Column) -> Column:
     """A hash that may be held as a signed 32-bit number, as u32 in a BIGINT."""
     return value.bitwiseAND(F.lit(U32_MAX))

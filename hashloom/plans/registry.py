@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from hashloom.plans import pipeline
+from hashloom.plans import pipeline, searches
 
 
 def queries() -> dict:
-    return dict(pipeline.QUERIES)
+    return {**searches.QUERIES, **pipeline.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return dict(pipeline.ORACLES)
+    return {**searches.ORACLES, **pipeline.ORACLES}
