@@ -63,3 +63,20 @@ def read_json(spark: SparkSession, path: str):
 
 def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, sort_keys=True))
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _fs(spark, source)
+    _, q = _fs(spark, target)
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or a folder with all it holds."""
+    fs, p = _fs(spark, source)
+    to_fs, q = _fs(spark, target)
+    to_fs.mkdirs(q.getParent())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, q, False, True, conf)
