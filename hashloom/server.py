@@ -12,7 +12,7 @@ from hashloom.catalog import Catalog
 from hashloom.functions.ints import U32_MAX
 from hashloom.functions.msgpack import pack, unpack
 from hashloom.index import delete, insert
-from hashloom.operators.search import DEFAULT_LIMIT, DEFAULT_PCT, DEFAULT_TIMEOUT_MS, SearchOptions
+from hashloom.operators.search import DEFAULT_LIMIT, DEFAULT_PCT, MOST_TIMEOUT_MS, SearchOptions
 from hashloom.runtime import new_folder
 from hashloom.sources.feed import BATCH, Feed
 
@@ -45,7 +45,7 @@ def _is_u32(value) -> bool:
     return isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= U32_MAX
 
 
-def search_request(body: dict) -> tuple[list[int], SearchOptions, int]:
+def search_request(body: dict, default_timeout_ms: int) -> tuple[list[int], SearchOptions, int]:
     body = lengthen(body, ("query", "timeout", "limit", "min_score", "score_pct"))
     query = body.get("query")
     _need(isinstance(query, list) and all(map(_is_u32, query)))
@@ -55,7 +55,7 @@ def search_request(body: dict) -> tuple[list[int], SearchOptions, int]:
         limit=DEFAULT_LIMIT if numbers["limit"] is None else numbers["limit"], min_score=numbers["min_score"],
         score_pct=DEFAULT_PCT if numbers["score_pct"] is None else numbers["score_pct"],
     )
-    return query, options, DEFAULT_TIMEOUT_MS if numbers["timeout"] is None else numbers["timeout"]
+    return query, options, default_timeout_ms if numbers["timeout"] is None else numbers["timeout"]
 
 
 def parsed_change(value: dict) -> dict:
@@ -182,7 +182,7 @@ class IndexHandler(_Handler):
         self._send({"ready": b"OK\n", "loading": b"LOADING\n", "missing": b""}[state], "text/plain", {"ready": 200, "loading": 503, "missing": 404}[state])
 
     def search(self, name: str) -> None:
-        query, options, timeout = search_request(self._body())
+        query, options, timeout = search_request(self._body(), self.server.default_timeout_ms)
         self._answer({"results": self.catalog.serving(name).search(query, options, timeout)})
 
     def update(self, name: str) -> None:
@@ -324,8 +324,9 @@ class FeedHandler(_Handler):
 class IndexServer(ThreadingHTTPServer):
     daemon_threads = True
 
-    def __init__(self, catalog: Catalog, address: tuple[str, int], replica=None) -> None:
-        self.catalog, self.replica = catalog, replica
+    def __init__(self, catalog: Catalog, address: tuple[str, int], replica=None, default_timeout_ms: int = MOST_TIMEOUT_MS) -> None:
+        """``default_timeout_ms`` holds for searches that name none; a search is a Spark job, so it is the greatest allowed."""
+        self.catalog, self.replica, self.default_timeout_ms = catalog, replica, default_timeout_ms
         super().__init__(address, IndexHandler)
 
 
