@@ -1,3 +1,10 @@
 """hashloom: set-overlap search and change-log state as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in executors travel with their tasks: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

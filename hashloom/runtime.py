@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,14 @@ def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> Dat
     """
     staged = stage(df, label)
     return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
+class Shared:
+    """A value broadcast to executors that don't have this package: its classes travel with it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self._sent.value)
