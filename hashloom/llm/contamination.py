@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.words import words
-from hashloom.runtime import stage
+from hashloom.runtime import Shared, stage
 
 RUN = 15
 K1, B = 1.2, 0.75
@@ -249,7 +249,7 @@ def leaks(items: DataFrame, item: str, item_text: str, docs: DataFrame, doc: str
         index = build_index([(r[0], r[1]) for r in own.select("item_id", "text").collect()], run)
         if index is None:
             continue
-        part = texts.mapInArrow(_search(spark.sparkContext.broadcast(index), to_arrow_type(kind), to_arrow_type(key)), schema)
+        part = texts.mapInArrow(_search(Shared(spark, index), to_arrow_type(kind), to_arrow_type(key)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)

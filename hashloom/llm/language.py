@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.runtime import Shared
+
 TRAIN_ROWS = 20_000
 LONGEST = 4
 #: n-grams of a profile, and of a text that are compared with it.
@@ -298,7 +300,7 @@ def segments(profiles: Profiles, docs: DataFrame, doc: str, text: str) -> DataFr
     """``(doc_id, segment, begin, chars, lang, confidence)``: the one-language segments of every text, numbered from 0."""
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null and length(text) > 0")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, segment bigint, begin bigint, chars bigint, lang string, confidence double"
-    return rows.mapInArrow(_segments(docs.sparkSession.sparkContext.broadcast(profiles)), schema)
+    return rows.mapInArrow(_segments(Shared(docs.sparkSession, profiles)), schema)
 
 
 def document_languages(profiles: Profiles, docs: DataFrame, doc: str, text: str, label: str, least: float = 0.1) -> DataFrame:
@@ -308,7 +310,7 @@ def document_languages(profiles: Profiles, docs: DataFrame, doc: str, text: str,
     """
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and length(text) > 0")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label string, lang string, share double, main_lang string, several boolean, confidence double"
-    return rows.mapInArrow(_documents(docs.sparkSession.sparkContext.broadcast(profiles), least), schema)
+    return rows.mapInArrow(_documents(Shared(docs.sparkSession, profiles), least), schema)
 
 
 def wrong_labels(profiles: Profiles, docs: DataFrame, doc: str, text: str, label: str, least: float = 0.1) -> DataFrame:

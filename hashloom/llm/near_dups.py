@@ -10,15 +10,17 @@ that bound is discarded; survivors are verified on the sets. Two tables are used
   distance to one is, up to a constant, the sum of +1 and -1 over its tokens. They are
   bytes (clipped, which shrinks differences only) in four longs on every row.
 - references from the data: sets can be similar only if they share a rare prefix token
-  (see ``prefix``), so each token held by several sets takes its smallest id as
-  reference, and the exact distance of each holder to it is computed. That is as many
-  distances as prefix tokens, not pairs.
-
-Holders within the bound of their reference are linked to it at once. Only pairs in
-which one side is not yet in the reference's component are then compared, through both
-tables, so a group of near copies that holds a third of all rows costs one distance per
-member and never its square. Exact copies are one class from the start. Linked classes
-form groups by connected components.
+  (see ``prefix``), so each token held by several sets takes one of its holders as
+  reference, one with few edits, and the exact distance of each holder to it is computed.
+  That is as many distances as prefix tokens, not pairs.
+
+Holders within the bound of their reference are linked to it at once. Where many holders
+of a token are still outside the token's largest component, one of them becomes a further
+reference, a few times at most. The pairs left to compare have at least one side outside the
+largest component of their token; they pass through both tables, and survivors are verified.
+So a group of near copies that holds a third of all rows costs a few distances per member
+and not its square. Exact copies are one class from the start. Linked classes form groups
+by connected components.
 
 Defined results: sets ignore order, repeats and nulls; null and empty sets and null ids
 are in no group; an id delivered several times counts once, with its greatest set; ties
@@ -41,6 +43,8 @@ from hashloom.llm.prefix import ordered_prefixes, sets_by_id, token_loads
 from hashloom.llm.set_join import classes_of, verified
 from hashloom.runtime import stage
 
+#: References per token at most, and the pairs per key that are compared rather than a further reference taken.
+TURNS, WORTH = 6, 16
 #: Longs of eight coordinates each.
 PACKS = 4
 _PACKED = [f"c{i}" for i in range(PACKS)]
@@ -103,31 +107,60 @@ def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("id", "ref", (F.size("ta") + F.size("tb") - 2 * F.size(F.array_intersect("ta", "tb"))).alias("distance"))
 
 
+def _near(table: DataFrame, sizes: DataFrame, up: int, down: int) -> DataFrame:
+    """Links ``(u, v)`` of pairs whose distance is within the bound."""
+    both = table.join(sizes.select("id", "n"), "id").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("m")), "ref")
+    return both.where(f"distance * {up + down}L <= (n + m) * {down - up}L").select(F.col("id").alias("u"), F.col("ref").alias("v"))
+
+
+def _placed(held: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(holders with their component ``root``, tokens with the component ``top`` of most of their holders and the ``strays`` outside it)."""
+    rows = stage(held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "holders")
+    sizes = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("holders"))
+    return rows, stage(tops.select("token", F.col("top.root").alias("top"), "holders", (F.col("holders") - F.col("top.n")).alias("strays")), "tops")
+
+
+def _most_central(rows: DataFrame) -> DataFrame:
+    """``(token, ref)``: the holder most of whose prefix tokens others hold too, so one with few edits; then the smallest id."""
+    return rows.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("r")).select("token", (-F.col("r.minus")).alias("ref"))
+
+
 def class_links(classes: DataFrame, threshold: str) -> DataFrame:
-    """Links ``(u, v)`` that connect exactly the classes that all similar pairs would connect."""
+    """Links ``(u, v)`` that connect exactly the classes that all similar pairs would connect; ids are numbers."""
     share = Fraction(threshold)
     up, down = share.numerator, share.denominator
     keys = stage(pivot_keys(classes, token_loads(classes), up, down), "pivot-keys")
-    buckets = keys.groupBy("token").agg(F.min("id").alias("ref"), F.count("*").alias("holders")).where("holders > 1")
-    held = stage(keys.join(buckets, "token"), "held-keys")
-    # Distance of each holder to the reference of each of its tokens.
-    table = stage(_distances(held.where("id <> ref").select("id", "ref").distinct(), classes), "distances")
+    shared = keys.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    met = stage(keys.join(shared, "token"), "shared-keys")
+    held = stage(met.join(met.groupBy("id").agg(F.count("*").alias("central")), "id"), "held-keys")
     sizes = classes.select("id", F.size("tokens").alias("n"))
-    near = table.join(sizes, "id").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("m")), "ref").where(f"distance * {up + down}L <= (n + m) * {down - up}L")
-    stars = stage(near.select(F.col("id").alias("u"), F.col("ref").alias("v")), "star-links")
-    roots = connected(stars)
-    # Holders of tokens that more than two sets hold, with their distance to the reference and their component so far.
-    rest = held.where("holders > 2").join(table, ["id", "ref"], "left").withColumn("distance", F.coalesce("distance", F.lit(0)))
-    rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = rest.join(roots.select(F.col("id").alias("ref"), F.col("root").alias("ref_root")), "ref", "left").withColumn("ref_root", F.coalesce("ref_root", "ref"))
-    rest = stage(rest.drop("holders"), "holders")
-    strays = rest.where("root <> ref_root").alias("x")
-    met = strays.join(rest.alias("y"), F.col("x.token") == F.col("y.token")).where(
-        f"x.root <> y.root and (y.root = y.ref_root or x.id < y.id) and {_lengths(up, down)} and abs(x.distance - y.distance) * {up + down}L <= (x.size + y.size) * {down - up}L and {_within(up, down)}"
+    every = held.count()
+    refs = _most_central(held)
+    links, first = None, None
+    for turn in range(TURNS):
+        # Distance of each holder to the reference of each of its tokens.
+        table = stage(_distances(held.join(refs, "token").where("id <> ref").select("id", "ref").distinct(), classes), "distances")
+        if first is None:
+            first = stage(held.join(refs, "token").select("id", "token", "ref"), "references").join(table, ["id", "ref"], "left").select("id", "token", F.coalesce("distance", F.lit(0)).alias("distance"))
+        near = _near(table, sizes, up, down)
+        roots = connected(near if links is None else links.unionByName(near))
+        links = roots.select(F.col("id").alias("u"), F.col("root").alias("v"))
+        rows, tops = _placed(held, roots)
+        cost = tops.agg(F.sum(F.col("strays") * F.col("holders"))).first()[0] or 0
+        if cost <= WORTH * every or turn == TURNS - 1:
+            break
+        # Tokens with many holders outside their largest component take one of these as a further reference.
+        left = rows.join(tops.where(f"strays > {WORTH}"), "token")
+        refs = _most_central(left.where("root <> top"))
+    strayed = rows.join(first, ["id", "token"]).join(tops.where("strays > 0 and holders > 2").select("token", "top"), "token")
+    strayed = stage(strayed.withColumn("stray", F.col("root") != F.col("top")), "strayed")
+    pairs = strayed.where("stray").alias("x").join(strayed.alias("y"), F.col("x.token") == F.col("y.token")).where(
+        f"x.root <> y.root and (not y.stray or x.id < y.id) and {_lengths(up, down)} and abs(x.distance - y.distance) * {up + down}L <= (x.size + y.size) * {down - up}L and {_within(up, down)}"
     )
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     others = verified(pairs, classes, classes, up, down).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(others)
+    return links.unionByName(others)
 
 
 def groups(rows: DataFrame, item: str, hashes: str, threshold: str = "0.8") -> DataFrame:
