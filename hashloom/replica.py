@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,8 @@ from hashloom.index import Index, read_snapshot_header
 from hashloom.operators.changelog import folded_meta, ranked_donors, stale
 from hashloom.runtime import new_folder
 from hashloom.sources.feed import Feed
-from hashloom.streaming.consumer import Consumer
+from hashloom.sources.remote import RemoteFeed
+from hashloom.streaming.consumer import Consumer, PollingConsumer
 
 
 @dataclass(frozen=True)
@@ -30,11 +32,16 @@ class Peer:
             return (self.base_url, 0, 0, False)
         return (self.base_url, status["generation"], status["file_version"], True)
 
+    def snapshot(self, name: str) -> tuple[str, dict]:
+        """(where a fresh snapshot lies in the shared store, its header)."""
+        target = new_folder(self.catalog.spark, f"snapshot-{name}")
+        return target, self.catalog.get(name).export_snapshot(target)
+
 
 class Replica:
-    def __init__(self, spark: SparkSession, catalog: Catalog, feed: Feed, peers: list[Peer] | None = None) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, feed: Feed | RemoteFeed, peers: list | None = None) -> None:
         self.spark, self.catalog, self.feed, self.peers = spark, catalog, feed, peers or []
-        self.consumers: dict[str, Consumer] = {}
+        self.consumers: dict[str, Consumer | PollingConsumer] = {}
         self.parked: dict[str, dict] = {}
         self.meta_position = 0
 
@@ -84,13 +91,17 @@ class Replica:
 
     # Consumers
 
-    def add_consumer(self, name: str) -> Consumer:
+    def add_consumer(self, name: str) -> Consumer | PollingConsumer:
         """One consumer for each name; adding it again changes nothing."""
         index = self.catalog.get(name)
         held = self.consumers.get(name)
         if held is None or held.index is not index:
             self.remove_consumer(name)
-            held = self.consumers[name] = Consumer(self.spark, self.feed, index, new_folder(self.spark, f"consumer-{name}-{uuid.uuid4().hex[:8]}"))
+            if isinstance(self.feed, RemoteFeed):
+                held = PollingConsumer(self.spark, self.feed, index)
+            else:
+                held = Consumer(self.spark, self.feed, index, new_folder(self.spark, f"consumer-{name}-{uuid.uuid4().hex[:8]}"))
+            self.consumers[name] = held
         return held
 
     def remove_consumer(self, name: str) -> None:
@@ -101,6 +112,15 @@ class Replica:
     def sync(self, name: str) -> int:
         """Seed an empty index, restore one below the retention floor, then apply what the feed has."""
         index = self.catalog.get(name)
+        if isinstance(self.feed, RemoteFeed):
+            try:
+                return self.add_consumer(name).catch_up()
+            except errors.BelowRetention:
+                if index.version == 0:
+                    self.seed(name)
+                else:
+                    self.restore_from_peer(name, index.version, 0)
+                return self.add_consumer(name).catch_up()
         floor = self.feed.floor(name, index.generation)
         if index.version == 0 and (floor or self.peers):
             self.seed(name)
@@ -113,7 +133,11 @@ class Replica:
     # Bootstrap
 
     def donors(self, name: str, generation: int, after: int) -> list[str]:
-        probes = self.spark.createDataFrame([p.probe(name) for p in self.peers], "base_url string, generation bigint, file_version bigint, ok boolean")
+        if not self.peers:
+            return []
+        with ThreadPoolExecutor(max_workers=min(len(self.peers), 64)) as pool:
+            found = list(pool.map(lambda p: p.probe(name), self.peers))
+        probes = self.spark.createDataFrame(found, "base_url string, generation bigint, file_version bigint, ok boolean")
         return [r.base_url for r in ranked_donors(probes, generation, after).orderBy("rank").collect()]
 
     def restore_from_peer(self, name: str, after: int, floor: int) -> Index:
@@ -123,11 +147,13 @@ class Replica:
         self.catalog.set_loading(name, True)
         try:
             for url in self.donors(name, index.generation, after):
-                donor = by_url[url].catalog.get(name)
-                if donor.file_version < floor:
-                    break
-                target = new_folder(self.spark, f"snapshot-{name}")
-                donor.export_snapshot(target)
+                try:
+                    # Only the transfer has a deadline; the install below always runs to its end.
+                    target, header = by_url[url].snapshot(name)
+                except (OSError, errors.EngineError):
+                    continue
+                if max((i["version"] if i["version"] is not None else i["commit_id"] + i["merges"] for i in header["segments"]), default=0) < floor:
+                    break  # the freshest is below the floor, so are all others
                 read_snapshot_header(self.spark, target)
                 self.remove_consumer(name)
                 return self.catalog.restore(name, index.generation, target)
@@ -138,7 +164,7 @@ class Replica:
     def seed(self, name: str) -> Index:
         """Fill an empty index: a peer's snapshot, else the feed's corpus, else nothing (replay from 0)."""
         index = self.catalog.get(name)
-        floor = self.feed.floor(name, index.generation)
+        floor = 0 if isinstance(self.feed, RemoteFeed) else self.feed.floor(name, index.generation)
         try:
             return self.restore_from_peer(name, 0, floor)
         except errors.BelowRetention:

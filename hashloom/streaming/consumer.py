@@ -7,6 +7,7 @@ the position is the index's own version, stored with the data in the same commit
 
 from __future__ import annotations
 
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from hashloom import errors
 from hashloom.functions.ints import U32_MAX
 from hashloom.index import Index
-from hashloom.sources.feed import ENTRY, Feed
+from hashloom.sources.feed import BATCH, ENTRY, FLAT, Feed
+from hashloom.sources.remote import RemoteFeed
 
 READ_YOUR_WRITES_S = 30.0
 
@@ -85,3 +87,49 @@ class Consumer:
             if time.monotonic() > end:
                 raise errors.ReplicationTimeout(f"{version} isn't applied after {timeout_s} s")
             time.sleep(0.05)
+
+
+class PollingConsumer:
+    """As ``Consumer``, for a feed behind HTTP: each page of at most 256 entries is one commit."""
+
+    def __init__(self, spark: SparkSession, feed: RemoteFeed, index: Index) -> None:
+        self.spark, self.feed, self.index = spark, feed, index
+        self._stopped = threading.Event()
+        self._thread: threading.Thread | None = None
+
+    def step(self, timeout_s: float = 0) -> bool:
+        """Apply the next page; False if there was none in time."""
+        rows = self.feed.wait_page(self.index.name, self.index.generation, self.index.version, BATCH, timeout_s)
+        if rows:
+            apply_entries(self.index, self.spark.createDataFrame(rows, FLAT))
+            if self.index.needs_checkpoint():
+                self.index.maintain()
+        return bool(rows)
+
+    def catch_up(self, timeout_s: float = 300) -> int:
+        end = time.monotonic() + timeout_s
+        while self.step():
+            if time.monotonic() > end:
+                raise errors.ReplicationTimeout(self.index.name)
+        return self.index.version
+
+    def start(self, retry_s: float = 1.0) -> None:
+        def loop() -> None:
+            while not self._stopped.is_set():
+                try:
+                    self.step(1.0)
+                except errors.BelowRetention:
+                    return
+                except errors.EngineError:
+                    # Nothing was applied, so the same page is read again.
+                    self._stopped.wait(retry_s)
+
+        self._thread = threading.Thread(target=loop, daemon=True)
+        self._thread.start()
+
+    def stop(self) -> None:
+        self._stopped.set()
+        if self._thread is not None:
+            self._thread.join(30)
+
+    wait = Consumer.wait
