@@ -137,7 +137,7 @@ def fit_profiles(samples: list[tuple[str, str]]) -> Profiles:
         tops.append(own[np.lexsort((own, -counts))][:PROFILE])
     every = np.unique(np.concatenate(tops))
     table[every] = np.arange(len(every))
-    ranks = np.full((len(every), len(languages)), PROFILE, np.int32)
+    ranks = np.full((len(every), len(languages)), PROFILE, np.float32)
     for column, top in enumerate(tops):
         ranks[table[top], column] = np.arange(len(top))
     return Profiles(languages, table, ranks)
@@ -151,18 +151,26 @@ def distances(profiles: Profiles, group: np.ndarray, codes: np.ndarray, groups:
     known = number >= 0
     if not known.any():
         return total, compared
-    keys, counts = np.unique(group[known].astype(np.int64) * len(profiles.ranks) + number[known], return_counts=True)
+    every = np.sort(group[known].astype(np.int64) * len(profiles.ranks) + number[known])
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    counts = np.diff(np.r_[first, len(every)])
+    keys = every[first]
     owner = keys // len(profiles.ranks)
-    order = np.lexsort((-counts, owner))
+    # Most frequent first within each group, by one sort of a number that holds both.
+    most = int(counts.max())
+    order = np.argsort(owner * (most + 1) + (most - counts))
     keys, counts, owner = keys[order], counts[order], owner[order]
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     place = np.arange(len(keys)) - np.repeat(start, np.diff(np.r_[start, len(keys)]))
     tie = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (counts[1:] != counts[:-1])])
     widths = np.diff(np.r_[tie, len(keys)])
-    rank = np.repeat(place[tie] + (widths - 1) / 2, widths)
-    own = profiles.ranks[keys % len(profiles.ranks)]
-    away = np.where(own == PROFILE, PROFILE, np.minimum(np.abs(own - rank[:, None]), PROFILE)) * (place < PROFILE)[:, None] / PROFILE
-    total[owner[start]] = np.add.reduceat(away, start, axis=0)
+    rank = np.repeat((place[tie] + (widths - 1) / 2).astype(np.float32), widths)
+    own = profiles.ranks[keys - owner * len(profiles.ranks)]
+    away = np.abs(own - np.minimum(rank, PROFILE)[:, None])
+    away[own == PROFILE] = PROFILE
+    if len(place) and int(place.max()) >= PROFILE:
+        away[place >= PROFILE] = 0
+    total[owner[start]] = np.add.reduceat(away, start, axis=0, dtype=np.float64) / PROFILE
     compared[owner[start]] = np.diff(np.r_[start, len(keys)])
     return total, compared
 
