@@ -119,6 +119,11 @@ def build_index(items: list[tuple], run: int = RUN) -> Index | None:
     )
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each query word its postings: (number of the query word, place of the posting)."""
     counts = at[term + 1] - at[term]
@@ -158,8 +163,10 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.nd
         cell = (p[owner] - base) * n_blocks + item // BLOCK_ITEMS
         kept = alive[np.minimum(cell, len(alive) - 1)] & (cell < len(alive))
         pair = (p[owner][kept] - base) * len(index.items) + item[kept]
-        pairs, inverse = np.unique(pair, return_inverse=True)
-        score = np.bincount(inverse, index.impacts[at][kept])
+        order = np.argsort(pair)
+        pair, impact = pair[order], index.impacts[at][kept][order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        pairs, score = pair[first], np.add.reduceat(impact, first)
         hit = pairs[score >= slack]
         found_p.append(hit // len(index.items) + base)
         found_i.append(hit % len(index.items))
@@ -209,9 +216,9 @@ def _search(broadcast, kind: pa.DataType, key: pa.DataType):
             word = np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
             passage = np.repeat(np.arange(len(text_of)), PASSAGE_WORDS)
             known = word.ravel() >= 0
-            rows = np.unique(passage[known] * len(index.vocabulary) + word.ravel()[known])
+            rows = _distinct(passage[known] * len(index.vocabulary) + word.ravel()[known])
             p, i = retrieve(index, rows // len(index.vocabulary), rows % len(index.vocabulary))
-            pairs = np.unique(text_of[p] * len(index.items) + i)
+            pairs = _distinct(text_of[p] * len(index.items) + i)
             wanted: dict[int, set] = {}
             for pair in pairs.tolist():
                 wanted.setdefault(pair // len(index.items), set()).add(pair % len(index.items))

@@ -5,9 +5,19 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+
 _ROUND = re.compile(r"\([^()]*\)")
 _SQUARE = re.compile(r"\[[^\[\]]*\]")
 _WORD = re.compile(r"[^\W_]+")
+#: Which code points are combining marks, up to the last one that is.
+_MARKS = np.array([unicodedata.combining(chr(c)) > 0 for c in range(0x1F000)])
+
+
+def without_marks(text: str) -> str:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = points[~_MARKS[np.minimum(points, len(_MARKS) - 1)]]
+    return text if len(kept) == len(points) else kept.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def without_brackets(text: str) -> str:
@@ -25,8 +35,7 @@ def words(text: str | None) -> list[str]:
         return []
     text = without_brackets(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
+        text = without_marks(unicodedata.normalize("NFKD", text)).casefold()
         if not text.isascii():
             text = unicodedata.normalize("NFKD", text)
     else:
