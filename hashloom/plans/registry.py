@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from hashloom.plans import pipeline, searches
+from hashloom.plans import engine, pipeline, searches
 
 
 def queries() -> dict:
-    return {**searches.QUERIES, **pipeline.QUERIES}
+    return {**searches.QUERIES, **engine.QUERIES, **pipeline.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**searches.ORACLES, **pipeline.ORACLES}
+    return {**searches.ORACLES, **engine.ORACLES, **pipeline.ORACLES}

@@ -109,13 +109,13 @@ _LIVE_POSTINGS = f"SELECT unnest(hashes) AS hash, id FROM ({_NEWEST}) WHERE op =
 _HOURS = "SELECT h AS query_id, 2000000 + h AS hash FROM range(24) t(h) UNION ALL SELECT h, 1000000 + h FROM range(24) t(h)"
 
 
-def _hour_queries(spark: SparkSession) -> DataFrame:
+def hour_queries(spark: SparkSession) -> DataFrame:
     return spark.range(24).select(F.col("id").alias("query_id"), F.array(F.col("id") + 2_000_000, F.col("id") + 1_000_000).alias("hashes"))
 
 
 def live_search(changes: DataFrame) -> DataFrame:
     """Search of hours over the live documents of a change log."""
-    return search(postings(state.live_docs(changes)), _hour_queries(changes.sparkSession))
+    return search(postings(state.live_docs(changes)), hour_queries(changes.sparkSession))
 
 
 @query(_search_sql(_LIVE_POSTINGS, _HOURS, _DEFAULT, "10", "40", "query_id, id, score"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom import errors
-from hashloom.operators.changelog import DEFAULT_ENTRIES, read_after
+from hashloom.operators.changelog import DEFAULT_ENTRIES, appended, read_after
 from hashloom.operators.state import newest
 from hashloom.sources import files
 from hashloom.sources.oplog import CHANGE
@@ -98,6 +99,25 @@ class Feed:
             files.write_text(self.spark, f"{self.folder(name, generation)}/{last + 1:016x}-{end:016x}.json", lines)
             return end
 
+    def append_frame(self, name: str, generation: int, changes: DataFrame, order: str) -> int:
+        """Append a DataFrame ``(op, id, hashes, entries, <order>)`` of any size in its order; returns the last position.
+
+        Spark writes the files; each is then renamed to the positions it holds, in order, so a reader
+        always sees a prefix of the batch.
+        """
+        self._writable()
+        with self._lock:
+            last = self.position(name, generation)
+            rows = appended(changes, last, order).select("seq", F.struct("op", "id", "hashes", "entries").alias("change"))
+            temp = f"{self.root}/tmp-{uuid.uuid4().hex}"
+            rows.repartitionByRange("seq").sortWithinPartitions("seq").write.json(temp)
+            written = self.spark.read.schema(ENTRY).json(temp).groupBy(F.input_file_name().alias("file")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+            for row in written.orderBy("first").collect():
+                files.rename(self.spark, f"{temp}/{row.file.rsplit('/', 1)[1]}", f"{self.folder(name, generation)}/{row.first:016x}-{row.last:016x}.json")
+                last = row.last
+            files.delete(self.spark, temp)
+            return last
+
     def floor(self, name: str, generation: int) -> int:
         return (files.read_json(self.spark, f"{self.root}/floors/{name}-{generation}.json") or {"floor": 0})["floor"]
 

@@ -117,3 +117,13 @@ def test_meta_convergence_and_parked_operations(spark, folder):
     node.follow_meta()
     assert cat.get("b").generation == 5 and "not valid" in node.parked
     assert node.delete_index("b") == {"deleted": True} and cat.names() == []
+
+
+def test_big_batches_keep_their_order(spark, folder):
+    feed = Feed(spark, folder)
+    feed.append("big", 1, [insert(7, [7])])
+    frame = spark.range(1000, 0, -1).selectExpr("id AS place", "'insert' AS op", "id + 1 AS id", "array(id) AS hashes", "cast(null as map<string,string>) AS entries")
+    assert feed.append_frame("big", 1, frame.repartition(5), "place") == 1001
+    assert feed.append("big", 1, [delete(2)]) == 1002
+    rows = feed.entries("big", 1).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, 1003)) and [r.id for r in rows] == [7, *range(2, 1002), 2]
