@@ -24,12 +24,18 @@ from pyspark.sql import types as T
 from hashloom.sources import files
 
 
+#: A bucket is merged and written by one task, so it must stay this small on average.
+ROWS_PER_BUCKET = 1_000_000
+
+
 class BucketedTable:
     """``keys`` identify a row, ``order`` columns (ascending) order operations, ``payload`` is what an insert stores."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], payload: list[str], buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], payload: list[str], buckets: int | None = None) -> None:
+        """``buckets``: None gives a new table one for each ``ROWS_PER_BUCKET`` operations of its first batch, 16 at least."""
         self.spark, self.path, self.keys, self.order, self.payload = spark, path.rstrip("/"), keys, order, payload
-        self.buckets = (self._manifest() or {"buckets": buckets})["buckets"]
+        manifest = self._manifest()
+        self.buckets = manifest["buckets"] if manifest else buckets
 
     def _manifest(self) -> dict | None:
         return files.read_json(self.spark, f"{self.path}/manifest.json")
@@ -49,7 +55,8 @@ class BucketedTable:
         """Merge ``changes`` (keys, order, ``op`` of 'i' or 'd', payload); returns the touched buckets."""
         columns = ["op", *self.keys, *self.order, *self.payload]
         todo = changes.select(*columns).where("op in ('i', 'd')").dropna(subset=self.keys)
-        # Newest operation per key first within each map task would need a sort; the bucket merge does it once.
+        if self.buckets is None:
+            self.buckets = max(16, -(-todo.count() // ROWS_PER_BUCKET))
         routed = todo.withColumn("bucket", self._bucket())
         touched = sorted(r[0] for r in routed.select("bucket").distinct().collect())
         if not touched:
@@ -59,9 +66,10 @@ class BucketedTable:
         if base is not None:
             routed = routed.unionByName(base.withColumn("bucket", self._bucket()))
         newest = Window.partitionBy("bucket", *self.keys).orderBy(*[F.desc_nulls_last(c) for c in [*self.order, "op", *self.payload]])
-        merged = routed.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+        # One shuffle by bucket serves the merge (sorted by key and position in each bucket) and the write.
+        merged = routed.repartition("bucket").withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
         folder = f"data/{(old or {'commit': 0})['commit'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        merged.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         schema = merged.drop("bucket").schema
         folders = dict(old["folders"]) if old else {}
         folders |= {str(b): f"{folder}/bucket={b}" for b in touched}

@@ -55,7 +55,7 @@ def signed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nations.join(F.broadcast(regions.limit(1000)), nations.n_regionkey == regions.r_regionkey)
+    joined = nations.join(regions, nations.n_regionkey == regions.r_regionkey)
     return joined.select(F.lit(1).alias("commit_id"), F.col("n_nationkey").alias("ordinal"), F.col("r_name").alias("key"), F.col("n_name").alias("value"))
 
 

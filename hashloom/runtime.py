@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,8 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+_folders: dict[str, object] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/hashloom/{label}-{uuid.uuid4().hex}"
+    """A new name below this process's own folder, which is deleted when the process ends."""
+    root = f"{shared_dir(spark)}/hashloom/run-{_RUN}"
+    _folders.setdefault(root, spark.sparkContext._jvm)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def _forget() -> None:
+    for root, jvm in _folders.items():
+        with contextlib.suppress(Exception):  # the JVM may be gone; then the folder stays
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
