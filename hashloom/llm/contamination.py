@@ -36,7 +36,7 @@ RUN = 15
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 PASSAGE_WORDS = 48
-SLICE_CHARS = 32_000_000
+SLICE_CHARS = 8_000_000
 #: (word, block) and (word, item) products per step of scoring: bounds the memory of a task.
 STEP = 4_000_000
 

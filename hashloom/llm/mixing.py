@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hashloom.runtime import stage
+from hashloom.runtime import small_side, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of the byte-level vocabulary above.
@@ -135,9 +135,9 @@ def copies(counted: DataFrame, planned: DataFrame, doc: str) -> DataFrame:
     rows = rows.withColumn("bucket", (size * SPREAD + F.pmod(F.xxhash64(doc), F.lit(SPREAD))).cast("int"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = stage(counts.select("source", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "offsets")
+    before = small_side(counts.select("source", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "offsets")
     inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("n_tokens", doc))
-    numbered = rows.withColumn("place", inside).join(F.broadcast(before), ["source", "bucket"])
+    numbered = rows.withColumn("place", inside).join(before, ["source", "bucket"])
     place = F.col("before") + F.col("place")
     crossed = F.floor(F.col("offset") + F.col("rate") * place) - F.floor(F.col("offset") + F.col("rate") * (place - 1))
     return numbered.select(doc, "source", "n_tokens", crossed.cast("bigint").alias("copies")).where("copies > 0")
