@@ -147,6 +147,38 @@ def numbered_chunks(states: DataFrame) -> DataFrame:
     return states.where("edge").select("key", "part", "seq", before.alias("first_row"), "n", (F.col("n_items") - joined).alias("new_items"))
 
 
+def number_rows(df: DataFrame, key: str, item: str) -> DataFrame:
+    """``df`` with ``row_no``: the exact 0-based number of each row among its key's rows, in the order of ``item``.
+
+    Rows lie in ranges of (key, item); keys are counted in each range, the counts are prefix-summed
+    over the ranges into offsets, and rows are numbered inside (range, key) from there. No task holds
+    more than a range, however hot a key is. Rows with equal items are numbered in any order.
+    Columns named ``row_no`` or ``_part`` in the input give way.
+    """
+    rows = df.drop("row_no", "_part").withColumn("_src", F.spark_partition_id())
+    ranges = stage(rows.repartitionByRange(key, item, "_src").withColumn("_part", F.spark_partition_id()), "key-ranges").drop("_src")
+    counts = ranges.groupBy("_part", F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_part").alias("_of"), "_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part", key).orderBy(F.asc_nulls_first(item))) - 1
+    placed = ranges.withColumn("_inside", inside).join(offsets, (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    return placed.select(*[c for c in df.columns if c not in ("row_no", "_part")], (F.col("_offset") + F.col("_inside")).alias("row_no"))
+
+
+def key_chunks(df: DataFrame, key: str, item: str, chunk_rows: int) -> DataFrame:
+    """``(key, chunk, n, n_items, first_item, last_item)``: each key's rows in chunks of exactly ``chunk_rows`` (the last one shorter), each one group."""
+    numbered = number_rows(df.select(F.col(key).alias("key"), F.col(item).alias("item")), "key", "item")
+    chunks = numbered.groupBy("key", F.floor(F.col("row_no") / chunk_rows).alias("chunk"))
+    return chunks.agg(F.count("*").alias("n"), F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("item").alias("last_item"))
+
+
+def merged_chunks(chunks: DataFrame) -> DataFrame:
+    """``(key, n, n_items)`` from ``key_chunks``: an item that ends a chunk and starts the next counts once."""
+    order = Window.partitionBy("key").orderBy("chunk")
+    joined = F.coalesce((F.lag("last_item").over(order) == F.col("first_item")).cast("long"), F.lit(0))
+    return chunks.select("key", "n", (F.col("n_items") - joined).alias("n_items")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_items").alias("n_items"))
+
+
 def chunked_counts(df: DataFrame, key: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(key, n, n_items)``: rows and distinct non-null items of every key, with even load."""
     states = chunk_states(df, key, item, chunk_rows)

@@ -12,7 +12,7 @@ from hashloom.functions.ints import u32
 from hashloom.operators.cow import BucketedTable
 from hashloom.operators.feeds import active_generations, applied_positions, op_kind, oplog_changes
 from hashloom.operators.incremental import IncrementalTable
-from hashloom.operators.skew import chunked_counts
+from hashloom.operators.skew import chunked_counts, key_chunks
 from hashloom.runtime import new_folder, shared_dir, small_side
 
 #: Feed positions per incremental partition: a new entry recomputes one block of its lineage.
@@ -42,6 +42,16 @@ def p4_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("key").alias("hash"), F.col("n_items").alias("n_ids"))
 
 
+#: Hits in a chunk of p4_hit_chunks.
+CHUNK_HITS = 10_000
+
+
+def p4_hit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of every query_id in order of id, in chunks of exactly so many rows."""
+    chunks = key_chunks(table(spark, sf_dir, "search_hits"), "query_id", "id", CHUNK_HITS)
+    return chunks.select(F.col("key").alias("query_id"), "chunk", "n", F.col("n_items").alias("n_ids"), F.col("first_item").alias("first_id"), F.col("last_item").alias("last_id"))
+
+
 P5_OUTPUT = T.StructType([T.StructField("index_name", T.StringType()), T.StructField("generation", T.LongType()), T.StructField("seq", T.LongType())])
 
 
@@ -102,6 +112,7 @@ QUERIES = {
     "p4_query_hits": p4_query_hits,
     "p4_score_hits": p4_score_hits,
     "p4_hash_ids": p4_hash_ids,
+    "p4_hit_chunks": p4_hit_chunks,
     "p5_found": p5_found,
     "p6_found": p6_found,
 }
@@ -118,6 +129,7 @@ ORACLES = {
     "p4_query_hits": "SELECT query_id, count(*) AS n_hits, count(DISTINCT id) AS n_ids FROM search_hits GROUP BY query_id",
     "p4_score_hits": "SELECT score, count(*) AS n_hits, count(DISTINCT id) AS n_ids FROM search_hits GROUP BY score",
     "p4_hash_ids": "SELECT h & 4294967295 AS hash, count(DISTINCT id) AS n_ids FROM (SELECT id, unnest(hashes) AS h FROM fingerprints) WHERE h IS NOT NULL GROUP BY 1",
+    "p4_hit_chunks": f"SELECT query_id, (r - 1) // {CHUNK_HITS} AS chunk, count(*) AS n, count(DISTINCT id) AS n_ids, min(id) AS first_id, max(id) AS last_id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM search_hits) GROUP BY 1, 2",
     "p5_found": f"WITH {_ACTIVE} SELECT index_name, generation, seq FROM fresh",
     "p6_found": f"""
 WITH {_ACTIVE},

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import names
 from hashloom.operators import changelog, feeds, merge, state
-from hashloom.operators.search import SearchOptions, counted_postings, postings, search
+from hashloom.operators.kernel import search_docs
+from hashloom.operators.search import SearchOptions, postings, search
 from hashloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +140,7 @@ def search_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test passages as queries over all documents, by shared three-word shingles."""
     items = fx.shingle_docs(fx.table(spark, sf_dir, "eval_items"), "item_id").withColumnRenamed("id", "query_id")
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
-    found = search(counted_postings(docs), items)
+    found = search_docs(docs, items)
     return found.select((F.col("query_id") - 1).alias("item_id"), (F.col("id") - 1).alias("doc_id"), "score")
 
 
@@ -154,7 +155,7 @@ def search_documents_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth document as a query over all documents: at least half of its shingles shared."""
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
     asked = docs.where("(id - 1) % 50 = 0").select(F.col("id").alias("query_id"), "hashes", F.floor((F.size("hashes") + 1) / 2).alias("min_score"), F.lit(50).alias("score_pct"))
-    found = search(counted_postings(docs), asked)
+    found = search_docs(docs, asked)
     return found.select((F.col("query_id") - 1).alias("doc_id"), (F.col("id") - 1).alias("other_id"), "score")
 
 
@@ -192,7 +193,7 @@ def search_requests_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = stored.groupBy("id").agg(F.max("version").alias("version"))
     docs = stored.join(newest, ["id", "version"]).dropDuplicates(["id"])
     asked = fx.table(spark, sf_dir, "search_requests").select("query_id", "index_name", F.col("query").alias("hashes"), F.col("result_limit").alias("limit"), "min_score", "score_pct").distinct()
-    return search(counted_postings(docs, "index_name"), asked, scope=("index_name",))
+    return search_docs(docs, asked, scope=("index_name",))
 
 
 @query(f"SELECT hash, id FROM ({_BASKETS})")

@@ -10,7 +10,7 @@ from hashloom.operators import merge, state
 from hashloom.operators.cow import BucketedTable
 from hashloom.operators.incremental import IncrementalTable
 from hashloom.operators.search import SearchOptions, counted_postings, postings, search
-from hashloom.operators.skew import chunk_states, chunked_counts, numbered_chunks
+from hashloom.operators.skew import chunk_states, chunked_counts, key_chunks, merged_chunks, number_rows, numbered_chunks
 
 
 def expected_counts(rows):
@@ -43,6 +43,23 @@ def test_chunks_are_equal_and_numbered(spark):
     assert [c.first_row for c in chunks] == [sum(d.n for d in chunks[:i]) for i in range(len(chunks))]
 
 
+def test_rows_are_numbered_exactly(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, None]), rnd.choice([None, *range(9)]), "x") for _ in range(500)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint, row_no string").repartition(6)
+    got = {}
+    for r in number_rows(df, "k", "v").collect():
+        got.setdefault(r.k, []).append((r.row_no, r.v))
+    order = lambda v: (v is not None, v or 0)
+    for key in (1, 2, None):
+        assert [v for _, v in sorted(got[key])] == sorted((v for k, v, _ in rows if k == key), key=order)
+        assert [n for n, _ in sorted(got[key])] == list(range(len(got[key])))
+    chunks = key_chunks(df, "k", "v", 40)
+    assert all(c.n == 40 for c in chunks.collect() if (c.chunk + 1) * 40 <= len(got[c.key]))
+    assert {r.key: (r.n, r.n_items) for r in merged_chunks(chunks).collect()} == expected_counts((k, v) for k, v, _ in rows)
+    assert number_rows(df.limit(0), "k", "v").collect() == []
+
+
 OUT = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
 
 
@@ -136,6 +153,25 @@ def test_search_against_brute_force(spark, folded):
             assert got.get(q, []) == brute_search(docs, hashes, options.limit or 40, options.min_score, options.score_pct)
 
 
+@pytest.mark.parametrize(("most_probes", "cells"), [(10**6, 10**6), (10**6, 40), (0, 0)])
+def test_search_docs_equals_search(spark, monkeypatch, most_probes, cells):
+    """The score table in one block and in many, and the join beyond the bound of the queries."""
+    from hashloom.operators import kernel
+
+    monkeypatch.setattr(kernel, "CELLS", max(cells, 1))
+    rnd = random.Random(8)
+    bag = lambda n: [rnd.choice([None, -1, *range(12), rnd.randint(0, 2**32 - 1)]) for _ in range(rnd.randint(0, n))]
+    docs = [(d, bag(30), rnd.choice(["a", "a", "b", None]), 1) for d in [*range(1, 150), 2**32 - 1]] + [(500, None, "a", 1), (501, [], "b", 1)]
+    asked = [(q, bag(30), rnd.choice(["a", "a", "b", "c", None]), rnd.choice([None, 1, 7, 1000]), rnd.choice([None, 0, 4]), rnd.choice([None, 0, 50, 150])) for q in range(40)]
+    docs = spark.createDataFrame(docs, "id bigint, hashes array<bigint>, part string, score int").repartition(3)
+    asked = spark.createDataFrame(asked + [(90, None, "a", 1, 1, 1)], "query_id bigint, hashes array<bigint>, part string, limit bigint, min_score bigint, score_pct bigint")
+    for scope in ((), ("part",)):
+        want = sorted(map(tuple, search(counted_postings(docs, *scope), asked, scope=scope).collect()))
+        assert want and sorted(map(tuple, kernel.search_docs(docs, asked, scope=scope, most_probes=most_probes).collect())) == want
+    assert kernel.search_docs(docs.limit(0), asked, most_probes=most_probes).collect() == []
+    assert kernel.search_docs(docs, asked.limit(0), most_probes=most_probes).collect() == []
+
+
 def test_search_nulls_signed_and_empty(spark):
     docs = spark.createDataFrame([(1, [-1, None, 7]), (2, None), (3, [])], "id bigint, hashes array<bigint>")
     asked = spark.createDataFrame([(1, [4294967295, None]), (2, None), (3, [])], "query_id bigint, hashes array<bigint>")
