@@ -22,9 +22,8 @@ from hashloom import errors
 from hashloom.functions.ints import U32_MAX, u32_bag
 from hashloom.metrics import Metrics
 from hashloom.operators.feeds import op_kind
-from hashloom.operators.search import MOST_TIMEOUT_MS, SearchOptions, counted_postings, prepared_queries, ranked
+from hashloom.operators.search import MOST_TIMEOUT_MS, SearchOptions, batch, counted_postings, ranked
 from hashloom.plans.merge_policy import TieredPolicy
-from hashloom.runtime import small_side
 from hashloom.sources import files, segments
 from hashloom.sources.oplog import Oplog
 
@@ -122,14 +121,12 @@ class Reader:
         the floor, the ranking and the limit, so they take no result's place.
         """
         options = options or SearchOptions()
-        prepared = prepared_queries(queries, options)
-        probes = small_side(prepared.select("query_id", F.explode("hashes").alias("hash")), "probes")
+        asked = batch(queries, options)
         items = self.postings() if known is None else self.postings().where(F.col("hash").isin(known))
-        hits = items.join(probes, "hash").groupBy("query_id", "id", "commit_id").agg(F.sum("n").cast("bigint").alias("score"))
+        hits = items.join(asked.probe_rows("query_id"), "hash").groupBy("query_id", "id", "commit_id").agg(F.sum("n").cast("bigint").alias("score"))
         current = self.newest(hits).where("alive").select("id", "commit_id")
-        floors = small_side(prepared.select("query_id", "min_score"), "floors")
-        found = hits.join(current, ["id", "commit_id"], "left_semi").join(floors, "query_id").where("score >= min_score").select("query_id", "id", "score")
-        return ranked(found, prepared)
+        live = hits.join(current, ["id", "commit_id"], "left_semi").join(asked.settings("query_id", "min_score"), "query_id")
+        return ranked(live.where("score >= min_score").select("query_id", "id", "score"), asked)
 
 
 class Index:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import U32_MAX
-from hashloom.operators.search import SearchOptions, capped_postings, counted_postings, prepared_queries, ranked, scores
-from hashloom.runtime import Shared, stage
+from hashloom.operators.search import SearchOptions, batch, capped_postings, counted_postings, ranked, scores
+from hashloom.runtime import Shared
 
 #: Hashes of all queries together that are sent to executors, at most.
 MOST_PROBES = 4_000_000
@@ -68,15 +68,15 @@ def _score(shared, scopes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_scope: dict[tuple, Probes] = shared.value
         tops: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            keys = list(zip(*(batch.column(2 + i).to_pylist() for i in range(scopes)), strict=True)) if scopes else [()] * batch.num_rows
+        for rows_in in batches:
+            keys = list(zip(*(rows_in.column(2 + i).to_pylist() for i in range(scopes)), strict=True)) if scopes else [()] * rows_in.num_rows
             rows_of: dict[tuple, list[int]] = {}
             for number, key in enumerate(keys):
                 if key in by_scope:
                     rows_of.setdefault(key, []).append(number)
             for key, numbers in rows_of.items():
                 probes = by_scope[key]
-                part = batch.take(pa.array(numbers))
+                part = rows_in.take(pa.array(numbers))
                 lists = part.column(1)
                 flat, parent = lists.flatten(), pc.list_parent_indices(lists)
                 valid = flat.is_valid()
@@ -116,20 +116,18 @@ def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | No
     Query ids are BIGINT and unique. The rows are those of ``search`` over the documents' postings.
     """
     options = options or SearchOptions()
-    prepared = stage(prepared_queries(queries, options, *scope), "queries")
-    size = prepared.agg(F.sum(F.size("hashes")).alias("probes"), F.max("limit").alias("keep")).first()
-    if options.max_docs_per_hash is not None or (size.probes or 0) > most_probes:
+    asked = batch(queries, options, *scope)
+    if options.max_docs_per_hash is not None or asked.probes > most_probes:
         rows = counted_postings(docs, *scope)
         if options.max_docs_per_hash is not None:
             rows = capped_postings(rows, options.max_docs_per_hash)
-        return ranked(scores(rows, prepared, *scope), prepared)
-    table = prepared.where(F.size("hashes") > 0).select("query_id", "hashes", "min_score", *scope).toArrow()
-    keep = max(int(size.keep or 0), 1)
+        return ranked(scores(rows, asked, *scope), asked)
+    table = asked.frame.where(F.size("hashes") > 0).select("query_id", "hashes", "min_score", *scope).toArrow()
     keys = list(zip(*(table.column(c).to_pylist() for c in scope), strict=True)) if scope else [()] * table.num_rows
     rows_of: dict[tuple, list[int]] = {}
     for number, key in enumerate(keys):
         rows_of.setdefault(key, []).append(number)
-    by_scope = {key: _probes(table.take(pa.array(numbers)), keep) for key, numbers in rows_of.items() if None not in key}
+    by_scope = {key: _probes(table.take(pa.array(numbers)), max(asked.limit, 1)) for key, numbers in rows_of.items() if None not in key}
     found = docs.where("hashes is not null").select(F.col("id").cast("bigint").alias("id"), "hashes", *scope)
     best = found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")
-    return ranked(best, prepared)
+    return ranked(best, asked)

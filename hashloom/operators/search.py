@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import clamp, default_min_score, let, percent_floor, u32_bag
-from hashloom.runtime import small_side
+from hashloom.runtime import BROADCAST_ROWS, stage
 
 DEFAULT_LIMIT, LEAST_LIMIT, MOST_LIMIT = 40, 1, 100
 DEFAULT_TIMEOUT_MS, MOST_TIMEOUT_MS = 500, 10_000
@@ -76,27 +76,50 @@ def prepared_queries(queries: DataFrame, options: SearchOptions, *scope: str) ->
     )
 
 
-def scores(rows: DataFrame, prepared: DataFrame, *scope: str) -> DataFrame:
+@dataclass(frozen=True)
+class Batch:
+    """Prepared queries, staged, and what was counted of them."""
+
+    frame: DataFrame
+    queries: int
+    probes: int
+    limit: int
+
+    def side(self, df: DataFrame, rows: int) -> DataFrame:
+        """``df`` to be broadcast if its counted rows are few, else joined by a shuffle."""
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+    def probe_rows(self, *columns: str) -> DataFrame:
+        return self.side(self.frame.select(*columns, F.explode("hashes").alias("hash")), self.probes)
+
+    def settings(self, *columns: str) -> DataFrame:
+        return self.side(self.frame.select(*columns), self.queries)
+
+
+def batch(queries: DataFrame, options: SearchOptions, *scope: str) -> Batch:
+    """Prepare and count ``queries`` once, whatever reads them later."""
+    frame = stage(prepared_queries(queries, options, *scope), "queries")
+    size = frame.agg(F.count("*").alias("queries"), F.sum(F.greatest(F.size("hashes"), F.lit(0))).alias("probes"), F.max("limit").alias("limit")).first()
+    return Batch(frame, size.queries, size.probes or 0, int(size.limit or 0))
+
+
+def scores(rows: DataFrame, asked: Batch, *scope: str) -> DataFrame:
     """``(query_id, id, score)`` of documents at or above the query's absolute floor."""
-    probes = prepared.select("query_id", *scope, "min_score", F.explode("hashes").alias("hash"))
-    probes = small_side(probes, "probes")
     weight = F.col("n") if "n" in rows.columns else F.lit(1)
-    hits = rows.join(probes, ["hash", *scope]).groupBy("query_id", "id", "min_score").agg(F.sum(weight).cast("bigint").alias("score"))
+    hits = rows.join(asked.probe_rows("query_id", *scope, "min_score"), ["hash", *scope]).groupBy("query_id", "id", "min_score").agg(F.sum(weight).cast("bigint").alias("score"))
     return hits.where("score >= min_score").select("query_id", "id", "score")
 
 
-def ranked(found: DataFrame, prepared: DataFrame) -> DataFrame:
+def ranked(found: DataFrame, asked: Batch) -> DataFrame:
     """``(query_id, id, score, rank)``: limit first, relative cutoff second.
 
     Survivors of the cutoff are a prefix of the ranking, so the two commute, and the limit alone
     lets the planner drop rows before the shuffle.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    most = prepared.agg(F.max("limit")).first()[0] or 0
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(most))
-    settings = small_side(prepared.select("query_id", "limit", "min_score", "score_pct"), "settings")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= asked.limit)
     best = F.max("score").over(Window.partitionBy("query_id"))
-    cut = top.withColumn("best", best).join(settings, "query_id")
+    cut = top.withColumn("best", best).join(asked.settings("query_id", "limit", "min_score", "score_pct"), "query_id")
     kept = cut.where(F.col("rank") <= F.col("limit")).where((F.col("rank") == 1) | (F.col("score") >= F.greatest("min_score", percent_floor(F.col("best"), F.col("score_pct")))))
     return kept.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
@@ -109,5 +132,5 @@ def search(rows: DataFrame, queries: DataFrame, options: SearchOptions | None =
     options = options or SearchOptions()
     if options.max_docs_per_hash is not None:
         rows = capped_postings(rows, options.max_docs_per_hash)
-    prepared = prepared_queries(queries, options, *scope)
-    return ranked(scores(rows, prepared, *scope), prepared)
+    asked = batch(queries, options, *scope)
+    return ranked(scores(rows, asked, *scope), asked)
