@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import let
+from hashloom.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def shingle_docs(rows: DataFrame, item: str) -> DataFrame:
     none = F.array().cast("array<bigint>")
     every = lambda w: F.when(F.size(w) < 3, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: shingle(w, i)))
     words = F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")), " ")
-    return rows.where("text is not null").select((F.col(item) + 1).alias("id"), let(words, every).alias("hashes"))
+    return spread(rows.where("text is not null").select(item, "text")).select((F.col(item) + 1).alias("id"), let(words, every).alias("hashes"))
 
 
 def signed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

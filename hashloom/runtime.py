@@ -61,6 +61,15 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than the cluster has cores, as of one small file, shuffled to all cores.
+
+    For steps that spend far more on a row than reading it. A scan of many splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Stage ``df``; hint a broadcast when its counted rows fit, else leave the join to shuffle.
 
