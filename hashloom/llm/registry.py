@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
 from hashloom.llm import contamination, heavy_hitters, language, mixing, near_dups, set_join, top_n
+from hashloom.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The corpus, on all cores: every operator here spends far more on a text than reading it."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _frequent(spark: SparkSession, sf_dir: str, share: str) -> DataFrame:
     return heavy_hitters.frequent_values(table(spark, sf_dir, "fingerprints"), "hashes", share, prepare=heavy_hitters.mask_u32, prepared=u32)
 
@@ -62,12 +68,12 @@ def p7_best_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 15 or more consecutive words of a test item."""
-    items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
+    items, docs = table(spark, sf_dir, "eval_items"), documents(spark, sf_dir, "doc_id", "text")
     return contamination.leaks(items, "item_id", "text", docs, "doc_id", "text").select("item_id", "doc_id")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+    return mixing.mixture(documents(spark, sf_dir, "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +93,12 @@ def _profiles(spark: SparkSession, sf_dir: str) -> language.Profiles:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents with a missing or wrong label or with several languages."""
-    return language.wrong_labels(_profiles(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "lang").distinct()
+    return language.wrong_labels(_profiles(spark, sf_dir), documents(spark, sf_dir, "doc_id", "text", "lang"), "doc_id", "text", "lang").select("doc_id", "lang").distinct()
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every one-language segment of every document with its confidence."""
-    return language.segments(_profiles(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+    return language.segments(_profiles(spark, sf_dir), documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES = {
