@@ -34,6 +34,8 @@ class BucketedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], payload: list[str], buckets: int | None = None) -> None:
         """``buckets``: None gives a new table one for each ``ROWS_PER_BUCKET`` operations of its first batch, 16 at least."""
         self.spark, self.path, self.keys, self.order, self.payload = spark, path.rstrip("/"), keys, order, payload
+        if clash := {"op", "bucket", "_rank"} & {*keys, *order, *payload}:
+            raise ValueError(f"columns {sorted(clash)} have a meaning of their own here")
         manifest = self._manifest()
         self.buckets = manifest["buckets"] if manifest else buckets
 

@@ -127,6 +127,8 @@ def test_bucketed_table_in_any_order(spark, folder):
     assert table.vacuum() > 0
     assert {r.id for r in table.live().collect()} == {k for k, _ in want} - {3}
     assert table.apply(spark.createDataFrame([], CHANGES)) == []
+    with pytest.raises(ValueError):
+        BucketedTable(spark, folder, ["id"], ["pos"], ["bucket"])
 
 
 def brute_search(docs, query, limit=40, min_score=None, pct=10):
