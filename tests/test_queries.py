@@ -1,9 +1,8 @@
 """Every core query against its SQL twin."""
 
 import pytest
-from oracle import same
+from oracle import SF, same
 
-from conftest import SF
 from hashloom.plans import registry
 
 ORACLES = registry.oracles()
