@@ -143,18 +143,36 @@ def fit_profiles(samples: list[tuple[str, str]]) -> Profiles:
     return Profiles(languages, table, ranks)
 
 
-def distances(profiles: Profiles, group: np.ndarray, codes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """(out-of-place distance of each group to each language in units of the greatest one, n-grams compared)."""
-    size = len(profiles.languages)
-    total, compared = np.zeros((groups, size)), np.zeros(groups)
+def _counted(profiles: Profiles, group: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group and number of each n-gram that any profile has, as one sorted key; how often it occurs)."""
     number = profiles.number[codes]
     known = number >= 0
-    if not known.any():
-        return total, compared
     every = np.sort(group[known].astype(np.int64) * len(profiles.ranks) + number[known])
+    if not len(every):
+        return every, every
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-    counts = np.diff(np.r_[first, len(every)])
-    keys = every[first]
+    return every[first], np.diff(np.r_[first, len(every)])
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several pieces, summed."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def distances(profiles: Profiles, keys: np.ndarray, counts: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(out-of-place distance of each group to each language in units of the greatest one, n-grams compared)."""
+    size = len(profiles.languages)
+    total, compared = np.zeros((groups, size)), np.zeros(groups)
+    if not len(keys):
+        return total, compared
     owner = keys // len(profiles.ranks)
     # Most frequent first within each group, by one sort of a number that holds both.
     most = int(counts.max())
@@ -168,13 +186,31 @@ def distances(profiles: Profiles, group: np.ndarray, codes: np.ndarray, groups:
     own = profiles.ranks[keys - owner * len(profiles.ranks)]
     away = np.abs(own - np.minimum(rank, PROFILE)[:, None])
     away[own == PROFILE] = PROFILE
-    if len(place) and int(place.max()) >= PROFILE:
+    if int(place.max()) >= PROFILE:
         away[place >= PROFILE] = 0
     total[owner[start]] = np.add.reduceat(away, start, axis=0, dtype=np.float64) / PROFILE
     compared[owner[start]] = np.diff(np.r_[start, len(keys)])
     return total, compared
 
 
+def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(pieces of at most ``STEP_CHARS``, cut at white space where there is any; text of each; its first character)."""
+    pieces, owner, begin = [], [], []
+    for number, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text)
+            if end - at > STEP_CHARS:
+                end = max(text.rfind(" ", at + 1, at + STEP_CHARS), text.rfind("\n", at + 1, at + STEP_CHARS)) + 1 or at + STEP_CHARS
+            pieces.append(text[at:end])
+            owner.append(number)
+            begin.append(at)
+            at = end
+            if at >= len(text):
+                break
+    return pieces, np.array(owner), np.array(begin)
+
+
 def best_sequences(cost: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Language of each clause: the cheapest sequence in each text, texts advancing side by side."""
     n, size = cost.shape
@@ -210,22 +246,53 @@ def best_sequences(cost: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def segment_texts(profiles: Profiles, texts: list[str]):
-    """(text, first character, characters, language number, confidence) of every segment, in order."""
-    stream, unit, owner, first = _units(texts)
-    if not len(owner):
+    """(text, first character, characters, language number, confidence) of every segment, in order.
+
+    A text longer than ``STEP_CHARS`` is read in pieces, which only adds clause ends between them;
+    n-grams are counted a step at a time, so memory doesn't grow with a text's n-grams.
+    """
+    pieces, text_of, begin_of = _pieces(texts)
+    steps, costs, owners, firsts, start, units_before = [], [], [], [], 0, 0
+    while start < len(pieces):
+        end, chars = start, 0
+        while end < len(pieces) and (end == start or chars + len(pieces[end]) <= STEP_CHARS):
+            chars += len(pieces[end])
+            end += 1
+        stream, unit, owner, first = _units(pieces[start:end])
+        if len(owner):
+            group, codes = _grams(stream, unit)
+            costs.append(distances(profiles, *_counted(profiles, group, codes), len(owner))[0])
+            owners.append(text_of[start + owner])
+            firsts.append(first + begin_of[start + owner])
+            # The n-grams of a single step are kept, those of more are found again below.
+            steps.append((start, end, units_before, (group, codes) if end - start == len(pieces) else None))
+            units_before += len(owner)
+        start = end
+    if not costs:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, np.zeros(0)
-    group, codes = _grams(stream, unit)
-    cost, _ = distances(profiles, group, codes, len(owner))
-    lang = best_sequences(cost, owner)
+    owner, first = np.concatenate(owners), np.concatenate(firsts)
+    lang = best_sequences(np.concatenate(costs), owner)
     new = np.r_[True, (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1])]
     segment = np.cumsum(new) - 1
     text, begin, number = owner[new], first[new], lang[new]
+    begin[np.r_[True, text[1:] != text[:-1]]] = 0
     lengths = np.array([len(t) for t in texts])
     end = np.r_[begin[1:], 0]
     last = np.r_[text[1:] != text[:-1], True]
     end = np.where(last, lengths[text], end)
-    whole, compared = distances(profiles, segment[group], codes, len(text))
+    whole, compared = np.zeros((len(text), len(profiles.languages))), np.zeros(len(text))
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for (start, stop, before, kept), after in zip(steps, [*(x[2] for x in steps[1:]), len(segment)], strict=True):
+        group, codes = kept if kept is not None else _grams(*_units(pieces[start:stop])[:2])
+        keys, counts = _joined([held, _counted(profiles, segment[before + group], codes)])
+        # A segment that goes on in the next step waits for it.
+        done = int(segment[after - 1]) + (after == len(segment) or segment[after] != segment[after - 1])
+        split = int(np.searchsorted(keys, done * len(profiles.ranks)))
+        held = keys[split:], counts[split:]
+        if split:
+            low = int(keys[0]) // len(profiles.ranks)
+            whole[low:done], compared[low:done] = distances(profiles, keys[:split] - low * len(profiles.ranks), counts[:split], done - low)
     others = whole.copy()
     at = np.arange(len(text))
     others[at, number] = np.inf

@@ -151,6 +151,19 @@ def test_languages_of_mixed_and_dirty_texts(spark):
     assert language.wrong_labels(profiles, frame.limit(0), "doc_id", "text", "label").collect() == []
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    profiles = language.train(samples(spark), "sample_id", "lang", "text")
+    texts = [r.text for r in samples(spark).orderBy("sample_id").limit(40).collect()]
+    long = ["\n".join(texts[:20]), texts[20], "x" * 5000, " ".join(texts[21:])]
+    whole = language.segment_texts(profiles, long)
+    monkeypatch.setattr(language, "STEP_CHARS", 700)
+    cut = language.segment_texts(profiles, long)
+    assert [len(t) for t in long] == [int(cut[2][cut[0] == i].sum()) for i in range(4)]
+    chars = lambda found, i: np.concatenate([np.full(s, n) for t, _, s, n, _ in zip(*found, strict=True) if t == i])
+    same = np.concatenate([chars(whole, i) == chars(cut, i) for i in range(4)])
+    assert same.mean() > 0.97
+
+
 def test_labels(spark):
     rows = [("EN", "en"), ("en_us", "en"), ("es-419", "es"), ("ger", "de"), ("n/a", None), ("und", None), ("", None), (None, None), ("dut", "nl"), ("Italian", "it")]
     frame = spark.createDataFrame(rows, "label string, want string")
