@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,9 @@ BLOCK_ITEMS = 8
 PASSAGE_WORDS = 48
 SLICE_CHARS = 8_000_000
 #: (word, block) and (word, item) products per step of scoring: bounds the memory of a task.
-STEP = 4_000_000
+STEP = 1_000_000
+#: Text handled at once.
+STEP_BYTES = 1_000_000
 
 
 @dataclass
@@ -190,12 +193,24 @@ def shared_runs(index: Index, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index.run_item[entry][same], place[same]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``STEP_BYTES`` of text, but for a longer single one: bounds the memory of a task."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP_BYTES, side="right"))
+            end = max(end, start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _search(broadcast, kind: pa.DataType, key: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
         stride = PASSAGE_WORDS - index.run + 1
         code = index.vocabulary.get
-        for batch in batches:
+        for batch in _slices(batches):
             coded, kept = [], []
             for row, text in enumerate(batch.column(1)):
                 found = words(text.as_py())
