@@ -35,3 +35,4 @@ ReplicationTimeout = _kind("ReplicationTimeout", 503)
 VersionRequired = _kind("VersionRequired", 500)
 VersionWentBackwards = _kind("VersionWentBackwards", 500)
 CorruptSegment = _kind("CorruptSegment", 500)
+FeedGap = _kind("FeedGap", 500)

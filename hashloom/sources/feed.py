@@ -129,9 +129,28 @@ class Feed:
         """``(seq, op, id, hashes, entries)`` above ``after``; only files that reach above it are read."""
         if after < self.floor(name, generation):
             raise errors.BelowRetention(f"{after} is below {self.floor(name, generation)}")
-        return self._flat([path for _, last, path in self._batches(name, generation) if last > after]).where(F.col("seq") > after)
+        return self.flat([path for _, last, path in self._batches(name, generation) if last > after]).where(F.col("seq") > after)
 
-    def _flat(self, paths: list[str]) -> DataFrame:
+    def next_files(self, name: str, generation: int, after: int, most: int) -> list[str]:
+        """At most ``most`` files that go on from ``after`` without a gap, in order of their positions, whatever their write times.
+
+        Files appear in order, so one that a first listing missed while a later one was there is in the second; else it is lost.
+        """
+        for _ in range(2):
+            found, at = [], after
+            for first, last, path in sorted(b for b in self._batches(name, generation) if b[1] > after):
+                if first > at + 1 or len(found) == most:
+                    break
+                if last > at:
+                    found.append(path)
+                    at = last
+            else:
+                return found
+            if found:
+                return found
+        raise errors.FeedGap(f"{name} goes on at {first}, but {at + 1} is missing")
+
+    def flat(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], FLAT)
         return self.spark.read.schema(ENTRY).json(paths).select("seq", "change.op", "change.id", "change.hashes", "change.entries")
@@ -147,7 +166,7 @@ class Feed:
     def bootstrap(self, name: str, generation: int) -> tuple[int, DataFrame]:
         """(position, the lineage's content as inserts and metadata ``(ordinal, op, id, hashes, entries)``), whatever the retention."""
         position = self.position(name, generation)
-        rows = self._flat([path for first, _, path in self._batches(name, generation) if first <= position]).where(F.col("seq") <= position)
+        rows = self.flat([path for first, _, path in self._batches(name, generation) if first <= position]).where(F.col("seq") <= position)
         docs = newest(rows.withColumn("commit_id", F.col("seq")).withColumn("ordinal", F.lit(0))).where("kind = 'i'")
         content = docs.select(F.col("seq").alias("ordinal"), "op", "id", "hashes", "entries")
         metadata = rows.where("entries is not null").select(F.col("seq").alias("ordinal"), "op", "id", "hashes", "entries")

@@ -1,8 +1,10 @@
 """Follow a lineage's data feed with Structured Streaming and apply it to an index.
 
-Each micro-batch becomes one commit whose version is its last position. Entries at or below
-the index's version are skipped, so a batch that runs again after a failure changes nothing:
-the position is the index's own version, stored with the data in the same commit.
+The stream only tells that files have arrived: it takes them by their write times, which aren't
+the order of the feed. What is applied are the feed's files after the index's version, in order of
+their positions; each step of some files becomes one commit whose version is its last position.
+Entries at or below the index's version are skipped, so a batch that runs again after a failure
+changes nothing: the position is the index's own version, stored with the data in the same commit.
 """
 
 from __future__ import annotations
@@ -28,13 +30,19 @@ def valid_changes(rows: DataFrame) -> DataFrame:
 
 
 def apply_entries(index: Index, rows: DataFrame) -> int:
-    """Apply ``(seq, op, id, hashes, entries)`` above the index's version as one commit; returns the version."""
-    fresh = rows.where(F.col("seq") > index.version).dropDuplicates(["seq"])
-    last = fresh.agg(F.max("seq")).first()[0]
-    if last is None:
-        return index.version
+    """Apply ``(seq, op, id, hashes, entries)`` above the index's version as one commit; returns the version.
+
+    Entries that would leave a position out are refused as a whole, since later ones would then never be applied.
+    """
+    version = index.version
+    fresh = rows.where(F.col("seq") > version).dropDuplicates(["seq"])
+    found = fresh.agg(F.max("seq").alias("last"), F.count("seq").alias("n")).first()
+    if found.last is None:
+        return version
+    if found.last - version != found.n:
+        raise errors.FeedGap(f"{found.n} entries between {version} and {found.last}")
     changes = valid_changes(fresh).select(F.col("seq").alias("ordinal"), "op", "id", "hashes", "entries")
-    return index.update_frame(changes, version=last)
+    return index.update_frame(changes, version=found.last)
 
 
 class Consumer:
@@ -47,18 +55,20 @@ class Consumer:
     def _stream(self) -> DataFrame:
         folder = self.feed.folder(self.index.name, self.index.generation)
         reader = self.spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", self.files_per_batch).option("pathGlobFilter", "*.json")
-        return reader.json(folder).select("seq", "change.op", "change.id", "change.hashes", "change.entries")
+        return reader.json(folder)
 
-    def _batch(self, rows: DataFrame, _: int) -> None:
-        if self.index.version < self.feed.floor(self.index.name, self.index.generation):
+    def _batch(self, _rows: DataFrame, _: int) -> None:
+        name, generation = self.index.name, self.index.generation
+        if self.index.version < self.feed.floor(name, generation):
             raise errors.BelowRetention(f"at {self.index.version}")
-        rows = rows.persist()
-        try:
-            apply_entries(self.index, rows)
-            if self.index.needs_checkpoint():
-                self.index.maintain()
-        finally:
-            rows.unpersist()
+        while paths := self.feed.next_files(name, generation, self.index.version, self.files_per_batch):
+            rows = self.feed.flat(paths).persist()
+            try:
+                apply_entries(self.index, rows)
+                if self.index.needs_checkpoint():
+                    self.index.maintain()
+            finally:
+                rows.unpersist()
 
     def start(self, every: str = "1 second"):
         self.query = self._writer().trigger(processingTime=every).start()

@@ -1,5 +1,7 @@
 """Feeds, the streaming consumer and replicas."""
 
+import os
+
 import pytest
 
 from hashloom import errors
@@ -127,3 +129,32 @@ def test_big_batches_keep_their_order(spark, folder):
     assert feed.append("big", 1, [delete(2)]) == 1002
     rows = feed.entries("big", 1).orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(1, 1003)) and [r.id for r in rows] == [7, *range(2, 1002), 2]
+
+
+def test_files_apply_in_order_of_positions(spark, folder):
+    feed, cat = Feed(spark, f"{folder}/feed"), Catalog(spark, f"{folder}/node")
+    cat.create("main", generation=1)
+    index = cat.get("main")
+    for i in range(1, 7):
+        feed.append("main", 1, [insert(i, [1]), delete(i - 1) if i % 2 else insert(i, [1, 2])])
+    place = feed.folder("main", 1).removeprefix("file://")
+    names = sorted(n for n in os.listdir(place) if n.endswith(".json"))
+    for name, written in zip(names, (500, 200, 600, 100, 300, 400), strict=True):
+        os.utime(f"{place}/{name}", (1_700_000_000 + written,) * 2)
+    assert Consumer(spark, feed, index, f"{folder}/checkpoint", files_per_batch=2).catch_up() == 12
+    assert ids(index, [1]) == [1, 3, 5, 6] and index.commit_id == 3
+
+
+def test_missing_positions_are_an_error(spark, folder):
+    feed, cat = Feed(spark, f"{folder}/feed"), Catalog(spark, f"{folder}/node")
+    cat.create("main", generation=1)
+    index = cat.get("main")
+    for i in range(1, 4):
+        feed.append("main", 1, [insert(i, [1])])
+    with pytest.raises(errors.FeedGap):
+        apply_entries(index, feed.entries("main", 1).where("seq <> 2"))
+    place = feed.folder("main", 1).removeprefix("file://")
+    os.remove(f"{place}/{sorted(n for n in os.listdir(place) if n.endswith('.json'))[1]}")
+    with pytest.raises(Exception, match="FeedGap"):
+        Consumer(spark, feed, index, f"{folder}/checkpoint").catch_up()
+    assert index.version == 1 and ids(index, [1]) == [1]
