@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import U32_MAX
-from hashloom.operators.search import SearchOptions, batch, capped_postings, counted_postings, ranked, scores
+from hashloom.operators.search import Batch, SearchOptions, batch, capped_postings, counted_postings, qualifying, ranked, scores
 from hashloom.runtime import Shared
 
 #: Hashes of all queries together that are sent to executors, at most.
@@ -37,10 +37,11 @@ class Probes:
     query: np.ndarray
     query_ids: np.ndarray
     floors: np.ndarray
-    keep: int
+    #: Best rows of each query that are kept; None keeps all.
+    keep: int | None
 
 
-def _probes(table: pa.Table, most: int) -> Probes:
+def _probes(table: pa.Table, most: int | None) -> Probes:
     lists = table.column("hashes").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -53,17 +54,25 @@ def _probes(table: pa.Table, most: int) -> Probes:
 
 
 def _block(probes: Probes, row: np.ndarray, place: np.ndarray, ids: np.ndarray, top: np.ndarray | None) -> np.ndarray:
-    """Best (score, id) of each query so far, packed so that greater is better; 0 where there is none."""
+    """Best (score, id) of each query so far (all of this block if none is cut), packed so that greater is better; 0 where there is none."""
     queries = len(probes.query_ids)
     counts = probes.start[place + 1] - probes.start[place]
     at = np.repeat(probes.start[place] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
     cell = np.repeat(row, counts) * queries + probes.query[at]
     score = np.bincount(cell, minlength=len(ids) * queries).reshape(len(ids), queries)
     packed = np.where(score >= probes.floors, (score << 32) | (U32_MAX - ids)[:, None], 0)
+    if probes.keep is None:
+        return packed
     both = packed if top is None else np.vstack([top, packed])
     return np.partition(both, -probes.keep, axis=0)[-probes.keep :] if len(both) > probes.keep else both
 
 
+def _rows(probes: Probes, cells: np.ndarray) -> pa.RecordBatch:
+    at, query = np.nonzero(cells)
+    packed = cells[at, query]
+    return pa.RecordBatch.from_arrays([pa.array(probes.query_ids[query]), pa.array(U32_MAX - (packed & U32_MAX)), pa.array(packed >> 32)], names=["query_id", "id", "score"])
+
+
 def _score(shared, scopes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_scope: dict[tuple, Probes] = shared.value
@@ -98,14 +107,14 @@ def _score(shared, scopes: int):
                     end = int(row[min(int(np.searchsorted(cost, spent + CELLS)), len(row) - 1)]) + 1
                     end = min(max(end, begin + 1), begin + most_docs, len(docs))
                     last = int(np.searchsorted(row, end))
-                    tops[key] = _block(probes, row[first:last] - begin, place[first:last], ids[docs[begin:end]], tops.get(key))
+                    cells = _block(probes, row[first:last] - begin, place[first:last], ids[docs[begin:end]], tops.get(key))
+                    if probes.keep is None:
+                        yield _rows(probes, cells)
+                    else:
+                        tops[key] = cells
                     begin = end
         for key, top in tops.items():
-            best, query = np.nonzero(top)
-            packed = top[best, query]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(by_scope[key].query_ids[query]), pa.array(U32_MAX - (packed & U32_MAX)), pa.array(packed >> 32)], names=["query_id", "id", "score"]
-            )
+            yield _rows(by_scope[key], top)
 
     return run
 
@@ -115,19 +124,28 @@ def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | No
 
     Query ids are BIGINT and unique. The rows are those of ``search`` over the documents' postings.
     """
-    options = options or SearchOptions()
-    asked = batch(queries, options, *scope)
+    asked = batch(queries, options or SearchOptions(), *scope)
+    return ranked(_found(docs, asked, options or SearchOptions(), scope, most_probes, max(asked.limit, 1)), asked)
+
+
+def search_all_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES) -> DataFrame:
+    """As ``search_docs``, but ``(query_id, id, score)`` of every document at or above the floors: no limit is applied."""
+    asked = batch(queries, options or SearchOptions(), *scope)
+    return qualifying(_found(docs, asked, options or SearchOptions(), scope, most_probes, None), asked)
+
+
+def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[str, ...], most_probes: int, keep: int | None) -> DataFrame:
+    """``(query_id, id, score)`` at or above each query's absolute floor; of every partition the best ``keep`` of a query."""
     if options.max_docs_per_hash is not None or asked.probes > most_probes:
         rows = counted_postings(docs, *scope)
         if options.max_docs_per_hash is not None:
             rows = capped_postings(rows, options.max_docs_per_hash)
-        return ranked(scores(rows, asked, *scope), asked)
+        return scores(rows, asked, *scope)
     table = asked.frame.where(F.size("hashes") > 0).select("query_id", "hashes", "min_score", *scope).toArrow()
     keys = list(zip(*(table.column(c).to_pylist() for c in scope), strict=True)) if scope else [()] * table.num_rows
     rows_of: dict[tuple, list[int]] = {}
     for number, key in enumerate(keys):
         rows_of.setdefault(key, []).append(number)
-    by_scope = {key: _probes(table.take(pa.array(numbers)), max(asked.limit, 1)) for key, numbers in rows_of.items() if None not in key}
+    by_scope = {key: _probes(table.take(pa.array(numbers)), keep) for key, numbers in rows_of.items() if None not in key}
     found = docs.where("hashes is not null").select(F.col("id").cast("bigint").alias("id"), "hashes", *scope)
-    best = found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")
-    return ranked(best, asked)
+    return found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")

@@ -124,6 +124,16 @@ def ranked(found: DataFrame, asked: Batch) -> DataFrame:
     return kept.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def qualifying(found: DataFrame, asked: Batch) -> DataFrame:
+    """``(query_id, id, score)``: what ``ranked`` gives if no limit cut it, without numbering a query's results."""
+    held = stage(found, "found")
+    first = held.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("place"))).alias("first"))
+    floors = asked.side(first.join(asked.settings("query_id", "min_score", "score_pct"), "query_id"), asked.queries)
+    is_first = (F.col("score") == F.col("first.score")) & (F.col("id") == -F.col("first.place"))
+    kept = held.join(floors, "query_id").where(is_first | (F.col("score") >= F.greatest("min_score", percent_floor(F.col("first.score"), F.col("score_pct")))))
+    return kept.select("query_id", "id", "score")
+
+
 def search(rows: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
     """Ranked results of ``queries (query_id, hashes, ...)`` over ``rows (hash, id[, n], *scope)``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import names
 from hashloom.operators import changelog, feeds, merge, state
-from hashloom.operators.kernel import search_docs
+from hashloom.operators.kernel import search_all_docs, search_docs
 from hashloom.operators.search import SearchOptions, postings, search
 from hashloom.plans import fixtures as fx
 
@@ -43,6 +43,8 @@ SELECT {columns} FROM ranked WHERE rank <= {most} AND (rank = 1 OR score >= grea
 
 _BASKETS = "SELECT l_partkey AS hash, l_orderkey + 1 AS id FROM lineitem"
 _DEFAULT = "(n + 19) // 20"
+#: In place of a limit: ``rank <= rank`` holds for every row.
+_NO_LIMIT = "rank"
 
 
 _FIFTIETH = "SELECT l_orderkey + 1 AS query_id, l_partkey AS hash FROM lineitem WHERE l_orderkey % 50 = 0"
@@ -152,13 +154,34 @@ def search_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def search_documents_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth document as a query over all documents: at least half of its shingles shared."""
+    """Every fiftieth document as a query over all documents: the 40 best that score at least half of its shingles and of the best score.
+
+    A top-40 report of the search operator; ``search_documents_neardup_all`` gives every such document.
+    """
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
     asked = docs.where("(id - 1) % 50 = 0").select(F.col("id").alias("query_id"), "hashes", F.floor((F.size("hashes") + 1) / 2).alias("min_score"), F.lit(50).alias("score_pct"))
     found = search_docs(docs, asked)
     return found.select((F.col("query_id") - 1).alias("doc_id"), (F.col("id") - 1).alias("other_id"), "score")
 
 
+@query(
+    _search_sql(
+        _shingles("documents", "doc_id").replace("SELECT id, unnest", "SELECT hash, id FROM (SELECT id, unnest") + ")",
+        _shingles("documents", "doc_id").replace("SELECT id, unnest", "SELECT id AS query_id, hash FROM (SELECT id, unnest").replace("WHERE text IS NOT NULL", "WHERE text IS NOT NULL AND doc_id % 50 = 0") + ")",
+        "(n + 1) // 2", "0", _NO_LIMIT, "query_id - 1 AS doc_id, id - 1 AS other_id, score",
+    )
+)
+def search_documents_neardup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document with all documents that score at least half of its shingles, however many they are.
+
+    As in every search, a score counts each repetition of a shingle in the found document.
+    """
+    docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
+    asked = docs.where("(id - 1) % 50 = 0").select(F.col("id").alias("query_id"), "hashes", F.floor((F.size("hashes") + 1) / 2).alias("min_score"))
+    found = search_all_docs(docs, asked, SearchOptions(score_pct=0))
+    return found.select((F.col("query_id") - 1).alias("doc_id"), (F.col("id") - 1).alias("other_id"), "score")
+
+
 _VECTORS = " UNION ALL ".join(
     f"SELECT {band * 65536} + " + " + ".join(f"CASE WHEN embedding[{band * 16 + i + 1}] > 0 THEN {2**i} ELSE 0 END" for i in range(16)) + " AS hash, vec_id + 1 AS id FROM embeddings" for band in range(4)
 )

@@ -174,6 +174,20 @@ def test_search_docs_equals_search(spark, monkeypatch, most_probes, cells):
     assert kernel.search_docs(docs, asked.limit(0), most_probes=most_probes).collect() == []
 
 
+@pytest.mark.parametrize(("most_probes", "cells"), [(10**6, 10**6), (10**6, 40), (0, 0)])
+def test_search_all_docs_has_no_limit(spark, monkeypatch, most_probes, cells):
+    from hashloom.operators import kernel
+
+    monkeypatch.setattr(kernel, "CELLS", max(cells, 1))
+    docs = spark.createDataFrame([(i, [1, 2, 3] if i <= 150 else [1, 2] if i <= 200 else [1, 4]) for i in range(1, 251)], "id bigint, hashes array<bigint>").repartition(3)
+    asked = spark.createDataFrame([(1, [1, 2, 3], 2, 0), (2, [1, 2, 3], 1, 50), (3, [1, 2], 1, 150), (4, [9], 1, 0)], "query_id bigint, hashes array<bigint>, min_score bigint, score_pct bigint")
+    rows = kernel.search_all_docs(docs, asked, most_probes=most_probes).collect()
+    assert sorted(map(tuple, rows)) == [
+        *((1, i, 3 if i <= 150 else 2) for i in range(1, 201)), *((2, i, 3 if i <= 150 else 2 if i <= 200 else 1) for i in range(1, 251)), (3, 1, 2),
+    ]
+    assert kernel.search_all_docs(docs.limit(0), asked, most_probes=most_probes).collect() == []
+
+
 def test_search_nulls_signed_and_empty(spark):
     docs = spark.createDataFrame([(1, [-1, None, 7]), (2, None), (3, [])], "id bigint, hashes array<bigint>")
     asked = spark.createDataFrame([(1, [4294967295, None]), (2, None), (3, [])], "query_id bigint, hashes array<bigint>")
