@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions import names
+from hashloom.functions.ints import default_min_score
 from hashloom.operators import changelog, feeds, merge, state
 from hashloom.operators.kernel import search_all_docs, search_docs
 from hashloom.operators.search import SearchOptions, postings, search
@@ -139,13 +140,36 @@ def _shingles(name: str, item: str) -> str:
     )
 )
 def search_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test passages as queries over all documents, by shared three-word shingles."""
+    """Test passages as queries over all documents, by shared three-word shingles: the 40 best documents of each.
+
+    A top-40 report of the search operator. ``search_contamination_all`` has every document, and ``p8_found`` is the leak detection.
+    """
     items = fx.shingle_docs(fx.table(spark, sf_dir, "eval_items"), "item_id").withColumnRenamed("id", "query_id")
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
     found = search_docs(docs, items)
     return found.select((F.col("query_id") - 1).alias("item_id"), (F.col("id") - 1).alias("doc_id"), "score")
 
 
+@query(
+    _search_sql(
+        _shingles("documents", "doc_id").replace("SELECT id, unnest", "SELECT hash, id FROM (SELECT id, unnest") + ")",
+        _shingles("eval_items", "item_id").replace("SELECT id, unnest", "SELECT id AS query_id, hash FROM (SELECT id, unnest") + ")",
+        f"least({_DEFAULT}, 13)", "0", _NO_LIMIT, "query_id - 1 AS item_id, id - 1 AS doc_id, score",
+    )
+)
+def search_contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test passages with all documents that share a twentieth of their three-word shingles or 13 of them, however many they are.
+
+    Fifteen equal words are 13 equal shingles, so every document with such a run is there. Words are compared as written;
+    ``p8_found`` also finds runs that differ in case, accents, punctuation or remarks in brackets.
+    """
+    items = fx.shingle_docs(fx.table(spark, sf_dir, "eval_items"), "item_id").withColumnRenamed("id", "query_id")
+    items = items.withColumn("min_score", F.least(default_min_score(F.size("hashes")), F.lit(13)))
+    docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
+    found = search_all_docs(docs, items, SearchOptions(score_pct=0))
+    return found.select((F.col("query_id") - 1).alias("item_id"), (F.col("id") - 1).alias("doc_id"), "score")
+
+
 @query(
     _search_sql(
         _shingles("documents", "doc_id").replace("SELECT id, unnest", "SELECT hash, id FROM (SELECT id, unnest") + ")",
