@@ -101,6 +101,14 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(_profiles(spark, sf_dir), documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its main language and all that make up a tenth of it; one row of nulls if none is found, as without text."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = language.document_languages(_profiles(spark, sf_dir), docs, "doc_id", "text", "lang")
+    rows = found.select("doc_id", "lang", (F.col("lang") == F.col("main_lang")).alias("main"), "share", "several", "confidence")
+    return table(spark, sf_dir, "documents").select("doc_id").distinct().join(rows, "doc_id", "left").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -113,6 +121,7 @@ QUERIES = {
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
+    "p10_documents": p10_documents,
     "p10_segments": p10_segments,
 }
 

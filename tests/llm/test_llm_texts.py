@@ -168,3 +168,16 @@ def test_labels(spark):
     rows = [("EN", "en"), ("en_us", "en"), ("es-419", "es"), ("ger", "de"), ("n/a", None), ("und", None), ("", None), (None, None), ("dut", "nl"), ("Italian", "it")]
     frame = spark.createDataFrame(rows, "label string, want string")
     assert all(r.got == r.want for r in frame.withColumn("got", language.label_code(frame.label)).collect())
+
+
+def test_every_document_has_a_language_row(spark):
+    from hashloom.llm import registry
+
+    rows = registry.queries()["p10_documents"](spark, "/root/testdata/sf0.001").collect()
+    texts = registry.table(spark, "/root/testdata/sf0.001", "documents").selectExpr("doc_id", "coalesce(length(text), 0) > 0 AS has_text").collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in texts}
+    mains = [r.doc_id for r in rows if r.main]
+    assert len(mains) == len(set(mains)) and set(mains) <= {r.doc_id for r in texts if r.has_text}
+    assert all(0 < r.share <= 1 and 0 <= r.confidence <= 1 for r in rows if r.lang is not None)
+    found = {(r.doc_id, r.lang) for r in registry.queries()["p10_found"](spark, "/root/testdata/sf0.001").collect()}
+    assert found <= {(r.doc_id, r.lang) for r in rows}
