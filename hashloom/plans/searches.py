@@ -213,7 +213,10 @@ _VECTORS = " UNION ALL ".join(
 
 @query(_search_sql(_VECTORS, f"SELECT id AS query_id, hash FROM ({_VECTORS}) WHERE (id - 1) % 50 = 0", _DEFAULT, "10", "40", "query_id, id, score"))
 def search_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth vector as a query over all vectors: bands of equal signs."""
+    """Every fiftieth vector as a query over all vectors: bands of equal signs.
+
+    A fixture of set overlap, no nearest-neighbour index: four bands of 16 signs find little besides the query itself.
+    """
     rows = fx.signed_vectors(spark, sf_dir)
     asked = rows.where("(id - 1) % 50 = 0").groupBy(F.col("id").alias("query_id")).agg(F.collect_list("hash").alias("hashes"))
     return search(rows, asked).select("query_id", "id", "score")
