@@ -1,18 +1,23 @@
-"""Test passages inside a corpus: BM25 index of the test items, block-max pruning, exact check.
-
-The index holds, for every word of the test items, the items with their BM25 impact
-(k1, b, idf over the items), items in blocks of ``BLOCK_ITEMS`` with the greatest impact
-of each word in each block. Each item's impacts are divided by the least score that any
-of its runs of ``run`` consecutive words reaches, so a passage that holds such a run
-scores at least 1 on it: no true case can fall below the threshold. Every document is
-cut into overlapping passages, and each passage is a query: blocks whose summed
-block maxima stay below 1 are skipped, items of the other blocks are scored, and all
-with a score of 1 or more are retrieved. The retrieved (document, item) pairs are then
-verified: all runs of the item's words are compared with all runs of the document's.
-
-The index is broadcast. Items are taken in slices of at most ``SLICE_CHARS`` characters
-(measured before), one pass over the corpus for each, so its size is bounded whatever
-the number of test items. The corpus isn't shuffled.
+"""Test passages inside a corpus: BM25 index of the test items, block-max WAND, exact check.
+
+The index is an inverted index over units: windows of ``run + SLACK`` words of the test items, which
+overlap so far that every run of ``run`` consecutive words lies in one. Its terms are ``TERM``
+neighbouring words (a run shares all its terms, a chance text hardly any), and each posting
+holds a BM25 impact (k1, b, idf over the units). A unit's impacts are divided by the least score that
+any of its runs reaches, so a passage that holds such a run scores at least 1 on the unit: no
+true case can fall below the threshold, and it is the same for all units.
+
+Every document is cut into passages of as many words that overlap in the same way, and each
+passage is a query, evaluated by block-max WAND: the cursors of its terms stand in order of their
+units; the first at which the sum of the terms' greatest impacts reaches 1 is the pivot; if the sum
+of the block maxima around it stays below 1, all cursors skip to the end of the nearest block, else
+those before the pivot skip to it, and once all are there the unit is scored. A passage without a
+pivot is done. Passages advance side by side. Retrieved (passage, unit) pairs, and no others, are
+verified: the runs of the passage against the runs of the unit, word by word.
+
+The index is broadcast. Items are taken in slices of at most ``SLICE_CHARS`` characters (measured
+before), so its size is bounded whatever the number of test items. With several slices the corpus
+is cut into words once and staged. The corpus isn't shuffled.
 
 Defined results: null and empty texts match nothing; items shorter than ``run`` words
 match nothing; a repeated document row or item gives one row; texts of any length are
@@ -35,162 +40,261 @@ from hashloom.runtime import Shared, stage
 
 RUN = 15
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
-PASSAGE_WORDS = 48
-SLICE_CHARS = 8_000_000
-#: (word, block) and (word, item) products per step of scoring: bounds the memory of a task.
-STEP = 1_000_000
+#: Words of a term; codes of three words of a slice's vocabulary fit a long.
+TERM = 3
+#: Words of a unit and of a passage beyond those of a run.
+SLACK = 5
+#: Postings of a block of a term's list.
+BLOCK = 8
+SLICE_CHARS = 4_000_000
+#: Passages that advance side by side: bounds the memory of a task.
+STEP = 20_000
 #: Text handled at once.
 STEP_BYTES = 1_000_000
+#: A score of 1 but for rounding.
+ENOUGH = 1 - 1e-9
 
 
 @dataclass
 class Index:
-    """Inverted index of items whose number is their place in ``items``."""
+    """Inverted index; a unit is known by its number."""
 
     run: int
-    items: list
     vocabulary: dict[str, int]
-    #: CSR by word: blocks with their block maxima, and items with their impacts.
-    block_at: np.ndarray
-    blocks: np.ndarray
+    #: Sorted codes of the terms.
+    terms: np.ndarray
+    #: Postings in order of (term, unit): where each term's begin, the unit, the impact, ``term * units + unit``.
+    start: np.ndarray
+    unit: np.ndarray
+    impact: np.ndarray
+    key: np.ndarray
+    #: Greatest impact of each term; block of each posting, and each block's greatest impact and last unit.
+    term_max: np.ndarray
+    block: np.ndarray
     block_max: np.ndarray
-    item_at: np.ndarray
-    postings: np.ndarray
-    impacts: np.ndarray
-    #: Hashes of all runs of all items, sorted, and for each its item and where it begins in ``sequence``.
-    run_hash: np.ndarray
-    run_item: np.ndarray
-    run_at: np.ndarray
-    sequence: np.ndarray
-
-
-def _run_hashes(ids: np.ndarray, run: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``run`` words."""
-    n = len(ids) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    value = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(run):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n].astype(np.uint64) + np.uint64(1)
-            value ^= value >> np.uint64(29)
-    return value
+    block_last: np.ndarray
+    #: Item of each unit, and its words as codes, -2 where it has none.
+    items: list
+    item_of: np.ndarray
+    words: np.ndarray
+
+
+def _windows(length: int, size: int, run: int) -> np.ndarray:
+    """First word of each window over so many words; every run of ``run`` words lies in one."""
+    stride = size - run + 1
+    return np.arange(max(1, -(-(length - size) // stride) + 1)) * stride
+
+
+def _term_codes(words: np.ndarray, base: int) -> np.ndarray:
+    """Code of the term that begins at each word, down the first axis; -1 where a word of it is unknown."""
+    size = len(words) - TERM + 1
+    code, known = np.zeros((max(size, 0), *words.shape[1:]), np.int64), True
+    for i in range(TERM):
+        part = words[i : i + max(size, 0)]
+        code = code * base + part
+        known &= part >= 0
+    return np.where(known, code, -1)
 
 
 def build_index(items: list[tuple], run: int = RUN) -> Index | None:
     """Index of ``(item id, text)``; None if no item has ``run`` words."""
-    texts = {}
+    if run < TERM:
+        raise ValueError(f"a run has {TERM} words at least")
+    vocabulary: dict[str, int] = {}
+    size = run + SLACK
+    found, numbers, item_of, units = {}, [], [], []
     for item, text in items:
-        found = words(text)
-        if len(found) >= run:
-            texts.setdefault(item, []).append(found)
-    parts = [(item, w) for item, several in sorted(texts.items(), key=lambda x: str(x[0])) for w in several]
-    if not parts:
+        ws = words(text)
+        if len(ws) < run:
+            continue
+        number = found.setdefault(item, len(found))
+        if number == len(numbers):
+            numbers.append(item)
+        coded = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64)
+        for begin in _windows(len(coded), size, run):
+            own = coded[begin : begin + size]
+            units.append(np.r_[own, np.full(size - len(own), -2)])
+            item_of.append(number)
+    if not units:
         return None
-    vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for _, ws in parts]
-    lengths = np.array([len(c) for c in coded])
-    average = lengths.mean()
-    frequency = [np.unique(c, return_counts=True) for c in coded]
-    holders = np.bincount(np.concatenate([w for w, _ in frequency]), minlength=len(vocabulary))
-    idf = np.log(1 + (len(parts) - holders + 0.5) / (holders + 0.5))
-    postings, terms, impacts = [], [], []
-    for number, (ids, (own, times)) in enumerate(zip(coded, frequency, strict=True)):
-        impact = idf[own] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[number] / average))
-        at = np.searchsorted(own, ids)
-        least = min(impact[np.unique(at[i : i + run])].sum() for i in range(len(ids) - run + 1))
-        postings.append(np.full(len(own), number))
-        terms.append(own)
-        impacts.append(impact / least)
-    term, item, impact = np.concatenate(terms), np.concatenate(postings), np.concatenate(impacts)
-    order = np.lexsort((item, term))
-    term, item, impact = term[order], item[order], impact[order]
-    block = item // BLOCK_ITEMS
-    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
-    size = len(vocabulary)
-    run_hash = np.concatenate([_run_hashes(c, run) for c in coded])
-    run_item = np.concatenate([np.full(len(c) - run + 1, n) for n, c in enumerate(coded)])
-    begin = np.r_[0, np.cumsum(lengths)[:-1]]
-    run_at = np.concatenate([b + np.arange(len(c) - run + 1) for b, c in zip(begin, coded, strict=True)])
-    by_hash = np.argsort(run_hash, kind="stable")
+    held = np.array(units)
+    base = len(vocabulary)
+    codes = _term_codes(held.T, base).T
+    row, place = np.nonzero(codes >= 0)
+    terms, term = np.unique(codes[row, place], return_inverse=True)
+    count = len(held)
+    key, first, times = np.unique(term * count + row, return_index=True, return_counts=True)
+    term_of, unit_of = key // count, key % count
+    length = (held >= 0).sum(axis=1)
+    holders = np.bincount(term_of, minlength=len(terms))
+    idf = np.log(1 + (count - holders + 0.5) / (holders + 0.5))
+    impact = idf[term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[unit_of] / length.mean()))
+    # The least score of a unit's runs: each counts its distinct pairs once.
+    at = np.full(codes.shape, -1)
+    at[row, place] = np.searchsorted(key, term * count + row)
+    least = np.full(count, np.inf)
+    for begin in range(held.shape[1] - run + 1):
+        own = np.sort(at[:, begin : begin + run - TERM + 1], axis=1)
+        whole = own[:, 0] >= 0
+        once = np.c_[np.ones(len(own), bool), own[:, 1:] != own[:, :-1]]
+        least = np.where(whole, np.minimum(least, np.where(once, impact[own], 0).sum(axis=1)), least)
+    impact = impact / least[unit_of]
+    start = np.searchsorted(term_of, np.arange(len(terms) + 1))
+    inside = np.arange(len(key)) - start[term_of]
+    block = np.cumsum(inside % BLOCK == 0) - 1
+    begins = np.flatnonzero(inside % BLOCK == 0)
     return Index(
-        run, [p[0] for p in parts], vocabulary,
-        np.searchsorted(term[first], np.arange(size + 1)), block[first], np.maximum.reduceat(impact, first),
-        np.searchsorted(term, np.arange(size + 1)), item, impact,
-        run_hash[by_hash], run_item[by_hash], run_at[by_hash], np.concatenate(coded),
+        run, vocabulary, terms, start, unit_of, impact, key, np.maximum.reduceat(impact, start[:-1]),
+        block, np.maximum.reduceat(impact, begins), unit_of[np.r_[begins[1:], len(key)] - 1], numbers, np.array(item_of), held,
     )
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+class _Cursors:
+    """Cursors of several passages, a row of ``term`` each, -1 where a row has no more terms."""
+
+    def __init__(self, index: Index, passage: np.ndarray, term: np.ndarray) -> None:
+        self.index, self.passage, self.term = index, passage, term
+        self.end = np.where(term >= 0, index.start[term + 1], 0)
+        self.at = np.where(term >= 0, index.start[term], 0)
+        self.done = len(index.item_of)  # greater than any unit
+        self.top = np.where(term >= 0, index.term_max[term], 0.0)
 
+    def units(self) -> np.ndarray:
+        return np.where(self.at < self.end, self.index.unit[np.minimum(self.at, len(self.index.unit) - 1)], self.done)
 
-def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each query word its postings: (number of the query word, place of the posting)."""
-    counts = at[term + 1] - at[term]
-    owner = np.repeat(np.arange(len(term)), counts)
-    start = np.repeat(at[term] - np.r_[0, np.cumsum(counts)[:-1]], counts)
-    return owner, start + np.arange(len(owner))
+    def first_from(self, unit: np.ndarray) -> np.ndarray:
+        """Place of each cursor's first posting at or after its row's unit (its end if there is none)."""
+        return np.minimum(np.searchsorted(self.index.key, self.term * self.done + unit[:, None]), self.end)
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.passage, self.term, self.end, self.at, self.top = (x[rows] for x in (self.passage, self.term, self.end, self.at, self.top))
+
+
+def _wand(index: Index, cursors: _Cursors) -> tuple[list, list]:
+    """(passages, units) with a score of 1 or more."""
+    passages, units = [], []
+    last = len(index.unit) - 1
+    while len(cursors.passage):
+        unit = cursors.units()
+        order = np.argsort(unit, axis=1)
+        in_order = np.take_along_axis(unit, order, axis=1)
+        reach = np.cumsum(np.where(in_order < cursors.done, np.take_along_axis(cursors.top, order, axis=1), 0.0), axis=1) >= ENOUGH
+        alive = reach[:, -1]
+        if not alive.all():
+            cursors.keep(alive)
+            unit, in_order, reach = unit[alive], in_order[alive], reach[alive]
+            if not len(unit):
+                break
+        pivot = in_order[np.arange(len(unit)), reach.argmax(axis=1)]
+        # Block maxima around the pivot, of the cursors that aren't past it.
+        meant = unit <= pivot[:, None]
+        target = cursors.first_from(pivot)
+        there = meant & (target < cursors.end)
+        block = index.block[np.minimum(target, last)]
+        bound = np.where(there, index.block_max[block], 0.0).sum(axis=1)
+        good = bound >= ENOUGH
+        together = good & (np.where(meant, unit, pivot[:, None]) == pivot[:, None]).all(axis=1)
+        # Score the pivot where all cursors before it have come to it; else bring them to it.
+        own = meant & (unit == pivot[:, None])
+        score = np.where(own, index.impact[np.minimum(cursors.at, last)], 0.0).sum(axis=1)
+        hit = together & (score >= ENOUGH)
+        passages.append(cursors.passage[hit])
+        units.append(pivot[hit])
+        # Where the bound is too small, nothing before the nearest block's end or the next cursor can reach 1.
+        ends = np.where(there, index.block_last[block], cursors.done).min(axis=1) + 1
+        following = np.where(meant, cursors.done, unit).min(axis=1)
+        to = np.where(good, pivot + together, np.maximum(np.minimum(ends, following), pivot + 1))
+        cursors.at = np.where(meant, np.maximum(cursors.at, cursors.first_from(to)), cursors.at)
+    return passages, units
 
 
 def retrieve(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (passage, item) with a score of 1 or more, for distinct (passage, word) rows ordered by passage."""
-    n_blocks = (len(index.items) - 1) // BLOCK_ITEMS + 1
-    slack = 1 - 1e-9
-    found_p, found_i = [], []
-    cost = np.cumsum(index.item_at[term + 1] - index.item_at[term])
-    start = 0
-    while start < len(term):
-        end = int(np.searchsorted(cost, (cost[start - 1] if start else 0) + STEP, side="right"))
-        end = max(end, start + 1)
-        # Passages are not cut between steps.
-        end = int(np.searchsorted(passage, passage[end - 1], side="right"))
-        p, t = passage[start:end], term[start:end]
-        start = end
-        base = p[0]
-        owner, at = _expand(index.block_at, t)
-        cell = (p[owner] - base) * n_blocks + index.blocks[at]
-        bound = np.bincount(cell, index.block_max[at])
-        alive = bound >= slack
-        if not alive.any():
-            continue
-        # Score items of the surviving blocks only, for passages that have one.
-        some = np.zeros(int(p[-1] - base) + 1, bool)
-        some[np.flatnonzero(alive) // n_blocks] = True
-        kept = some[p - base]
-        p, t = p[kept], t[kept]
-        owner, at = _expand(index.item_at, t)
-        item = index.postings[at]
-        cell = (p[owner] - base) * n_blocks + item // BLOCK_ITEMS
-        kept = alive[np.minimum(cell, len(alive) - 1)] & (cell < len(alive))
-        pair = (p[owner][kept] - base) * len(index.items) + item[kept]
-        order = np.argsort(pair)
-        pair, impact = pair[order], index.impacts[at][kept][order]
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        pairs, score = pair[first], np.add.reduceat(impact, first)
-        hit = pairs[score >= slack]
-        found_p.append(hit // len(index.items) + base)
-        found_i.append(hit % len(index.items))
-    if not found_p:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_p), np.concatenate(found_i)
-
-
-def shared_runs(index: Index, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place in ``ids``) of each run of words that a text shares with an item, compared word by word."""
-    value = _run_hashes(ids, index.run)
-    low, high = np.searchsorted(index.run_hash, value, "left"), np.searchsorted(index.run_hash, value, "right")
-    met = np.flatnonzero(high > low)
-    if not len(met):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    counts = high[met] - low[met]
-    place = np.repeat(met, counts)
-    entry = np.repeat(low[met] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    steps = np.arange(index.run)
-    same = (ids[place[:, None] + steps] == index.sequence[index.run_at[entry][:, None] + steps]).all(axis=1)
-    return index.run_item[entry][same], place[same]
+    """All (passage, unit) with a score of 1 or more, for distinct (passage, term) rows ordered by passage."""
+    passages, units = [], []
+    if len(term):
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        # The first pivot: most passages have none.
+        bound = np.add.reduceat(index.term_max[term], first)
+        width = np.diff(np.r_[first, len(term)])
+        chosen = np.flatnonzero(bound >= ENOUGH)
+        for begin in range(0, len(chosen), STEP):
+            own = chosen[begin : begin + STEP]
+            at = np.arange(width[own].max())
+            places = np.minimum(first[own][:, None] + at, len(term) - 1)
+            table = np.where(at < width[own][:, None], term[places], -1)
+            found = _wand(index, _Cursors(index, passage[first[own]], table))
+            passages += found[0]
+            units += found[1]
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(passages or empty), np.concatenate(units or empty)
+
+
+def _run_hashes(rows: np.ndarray, run: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``run`` words in each row."""
+    size = rows.shape[1] - run + 1
+    value = np.zeros((len(rows), size), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(run):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + rows[:, i : i + size].astype(np.uint64) + np.uint64(1)
+            value ^= value >> np.uint64(29)
+    return value
+
+
+def verify(index: Index, windows: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, place in its window) of every run that a pair's window shares with its unit, compared word by word."""
+    run, pairs, places = index.run, [], []
+    steps = np.arange(run)
+    for begin in range(0, len(units), 4096):
+        mine, theirs = windows[begin : begin + 4096], index.words[units[begin : begin + 4096]]
+        pair, place, other = np.nonzero(_run_hashes(mine, run)[:, :, None] == _run_hashes(theirs, run)[:, None, :])
+        a, b = mine[pair[:, None], place[:, None] + steps], theirs[pair[:, None], other[:, None] + steps]
+        same = ((a == b) & (a >= 0)).all(axis=1)
+        pairs.append(pair[same] + begin)
+        places.append(place[same])
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(pairs or empty), np.concatenate(places or empty)
+
+
+def search_texts(index: Index, texts: list[list[str]], counts: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(item number, text) and how many runs they share, of all texts given as words; ``counts`` gets what was retrieved."""
+    run, code, base = index.run, index.vocabulary.get, len(index.vocabulary)
+    size = run + SLACK
+    stride = size - run + 1
+    lengths = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter((code(w, -1) for t in texts for w in t), np.int64, int(lengths.sum()))
+    begin = np.r_[0, np.cumsum(lengths)[:-1]]
+    passages = np.maximum(1, -(-(lengths - size) // stride) + 1)
+    number = np.r_[0, np.cumsum(passages)]
+    # Places of known terms, then the passages that hold each.
+    codes = _term_codes(flat, base)
+    at = np.flatnonzero(codes >= 0)
+    term = np.searchsorted(index.terms, codes[at])
+    term[term == len(index.terms)] = 0
+    known = index.terms[term] == codes[at]
+    at, term = at[known], term[known]
+    text = np.searchsorted(begin, at, side="right") - 1
+    at = at - begin[text]
+    inside = at + TERM <= lengths[text]
+    at, term, text = at[inside], term[inside], text[inside]
+    low = np.maximum(0, -((size - TERM - at) // stride))
+    high = np.minimum(at // stride, passages[text] - 1)
+    several = high - low + 1
+    offset = np.arange(several.sum()) - np.repeat(np.r_[0, np.cumsum(several)[:-1]], several)
+    passage = np.repeat(number[text] + low, several) + offset
+    rows = np.unique(passage * len(index.terms) + np.repeat(term, several))
+    p, u = retrieve(index, rows // len(index.terms), rows % len(index.terms))
+    owner = np.searchsorted(number, p, side="right") - 1
+    first = begin[owner] + (p - number[owner]) * stride
+    place = first[:, None] + np.arange(size)
+    window = np.where(place < (begin + lengths)[owner][:, None], flat[np.minimum(place, len(flat) - 1)], -1)
+    pairs, where = verify(index, window, u)
+    if counts is not None:
+        for name, more in (("passages", number[-1]), ("retrieved", len(np.unique(p))), ("pairs", len(p)), ("verified", len(np.unique(pairs)))):
+            counts[name] = counts.get(name, 0) + int(more)
+    # A run may lie in two passages and in two units: it counts once.
+    most = int(lengths.max())
+    runs = np.unique((index.item_of[u[pairs]] * len(texts) + owner[pairs]) * most + first[pairs] - begin[owner[pairs]] + where)
+    return np.unique(runs // most, return_counts=True)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,48 +309,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def _search(broadcast, kind: pa.DataType, key: pa.DataType):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, joined by blanks."""
+    for batch in _slices(batches):
+        texts = pa.array([" ".join(words(t.as_py())) for t in batch.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "text"])
+
+
+def _search(broadcast, kind: pa.DataType, cut: bool):
+    """``cut``: texts are words joined by blanks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
-        stride = PASSAGE_WORDS - index.run + 1
-        code = index.vocabulary.get
         for batch in _slices(batches):
-            coded, kept = [], []
+            texts, kept = [], []
             for row, text in enumerate(batch.column(1)):
-                found = words(text.as_py())
+                found = text.as_py().split() if cut else words(text.as_py())
                 if len(found) >= index.run:
-                    # Words outside the index are told apart by no number: they match nothing.
-                    coded.append(np.array([code(w, -1) for w in found], np.int64))
+                    texts.append(found)
                     kept.append(row)
-            if not coded:
+            if not texts:
                 continue
-            lengths = np.array([len(c) for c in coded])
-            passages = np.maximum(1, -(-(lengths - PASSAGE_WORDS) // stride) + 1)
-            text_of = np.repeat(np.arange(len(coded)), passages)
-            number = np.arange(len(text_of)) - np.repeat(np.r_[0, np.cumsum(passages)[:-1]], passages)
-            begin = np.r_[0, np.cumsum(lengths)[:-1]]
-            flat = np.concatenate(coded)
-            at = (begin[text_of] + number * stride)[:, None] + np.arange(PASSAGE_WORDS)
-            inside = at < (begin + lengths)[text_of][:, None]
-            word = np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
-            passage = np.repeat(np.arange(len(text_of)), PASSAGE_WORDS)
-            known = word.ravel() >= 0
-            rows = _distinct(passage[known] * len(index.vocabulary) + word.ravel()[known])
-            p, i = retrieve(index, rows // len(index.vocabulary), rows % len(index.vocabulary))
-            pairs = _distinct(text_of[p] * len(index.items) + i)
-            wanted: dict[int, set] = {}
-            for pair in pairs.tolist():
-                wanted.setdefault(pair // len(index.items), set()).add(pair % len(index.items))
-            out: dict[tuple, int] = {}
-            for text, numbers in wanted.items():
-                shared, place = shared_runs(index, coded[text])
-                for number_, where in set(zip(shared.tolist(), place.tolist(), strict=True)):
-                    if number_ in numbers:
-                        out.setdefault((index.items[number_], kept[text]), set()).add(where)
-            if out:
-                items, texts = zip(*out, strict=True)
+            found, runs = search_texts(index, texts)
+            if len(found):
+                rows = np.array(kept)[found % len(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(items, kind), batch.column(0).take(pa.array(texts)), pa.array([len(v) for v in out.values()], pa.int64())], names=["item_id", "doc_id", "runs"]
+                    [pa.array([index.items[i] for i in found // len(texts)], kind), batch.column(0).take(pa.array(rows)), pa.array(runs, pa.int64())], names=["item_id", "doc_id", "runs"]
                 )
 
     return run
@@ -266,12 +354,13 @@ def leaks(items: DataFrame, item: str, item_text: str, docs: DataFrame, doc: str
     found = None
     if slices > 1:
         sized = stage(sized, "items")
+        texts = stage(texts.mapInArrow(_cut, texts.schema), "words")
     for number in range(slices):
         own = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number)
         index = build_index([(r[0], r[1]) for r in own.select("item_id", "text").collect()], run)
         if index is None:
             continue
-        part = texts.mapInArrow(_search(Shared(spark, index), to_arrow_type(kind), to_arrow_type(key)), schema)
+        part = texts.mapInArrow(_search(Shared(spark, index), to_arrow_type(kind), slices > 1), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)

@@ -60,21 +60,39 @@ def test_leaks(spark, monkeypatch, slice_chars):
 
 
 def test_retrieval_equals_full_scoring(monkeypatch):
-    monkeypatch.setattr(contamination, "STEP", 500)
+    monkeypatch.setattr(contamination, "STEP", 7)
+    monkeypatch.setattr(contamination, "BLOCK", 3)
     rnd = random.Random(2)
-    items = [(i, " ".join(rnd.choice(WORDS[:80]) for _ in range(rnd.randint(15, 40)))) for i in range(50)]
+    items = [(i, " ".join(rnd.choice(WORDS[:9]) for _ in range(rnd.randint(15, 40)))) for i in range(50)]
     index = contamination.build_index(items, 15)
-    passages = [sorted({rnd.randrange(len(index.vocabulary)) for _ in range(rnd.randint(1, 60))}) for _ in range(80)]
-    p = np.repeat(np.arange(80), [len(x) for x in passages])
-    got = set(zip(*(x.tolist() for x in contamination.retrieve(index, p, np.concatenate(passages))), strict=True))
+    count = len(index.terms)
+    passages = [sorted({rnd.randrange(count) for _ in range(rnd.randint(1, 400))}) for _ in range(60)]
+    # Some hold a whole unit, some most of one.
+    for unit in range(0, len(index.item_of), 9):
+        own = np.flatnonzero(index.unit == unit)
+        terms = np.searchsorted(index.start, own, side="right") - 1
+        passages.append(sorted(rnd.sample(terms.tolist(), rnd.randint(len(terms) // 2, len(terms)))))
+    p = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
+    got = list(zip(*(x.tolist() for x in contamination.retrieve(index, p, np.concatenate(passages))), strict=True))
     want = set()
     for number, terms in enumerate(passages):
-        score = np.zeros(len(index.items))
+        score = np.zeros(len(index.item_of))
         for t in terms:
-            at = slice(index.item_at[t], index.item_at[t + 1])
-            score[index.postings[at]] += index.impacts[at]
-        want |= {(number, int(i)) for i in np.flatnonzero(score >= 1 - 1e-9)}
-    assert got == want
+            at = slice(index.start[t], index.start[t + 1])
+            score[index.unit[at]] += index.impact[at]
+        want |= {(number, int(i)) for i in np.flatnonzero(score >= contamination.ENOUGH)}
+    assert set(got) == want and len(got) == len(want) > 30
+
+
+def test_retrieval_prunes_and_verifies_retrieved_pairs_only():
+    rnd = random.Random(4)
+    items = [(i, " ".join(rnd.choice(WORDS) for _ in range(60))) for i in range(30)]
+    index = contamination.build_index(items, 15)
+    texts = [[rnd.choice(WORDS) for _ in range(100)] for _ in range(50)] + [words(items[3][1])[20:50]]
+    counts = {}
+    found, runs = contamination.search_texts(index, texts, counts)
+    assert found.tolist() == [3 * len(texts) + 50] and runs.tolist() == [16]
+    assert counts["verified"] <= counts["pairs"] and counts["retrieved"] < 0.1 * counts["passages"]
 
 
 def test_fill_targets():
