@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder set.
+    Only where the session names none and runs in one process (local tests) is a temporary folder set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="hashloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -58,7 +61,20 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def drop_staged(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for df in staged:
+        _delete(df.sparkSession.sparkContext, df._staged_at)
+
+
+def _delete(context, path: str) -> None:
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -74,10 +90,13 @@ def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> Dat
     """Stage ``df``; hint a broadcast when its counted rows fit, else leave the join to shuffle.
 
     Beyond the bound the join is a sort-merge join, whose hot keys adaptive
-    execution splits.
+    execution splits. ``is_small`` of the result tells which it is.
     """
     staged = stage(df, label)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    small = staged.count() <= max_rows
+    side = F.broadcast(staged) if small else staged
+    side.is_small = small
+    return side
 
 
 class Shared:
