@@ -1,31 +1,33 @@
 """Groups of records whose sets differ by small edits (pivot distance tables).
 
-The distance of two sets is the Hamming distance of their indicator vectors, |A xor B|;
-similarity t or more means at most (1-t)/(1+t) (|A|+|B|). Distances to reference
-fingerprints are precomputed, and since a distance to the same reference can't differ
-by more than the distance itself, a pair whose largest coordinate difference is above
-that bound is discarded; survivors are verified on the sets. Two tables are used:
-
-- 32 fixed references, each half of all possible tokens chosen by a hash bit: a set's
-  distance to one is, up to a constant, the sum of +1 and -1 over its tokens. They are
-  bytes (clipped, which shrinks differences only) in four longs on every row.
-- references from the data: sets can be similar only if they share a rare prefix token
-  (see ``prefix``), so each token held by several sets takes one of its holders as
-  reference, one with few edits, and the exact distance of each holder to it is computed.
-  That is as many distances as prefix tokens, not pairs.
-
-Holders within the bound of their reference are linked to it at once. Where many holders
-of a token are still outside the token's largest component, one of them becomes a further
-reference, a few times at most. The pairs left to compare have at least one side outside the
-largest component of their token; they pass through both tables, and survivors are verified.
-So a group of near copies that holds a third of all rows costs a few distances per member
-and not its square. Exact copies are one class from the start. Linked classes form groups
+The distance of two sets is the Hamming distance of their indicator vectors, |A xor B|; similarity t or
+more means at most r = (1-t)/(1+t) (|A|+|B|). References are fixed fingerprints: sets of all tokens
+whose hash has some property. A record's distance to one is, but for a constant and its size, how many
+of its tokens the reference holds, so a table of distances takes one pass over the tokens. By the triangle
+inequality no coordinate of a pair within the bound differs by more than r. Two tables are used:
+
+- Fine: the tokens are split into disjoint bands, about as many as a record has tokens, and each band has
+  ``REFERENCES`` references, one for each of so many hash bits. An edit touches the coordinates of one band only,
+  so of two records within the bound all bands but r have equal coordinates. That is the join: records meet
+  where all coordinates of a band are equal, and as r + 1 bands of each suffice, those that fewest records
+  share are taken (by the load of about a million sketch buckets: one fixed order, so exact). There is a table for
+  each power of two of the sizes; a record whose partners may be in the next one is in both. Small
+  records (and all, for thresholds below 3/4) have one band for each token. Should a record have too few filled
+  bands for the guarantee, the tables are made with another hash, at last with one band for each token.
+- Coarse: 32 references of half of all tokens. Pairs that met are discarded if their greatest coordinate
+  difference is above r; survivors are verified on the sets.
+
+Records that meet in a band are compared with one of them, the reference of the band, and linked if similar.
+Where many are still outside the band's largest component, one of these becomes a further reference, a few
+times at most. The pairs left have at least one side outside the largest component of their band; they pass
+the coarse table and are verified. So a group of near copies that holds a third of all rows costs a few
+distances a member and not its square. Exact copies are one class from the start. Linked classes form groups
 by connected components.
 
 Defined results: sets ignore order, repeats and nulls; null and empty sets and null ids
 are in no group; an id delivered several times counts once, with its greatest set; ties
 at the threshold link; records without a similar one give no row; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -39,24 +41,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.components import connected
-from hashloom.llm.prefix import ordered_prefixes, sets_by_id, token_loads
-from hashloom.llm.set_join import classes_of, verified
-from hashloom.runtime import stage
-
-#: References per token at most, and the pairs per key that are compared rather than a further reference taken.
+from hashloom.llm.prefix import SKETCH, sets_by_id
+from hashloom.llm.set_join import classes_of, paired
+from hashloom.runtime import small_side, stage
+
+#: References of a band; their coordinates take three bits each of a long.
+REFERENCES = 21
+#: Records of fewer tokens have one band for each token.
+SMALL = 32
+#: Hashes tried before all records get one band for each token.
+SEEDS = 3
+#: References per band at most, and the pairs per key that are compared rather than a further reference taken.
 TURNS, WORTH = 6, 16
-#: Longs of eight coordinates each.
+#: Longs of eight coordinates each of the coarse table.
 PACKS = 4
 _PACKED = [f"c{i}" for i in range(PACKS)]
 
 
-def coordinates(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Packed distances of each set to the 32 fixed references; ``starts`` are the sets' offsets in ``flat``, none empty."""
-    mixed = flat.astype(np.uint64)
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64 hash bits of each value."""
+    mixed = values.astype(np.uint64)
     with np.errstate(over="ignore"):
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
             mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    mixed ^= mixed >> np.uint64(33)
+    return mixed ^ (mixed >> np.uint64(33))
+
+
+def coordinates(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Coarse table: packed distances of each set to the 32 references; ``starts`` are the sets' offsets in ``flat``, none empty.
+
+    Each is, but for a constant, the sum of +1 and -1 over the tokens in and outside the reference. They are
+    bytes, clipped, which shrinks differences only.
+    """
+    mixed = _mixed(flat)
     packs = []
     for pack in range(PACKS):
         value = np.zeros(len(starts), np.uint64)
@@ -68,105 +85,170 @@ def coordinates(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return packs
 
 
-def pivot_keys(classes: DataFrame, loads: np.ndarray, up: int, down: int) -> DataFrame:
-    """Prefix keys with the distances to the fixed references."""
-    shared = classes.sparkSession.sparkContext.broadcast(loads)
+def _spread(bits: np.ndarray) -> np.ndarray:
+    """Each of the lowest ``REFERENCES`` bits in a field of three bits, so that sums count the tokens of each reference."""
+    out = np.zeros(len(bits), np.uint64)
+    for i in range(REFERENCES):
+        out |= ((bits >> np.uint64(i)) & np.uint64(1)) << np.uint64(3 * i)
+    return out
+
+
+def _level(sizes: np.ndarray) -> np.ndarray:
+    """0 for small records, else the number of their power of two."""
+    return np.where(sizes < SMALL, 0, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
+def band_keys(flat: np.ndarray, sizes: np.ndarray, up: int, down: int, seed: int | None) -> list[tuple]:
+    """Fine table: (record, key of the band's coordinates, bands needed of each record, whether it has too few) of each level.
+
+    ``seed`` None gives every token its own band at all sizes.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    banded = seed is not None and 4 * up >= 3 * down
+    low, high = (_level(sizes), _level(sizes * down // up)) if banded else (np.zeros(len(sizes), np.int64),) * 2
+    out = []
+    for level in np.unique(np.r_[low, high]).tolist():
+        inside = (low <= level) & (level <= high)
+        token = inside[owner]
+        mixed, row = _mixed(flat[token] + (seed or 0) * 0x9E3779B1), owner[token]
+        if level == 0:
+            # A band of one token: what one side lacks of the other are its only differences.
+            out.append((row, mixed, np.where(inside, sizes - -(-sizes * up // down) + 1, 0), np.zeros(len(sizes), bool)))
+            continue
+        bands = 1 << level
+        cell = row * bands + (mixed & np.uint64(bands - 1)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        packed = np.add.reduceat(_spread(mixed >> np.uint64(40))[order], first)
+        row, band = cell[first] // bands, cell[first] % bands
+        key = _mixed(packed ^ _mixed(band + bands))
+        need = np.where(inside, sizes * (down - up) // up + 1, 0)
+        out.append((row, key, need, np.bincount(row, minlength=len(sizes)) < need))
+    return out
+
+
+def _flat(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = tokens.offsets.to_numpy().astype(np.int64)
+    return tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pivot_table(sets: DataFrame) -> DataFrame:
+    """``(id, tokens, size, c0, ...)`` with the coarse table of ``(id, tokens)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column("tokens")
-            sizes, row, token, place = ordered_prefixes(tokens, shared.value, up, down)
-            offsets = tokens.offsets.to_numpy().astype(np.int64)
-            flat = tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            packs = coordinates(flat, offsets[:-1] - offsets[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token, pa.int64()), batch.column("id").take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(p[row], pa.int64()) for p in packs]],
-                names=["token", "id", "size", "place", *_PACKED],
-            )
-
-    kind = classes.schema["id"].dataType.simpleString()
-    return classes.select("id", "tokens").mapInArrow(run, f"token bigint, id {kind}, size int, place int, {', '.join(f'{c} bigint' for c in _PACKED)}")
-
-
-def _within(up: int, down: int) -> str:
-    """SQL: no fixed reference's distance differs by more than the bound (columns of x and y)."""
-    return " and ".join(
-        f"abs((shiftrightunsigned(x.{c}, {8 * i}) & 255) - (shiftrightunsigned(y.{c}, {8 * i}) & 255)) * {up + down} <= (x.size + y.size) * {down - up}"
-        for c in _PACKED for i in range(8)
-    )
+            flat, offsets = _flat(batch.column("tokens"))
+            packs = coordinates(flat, offsets[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), pa.array(np.diff(offsets), pa.int64()), *[pa.array(p, pa.int64()) for p in packs]], names=["id", "tokens", "size", *_PACKED])
 
+    return sets.select("id", "tokens").mapInArrow(run, f"id bigint, tokens array<bigint>, size bigint, {', '.join(f'{c} bigint' for c in _PACKED)}")
 
-def _lengths(up: int, down: int) -> str:
-    return f"x.size * {down}L >= y.size * {up}L and y.size * {down}L >= x.size * {up}L"
 
+def band_loads(table: DataFrame, up: int, down: int, seed: int | None) -> np.ndarray | None:
+    """How many records share each sketch bucket of band keys; None if a record has too few filled bands."""
 
-def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(id, ref, distance)`` of the pairs, exact."""
-    a, b = classes.select("id", F.col("tokens").alias("ta")), classes.select(F.col("id").alias("ref"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "id").join(b, "ref")
-    return both.select("id", "ref", (F.size("ta") + F.size("tb") - 2 * F.size(F.array_intersect("ta", "tb"))).alias("distance"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads, few = np.zeros(SKETCH, np.int64), 0
+        for batch in batches:
+            flat, offsets = _flat(batch.column("tokens"))
+            for _, key, _, thin in band_keys(flat, np.diff(offsets), up, down, seed):
+                loads += np.bincount((key % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                few += int(thin.sum())
+        held = np.flatnonzero(loads)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, SKETCH], pa.int32()), pa.array(np.r_[loads[held], few], pa.int64())], names=["b", "n"])
 
+    found = table.select("tokens").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    loads = np.zeros(SKETCH + 1, np.int64)
+    loads[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return None if loads[SKETCH] else np.minimum(loads[:SKETCH], 2**31 - 1).astype(np.int32)
 
-def _near(table: DataFrame, sizes: DataFrame, up: int, down: int) -> DataFrame:
-    """Links ``(u, v)`` of pairs whose distance is within the bound."""
-    both = table.join(sizes.select("id", "n"), "id").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("m")), "ref")
-    return both.where(f"distance * {up + down}L <= (n + m) * {down - up}L").select(F.col("id").alias("u"), F.col("ref").alias("v"))
 
+def pivot_keys(table: DataFrame, loads: np.ndarray, up: int, down: int, seed: int | None) -> DataFrame:
+    """``(key, id)``: the least shared bands of each record, as many as the bound asks for."""
+    shared = table.sparkSession.sparkContext.broadcast(loads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = _flat(batch.column("tokens"))
+            for row, key, need, _ in band_keys(flat, np.diff(offsets), up, down, seed):
+                order = np.lexsort((key, shared.value[(key % np.uint64(SKETCH)).astype(np.int64)], row))
+                row, key = row[order], key[order]
+                start = np.searchsorted(row, np.arange(len(need)))
+                kept = np.arange(len(row)) - start[row] < need[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), batch.column("id").take(pa.array(row[kept]))], names=["key", "id"])
+
+    return table.select("id", "tokens").mapInArrow(run, "key bigint, id bigint")
+
+
+def within(a: str, b: str, up: int, down: int) -> str:
+    """SQL: sizes allow the similarity, and no coarse coordinate of the columns with these prefixes differs by more than the bound."""
+    lengths = [f"{a}size * {down} >= {b}size * {up} and {b}size * {down} >= {a}size * {up}"]
+    return " and ".join(lengths + [
+        f"abs((shiftrightunsigned({a}{c}, {8 * i}) & 255) - (shiftrightunsigned({b}{c}, {8 * i}) & 255)) * {up + down} <= ({a}size + {b}size) * {down - up}"
+        for c in _PACKED for i in range(8)
+    ])
 
-def _placed(held: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(holders with their component ``root``, tokens with the component ``top`` of most of their holders and the ``strays`` outside it)."""
-    rows = stage(held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "holders")
-    sizes = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
-    tops = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("holders"))
-    return rows, stage(tops.select("token", F.col("top.root").alias("top"), "holders", (F.col("holders") - F.col("top.n")).alias("strays")), "tops")
 
+def similar(pairs: DataFrame, table: DataFrame, up: int, down: int) -> DataFrame:
+    """Links ``(u, v)``: the pairs that the coarse table leaves and the sets confirm."""
+    both = paired(pairs, table, table).where(within("a_", "b_", up, down))
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(shared * F.lit(up + down) >= (F.col("a_size") + F.col("b_size")) * F.lit(up)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-def _most_central(rows: DataFrame) -> DataFrame:
-    """``(token, ref)``: the holder most of whose prefix tokens others hold too, so one with few edits; then the smallest id."""
-    return rows.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("r")).select("token", (-F.col("r.minus")).alias("ref"))
 
+def _with_reference(rows: DataFrame, *more) -> DataFrame:
+    """``(key, ref, ...)``: one holder of each key, the same for many keys of a group, but not for all."""
+    rank = F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("rank"), "id")
+    return rows.groupBy("key").agg(F.min(rank).alias("least"), *more).withColumn("ref", F.col("least.id")).drop("least")
 
-def class_links(classes: DataFrame, threshold: str) -> DataFrame:
-    """Links ``(u, v)`` that connect exactly the classes that all similar pairs would connect; ids are numbers."""
+
+def _to_reference(held: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of each holder and the reference of its key."""
+    return held.where("id <> ref").select(F.least("id", "ref").alias("a"), F.greatest("id", "ref").alias("b")).distinct()
+
+
+def class_roots(table: DataFrame, threshold: str) -> DataFrame:
+    """``(id, root)`` of every class that isn't the smallest of its group; groups are those that all similar pairs would connect."""
     share = Fraction(threshold)
     up, down = share.numerator, share.denominator
-    keys = stage(pivot_keys(classes, token_loads(classes), up, down), "pivot-keys")
-    shared = keys.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    met = stage(keys.join(shared, "token"), "shared-keys")
-    held = stage(met.join(met.groupBy("id").agg(F.count("*").alias("central")), "id"), "held-keys")
-    sizes = classes.select("id", F.size("tokens").alias("n"))
+    for seed in [*range(SEEDS), None]:
+        loads = band_loads(table, up, down, seed)
+        if loads is not None:
+            break
+    keys = stage(pivot_keys(table, loads, up, down, seed), "pivot-keys")
+    refs = _with_reference(keys, F.count("*").alias("holders")).where("holders > 1")
+    held = stage(keys.join(refs, "key"), "held-keys")
     every = held.count()
-    refs = _most_central(held)
-    links, first = None, None
+    roots = connected(similar(_to_reference(held), table, up, down))
     for turn in range(TURNS):
-        # Distance of each holder to the reference of each of its tokens.
-        table = stage(_distances(held.join(refs, "token").where("id <> ref").select("id", "ref").distinct(), classes), "distances")
-        if first is None:
-            first = stage(held.join(refs, "token").select("id", "token", "ref"), "references").join(table, ["id", "ref"], "left").select("id", "token", F.coalesce("distance", F.lit(0)).alias("distance"))
-        near = _near(table, sizes, up, down)
-        roots = connected(near if links is None else links.unionByName(near))
-        links = roots.select(F.col("id").alias("u"), F.col("root").alias("v"))
-        rows, tops = _placed(held, roots)
-        cost = tops.agg(F.sum(F.col("strays") * F.col("holders"))).first()[0] or 0
+        # Holders with the component of each, and for each key the component of most holders and the strays outside it.
+        rows = held.where("holders > 2").join(roots, "id", "left").select("key", "id", "holders", F.coalesce("root", "id").alias("root"))
+        rows = stage(rows, "holders")
+        tops = rows.groupBy("key", "root", "holders").agg(F.count("*").alias("n")).groupBy("key", "holders").agg(F.max(F.struct("n", "root")).alias("top"))
+        tops = tops.select("key", F.col("top.root").alias("top"), (F.col("holders") - F.col("top.n")).alias("strays"), (F.col("holders") - F.col("top.n")) * F.col("holders")).toDF("key", "top", "strays", "cost")
+        tops = stage(tops.where("strays > 0"), "tops")
+        cost = tops.agg(F.sum("cost")).first()[0] or 0
         if cost <= WORTH * every or turn == TURNS - 1:
             break
-        # Tokens with many holders outside their largest component take one of these as a further reference.
-        left = rows.join(tops.where(f"strays > {WORTH}"), "token")
-        refs = _most_central(left.where("root <> top"))
-    strayed = rows.join(first, ["id", "token"]).join(tops.where("strays > 0 and holders > 2").select("token", "top"), "token")
-    strayed = stage(strayed.withColumn("stray", F.col("root") != F.col("top")), "strayed")
-    pairs = strayed.where("stray").alias("x").join(strayed.alias("y"), F.col("x.token") == F.col("y.token")).where(
-        f"x.root <> y.root and (not y.stray or x.id < y.id) and {_lengths(up, down)} and abs(x.distance - y.distance) * {up + down}L <= (x.size + y.size) * {down - up}L and {_within(up, down)}"
-    )
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    others = verified(pairs, classes, classes, up, down).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return links.unionByName(others)
+        # Keys with many holders outside their largest component take one of these as a further reference.
+        left = rows.join(tops.where(f"strays > {WORTH}").select("key", "top"), "key").where("root <> top").select("key", "id")
+        more = similar(_to_reference(left.join(_with_reference(left), "key")), table, up, down)
+        roots = connected(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
+    if not cost:
+        return roots
+    strayed = small_side(rows.join(tops.select("key", "top"), "key").withColumn("stray", F.col("root") != F.col("top")), "strayed")
+    strayed = strayed.join(table.drop("tokens"), "id")
+    x, y = (strayed.select(*[F.col(c).alias(f"{side}_{c}") for c in strayed.columns]) for side in "xy")
+    met = x.where("x_stray").join(y, F.col("x_key") == F.col("y_key")).where(f"x_root <> y_root and (not y_stray or x_id < y_id) and {within('x_', 'y_', up, down)}")
+    pairs = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    return connected(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(similar(pairs, table, up, down)))
 
 
 def groups(rows: DataFrame, item: str, hashes: str, threshold: str = "0.8") -> DataFrame:
     """``(id, group_id, group_size)`` for each id in a group of two or more; group_id is its smallest id."""
-    members, classes = classes_of(sets_by_id(rows, item, hashes))
-    roots = connected(class_links(classes, threshold))
+    members, classes = classes_of(sets_by_id(rows, item, hashes).withColumn("id", F.col("id").cast("bigint")))
+    roots = class_roots(stage(pivot_table(classes), "pivot-table"), threshold)
     placed = members.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").select("id", F.coalesce("root", "class").alias("group_id"))
     placed = stage(placed, "placed")
     sizes = placed.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")

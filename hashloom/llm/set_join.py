@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.prefix import prefix_keys, sets_by_id, token_loads
-from hashloom.runtime import stage
+from hashloom.runtime import small_side, stage
 
 SIGNATURE = ["sig_a", "sig_b", "size"]
 
@@ -56,10 +56,23 @@ def candidates(left: DataFrame, right: DataFrame, up: int, down: int, within: bo
     return first.where(still).select("a", "b")
 
 
+def paired(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` with the columns of both records, ``a_`` or ``b_`` before their names.
+
+    Pairs are counted: if they are few, they are sent to the records, and only records in a pair are shuffled.
+    """
+    pairs = small_side(pairs, "pairs")
+    a = left.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "id"])
+    b = right.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "id"])
+    if pairs.is_small:
+        return a.join(pairs, "a").join(b.join(pairs, "b"), ["a", "b"])
+    return pairs.join(a, "a").join(b, "b")
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, up: int, down: int) -> DataFrame:
     """``(a, b, overlap, joined)`` of pairs whose exact similarity reaches the threshold."""
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("overlap"), (F.size("ta") + F.size("tb")).alias("sizes"))
+    both = paired(pairs, left.select("id", "tokens"), right.select("id", "tokens"))
+    counted = both.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("overlap"), (F.size("a_tokens") + F.size("b_tokens")).alias("sizes"))
     return counted.select("a", "b", "overlap", (F.col("sizes") - F.col("overlap")).alias("joined")).where(F.col("overlap") * F.lit(down) >= F.col("joined") * F.lit(up))
 
 

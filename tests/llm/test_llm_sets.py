@@ -190,6 +190,46 @@ def test_near_duplicates(spark, seed):
     assert all(r.group_size == sizes[r.group_id] for r in got)
 
 
+@pytest.mark.parametrize(("small", "threshold"), [(32, "0.8"), (4, "0.8"), (2, "0.9"), (32, "0.6")])
+def test_near_duplicates_of_all_sizes(spark, monkeypatch, small, threshold):
+    """Sizes on both sides of the tables' powers of two; with a small bound some records have too few filled bands at first."""
+    monkeypatch.setattr(near_dups, "SMALL", small)
+    rnd = random.Random(small)
+    sets = []
+    for size in [3, 5, 8, 14, 27, 30, 31, 33, 50, 62, 64, 66, 100, 126, 129, 140] * 3:
+        base = {rnd.randint(0, 2**32 - 1) for _ in range(size)}
+        for _ in range(4):
+            s, edits = set(base), rnd.randint(0, size // 4)
+            for x in rnd.sample(sorted(s), edits // 2):
+                s.discard(x)
+            sets.append(s | {rnd.randint(0, 2**32 - 1) for _ in range(rnd.randint(0, edits))})
+    up, down = {"0.8": (4, 5), "0.9": (9, 10), "0.6": (3, 5)}[threshold]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jaccard(sets[a], sets[b])[0] * down >= jaccard(sets[a], sets[b])[1] * up]
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id bigint, hashes array<bigint>").repartition(4)
+    assert {(r.id, r.group_id) for r in near_dups.groups(df, "id", "hashes", threshold).collect()} == groups_of(links, range(len(sets)))
+
+
+def test_similar_records_share_a_needed_band():
+    """The guarantee behind the fine table, without the engine: of each record the least shared bands meet those of the other."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size = int(rng.integers(32, 200))
+        a = rng.choice(2**32, size, replace=False)
+        edits = int(rng.integers(0, size // 4))
+        b = np.r_[a[edits // 2 :], rng.choice(2**32, edits - edits // 2, replace=False)]
+        k, u = jaccard(set(a.tolist()), set(b.tolist()))
+        if k * 5 < u * 4:
+            continue
+        chosen = []
+        for x in (a, b):
+            own = set()
+            for level, (_, key, need, thin) in enumerate(near_dups.band_keys(x, np.array([len(x)]), 4, 5, 0)):
+                assert not thin.any()
+                own |= set(np.sort(key)[: need[0]].tolist())
+            chosen.append(own)
+        assert chosen[0] & chosen[1]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, [7, 8, 9])], "id bigint, hashes array<bigint>")
     assert near_dups.groups(df, "id", "hashes").collect() == [] and near_dups.groups(df.limit(0), "id", "hashes").collect() == []
@@ -216,3 +256,12 @@ def test_components(spark):
     want = {(i, g) for i, g in groups_of(clean, {x for link in clean for x in link}) if i != g}
     assert {tuple(r) for r in connected(df).collect()} == want
     assert connected(df.limit(0)).collect() == []
+    # Links held by many tasks take the rounds of contraction.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = connected(df.repartition(7)).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        chain = spark.range(3000).selectExpr("(id * 7919) % 3001 AS u", "((id + 1) * 7919) % 3001 AS v")
+        assert {r.root for r in connected(chain).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
