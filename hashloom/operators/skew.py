@@ -1,14 +1,15 @@
 """Per-key counts with even load, however skewed the keys are (exact offset chunking).
 
 Rows are range-partitioned and sorted by (key, item), so a hot key covers as many
-partitions as its rows need. Each partition counts its keys and folds every key's
-run into chunks of at most ``chunk_rows`` rows. A chunk leaves one boundary state:
-rows, distinct items, first and last item. Prefix sums of the states number the
-rows of a key exactly; joining neighbouring states in order (an item that ends one
-chunk and starts the next is counted once) gives the key's totals. Only states of
-keys that touch a partition edge or a chunk edge are shuffled again.
-
-Defined results: a null key is a key of its own; a null item counts as a row but not
+partitions as its rows need. The rows of each key are counted per partition, the counts are
+prefix-summed over the partitions into offsets, and every row gets its exact number in its key:
+offset plus place in the partition. A key is cut into chunks of exactly ``chunk_rows`` numbers (the
+last one shorter), wherever the partitions end. A run of rows of one chunk leaves one boundary
+state: first row number, rows, distinct items, first and last item. Joining neighbouring
+states in order (an item that ends one and starts the next is counted once) gives the totals of
+a chunk or key. Only states of keys that touch the end of a partition or of a chunk are shuffled again.
+
+Defined results: a null key is a key of its own, as is NaN; a null item counts as a row but not
 as a distinct item; repeated rows count as rows; an empty table gives no rows; other
 columns of the input, whatever their names, are ignored.
 """
@@ -27,161 +28,152 @@ from pyspark.sql import types as T
 
 from hashloom.runtime import stage
 
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 100_000
 
 
 def _changes(values: pa.Array) -> np.ndarray:
-    """For each row but the first: does it differ from the row before? Nulls are equal to each other."""
+    """For each row but the first: does it differ from the row before? Nulls are equal to each other, and so are NaNs."""
     here, before = values[1:], values[:-1]
     differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(values.type):
+        nan = pc.fill_null(pc.is_nan(values), False).to_numpy(zero_copy_only=False)
+        differ = differ & ~(nan[1:] & nan[:-1])
     valid = values.is_valid().to_numpy(zero_copy_only=False)
     return differ | (valid[1:] != valid[:-1])
 
 
+def _differ(a: pa.Array, b: pa.Array) -> bool:
+    """Of two arrays of one value."""
+    return bool(_changes(pa.concat_arrays([a, b]))[0])
+
+
+def _placed(key_at: int):
+    """Adds the partition and the place of each row in its key's run there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, next_place = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key = batch.column(key_at)
+            new = np.r_[last is None or _differ(last, key[:1]), _changes(key)]
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(start < 0, at + next_place, at - start)
+            last, next_place = key[-1:], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(key), part), pa.int32()), pa.array(place, pa.int64())], names=[*batch.schema.names, "_part", "_place"])
+
+    return run
+
+
+def number_rows(df: DataFrame, key: str, item: str) -> DataFrame:
+    """``df`` with ``_part`` and ``row_no``: the exact 0-based number of each row among its key's rows, in the order of ``item``.
+
+    No task holds more than a range of (key, item), however hot a key is. Rows with equal items are numbered in any order.
+    Columns named ``row_no``, ``_part`` or ``_place`` in the input give way.
+    """
+    rows = df.drop("row_no", "_part", "_place")
+    kept = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
+    # The source partition breaks ties, so even one (key, item) pair can cover many partitions.
+    ranges = rows.withColumn("_src", F.spark_partition_id()).repartitionByRange(key, item, "_src").sortWithinPartitions(key, item).drop("_src")
+    ranges = stage(ranges.mapInArrow(_placed(rows.columns.index(key)), kept), "key-ranges")
+    counts = ranges.groupBy("_part", F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_part").alias("_of"), "_key", F.sum("_n").over(earlier).alias("_offset")).where("_offset > 0")
+    # At most the first key of a partition goes on from an earlier one: no more rows than partitions.
+    side = F.broadcast(stage(offsets, "offsets"))
+    numbered = ranges.join(side, (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return numbered.select(*rows.columns, "_part", (F.coalesce("_offset", F.lit(0)) + F.col("_place")).alias("row_no"))
+
+
+_STATE = ("chunk", "first_row", "n", "n_items")
+
+
 def _fold(chunk_rows: int):
+    """Boundary states of (key, item, _part, row_no) rows; a scan may bring parts of partitions in any order, each part's rows in theirs."""
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        # The open chunk: key and items as length-1 arrays, and its counts.
-        open_key = open_first = open_last = None
-        rows = items = seq = 0
-        first_run, was_cut = True, False
-        schema = None
+        # The last run so far: key, first and last item as arrays of one value, then numbers.
+        held: dict | None = None
+
+        def states(key, numbers, first_item, last_item, edge) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, *[pa.array(numbers[c], pa.int64()) for c in _STATE], first_item, last_item, pa.array(edge)], names=["key", *_STATE, "first_item", "last_item", "edge"])
+
+        def one(edge: bool) -> pa.RecordBatch:
+            numbers = {c: [held[c]] for c in _STATE[1:]} | {"chunk": [held["first_row"] // chunk_rows]}
+            return states(held["key"], numbers, held["first_item"], held["last_item"], [edge or held["first_row"] > 0])
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             key, item = batch.column(0), batch.column(1)
-            if schema is None:
-                schema = _state_schema(key.type, item.type)
-            carried = open_key is not None
-            if carried:
-                key = pa.concat_arrays([open_key, key])
-                item = pa.concat_arrays([open_last, item])
-            n = len(key)
-            new_key = np.concatenate([[not carried], _changes(key)])
+            part, row = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             valid = item.is_valid().to_numpy(zero_copy_only=False)
-            new_item = np.concatenate([[True], _changes(item)]) & valid
-            at = np.arange(n)
-            # Position in the key's run, counted within this partition.
-            starts = np.flatnonzero(new_key)
-            run_start = np.maximum.accumulate(np.where(new_key, at, -1))
-            offset = np.where(run_start < 0, (rows + seq * chunk_rows - 1) if carried else 0, 0)
-            run_start = np.where(run_start < 0, 0, run_start)
-            in_run = at - run_start + offset
-            cut = (in_run % chunk_rows == 0) & (in_run > 0)
-            if carried:
-                cut[0] = False
-            begins = new_key | cut
-            new_item = np.where(begins, valid, new_item)
+            new_key, same_part = _changes(key), part[1:] == part[:-1]
+            begins = np.r_[True, new_key | ~same_part | (row[1:] != row[:-1] + 1) | (row[1:] % chunk_rows == 0)]
             segs = np.flatnonzero(begins)
-            if carried:
-                segs = np.concatenate([[0], segs])
-                new_item[0] = False
-            ends = np.append(segs[1:], n)
-            counts = ends - segs
-            distinct = np.add.reduceat(new_item.astype(np.int64), segs)
-            seqs = in_run[segs] // chunk_rows
-            by_cut = np.append(cut[segs[1:]], False)
-            runs = np.cumsum(new_key)[segs] + (0 if carried else -1)
-            edge = (seqs > 0) | by_cut
-            if first_run:
-                edge |= runs == 0
-                first_run = bool(runs[-1] == 0)
-            first_items = item.take(pa.array(segs))
-            if carried:
-                counts[0] += rows - 1
-                distinct[0] += items
-                edge[0] |= was_cut
-                first_items = pa.concat_arrays([open_first, first_items[1:]])
-                seqs[0] = seq
-            keys, last_items = key.take(pa.array(segs)), item.take(pa.array(ends - 1))
+            ends = np.append(segs[1:], len(row))
+            new_item = np.r_[True, _changes(item)]
+            new_item[segs] = True
+            counts, items = ends - segs, np.add.reduceat((new_item & valid).astype(np.int64), segs)
+            # A key is whole only if it began with its first row and the next row, of the same partition, has another key.
+            over = np.append(new_key[segs[1:] - 1] & same_part[segs[1:] - 1], False)
+            first_row = row[segs].astype(np.int64)
+            firsts, lasts, keys = item.take(pa.array(segs)), item.take(pa.array(ends - 1)), key.take(pa.array(segs))
+            if held is not None:
+                other_key, near = _differ(held["key"], keys[:1]), held["part"] == part[0]
+                if not other_key and near and held["next_row"] == row[0] and row[0] % chunk_rows:
+                    joined = bool(valid[0]) and not _differ(held["last_item"], firsts[:1])
+                    counts[0] += held["n"]
+                    items[0] += held["n_items"] - joined
+                    first_row[0] = held["first_row"]
+                    firsts = pa.concat_arrays([held["first_item"], firsts[1:]])
+                else:
+                    yield one(not (other_key and near))
             done = len(segs) - 1
             if done:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(done, part), pa.int32()), pa.array(seqs[:done], pa.int64()), keys[:done],
-                        pa.array(counts[:done], pa.int64()), pa.array(distinct[:done], pa.int64()),
-                        first_items[:done], last_items[:done], pa.array(edge[:done]),
-                    ],
-                    schema=schema,
-                )
-            open_key, open_first, open_last = keys[done:], first_items[done:], last_items[done:]
-            rows, items, seq, was_cut = int(counts[-1]), int(distinct[-1]), int(seqs[-1]), bool(edge[-1])
-        if open_key is not None:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()), pa.array([seq], pa.int64()), open_key, pa.array([rows], pa.int64()),
-                    pa.array([items], pa.int64()), open_first, open_last, pa.array([True]),
-                ],
-                schema=schema,
-            )
+                numbers = {"chunk": first_row[:done] // chunk_rows, "first_row": first_row[:done], "n": counts[:done], "n_items": items[:done]}
+                yield states(keys[:done], numbers, firsts[:done], lasts[:done], ~over[:done] | (first_row[:done] > 0))
+            held = {
+                "key": keys[done:], "first_item": firsts[done:], "last_item": lasts[done:], "part": part[-1], "next_row": int(row[-1]) + 1,
+                "first_row": int(first_row[-1]), "n": int(counts[-1]), "n_items": int(items[-1]),
+            }
+        if held is not None:
+            yield one(True)
 
     return fold
 
 
-def _state_schema(key: pa.DataType, item: pa.DataType) -> pa.Schema:
-    return pa.schema(
-        [("part", pa.int32()), ("seq", pa.int64()), ("key", key), ("n", pa.int64()), ("n_items", pa.int64()), ("first_item", item), ("last_item", item), ("edge", pa.bool_())]
-    )
-
-
 def chunk_states(df: DataFrame, key: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One boundary state per (partition, key, chunk), staged in the shared folder."""
-    rows = df.select(F.col(key).alias("key"), F.col(item).alias("item"), F.spark_partition_id().alias("src"))
-    # The source partition breaks ties, so even one (key, item) pair can cover many partitions.
-    ordered = rows.repartitionByRange("key", "item", "src").sortWithinPartitions("key", "item").select("key", "item")
-    kinds = {f.name: f.dataType for f in ordered.schema}
-    schema = T.StructType(
-        [
-            T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("key", kinds["key"]), T.StructField("n", T.LongType()),
-            T.StructField("n_items", T.LongType()), T.StructField("first_item", kinds["item"]), T.StructField("last_item", kinds["item"]), T.StructField("edge", T.BooleanType()),
-        ]
-    )
-    return stage(ordered.mapInArrow(_fold(chunk_rows), schema), "chunks")
+    """``(key, chunk, first_row, n, n_items, first_item, last_item, edge)``, staged: one boundary state per chunk, or per part of it that one task holds.
 
-
-def numbered_chunks(states: DataFrame) -> DataFrame:
-    """Edge states with ``first_row`` (exact 0-based row number in the key) and the distinct items new to each chunk."""
-    order = Window.partitionBy("key").orderBy("part", "seq")
-    joined = F.coalesce((F.lag("last_item").over(order) == F.col("first_item")).cast("long"), F.lit(0))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return states.where("edge").select("key", "part", "seq", before.alias("first_row"), "n", (F.col("n_items") - joined).alias("new_items"))
-
-
-def number_rows(df: DataFrame, key: str, item: str) -> DataFrame:
-    """``df`` with ``row_no``: the exact 0-based number of each row among its key's rows, in the order of ``item``.
-
-    Rows lie in ranges of (key, item); keys are counted in each range, the counts are prefix-summed
-    over the ranges into offsets, and rows are numbered inside (range, key) from there. No task holds
-    more than a range, however hot a key is. Rows with equal items are numbered in any order.
-    Columns named ``row_no`` or ``_part`` in the input give way.
+    Without ``edge`` the state is that of a whole key.
     """
-    rows = df.drop("row_no", "_part").withColumn("_src", F.spark_partition_id())
-    ranges = stage(rows.repartitionByRange(key, item, "_src").withColumn("_part", F.spark_partition_id()), "key-ranges").drop("_src")
-    counts = ranges.groupBy("_part", F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_part").alias("_of"), "_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part", key).orderBy(F.asc_nulls_first(item))) - 1
-    placed = ranges.withColumn("_inside", inside).join(offsets, (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
-    return placed.select(*[c for c in df.columns if c not in ("row_no", "_part")], (F.col("_offset") + F.col("_inside")).alias("row_no"))
+    rows = number_rows(df.select(F.col(key).alias("key"), F.col(item).alias("item")), "key", "item")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    fields = [("key", kinds["key"]), *[(c, T.LongType()) for c in _STATE], ("first_item", kinds["item"]), ("last_item", kinds["item"]), ("edge", T.BooleanType())]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
+    return stage(rows.select("key", "item", "_part", "row_no").mapInArrow(_fold(chunk_rows), schema), "chunks")
 
 
-def key_chunks(df: DataFrame, key: str, item: str, chunk_rows: int) -> DataFrame:
-    """``(key, chunk, n, n_items, first_item, last_item)``: each key's rows in chunks of exactly ``chunk_rows`` (the last one shorter), each one group."""
-    numbered = number_rows(df.select(F.col(key).alias("key"), F.col(item).alias("item")), "key", "item")
-    chunks = numbered.groupBy("key", F.floor(F.col("row_no") / chunk_rows).alias("chunk"))
-    return chunks.agg(F.count("*").alias("n"), F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("item").alias("last_item"))
+def _joined(states: DataFrame, *same: str) -> DataFrame:
+    """States in order, ``n_items`` without an item that the state before, of the same ``same``, ends with."""
+    order = Window.partitionBy(*same).orderBy("first_row")
+    again = F.coalesce((F.lag("last_item").over(order) == F.col("first_item")).cast("long"), F.lit(0))
+    return states.withColumn("n_items", F.col("n_items") - again)
 
 
-def merged_chunks(chunks: DataFrame) -> DataFrame:
-    """``(key, n, n_items)`` from ``key_chunks``: an item that ends a chunk and starts the next counts once."""
-    order = Window.partitionBy("key").orderBy("chunk")
-    joined = F.coalesce((F.lag("last_item").over(order) == F.col("first_item")).cast("long"), F.lit(0))
-    return chunks.select("key", "n", (F.col("n_items") - joined).alias("n_items")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_items").alias("n_items"))
+def key_chunks(df: DataFrame, key: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(key, chunk, n, n_items, first_item, last_item)``: each key's rows in order of item, in chunks of exactly ``chunk_rows`` (the last one shorter)."""
+    states = chunk_states(df, key, item, chunk_rows)
+    columns = ["key", "chunk", "n", "n_items", "first_item", "last_item"]
+    ends = [F.min_by("first_item", "first_row").alias("first_item"), F.max_by("last_item", "first_row").alias("last_item")]
+    cut = _joined(states.where("edge"), "key", "chunk").groupBy("key", "chunk").agg(F.sum("n").alias("n"), F.sum("n_items").alias("n_items"), *ends)
+    return states.where("not edge").select(*columns).unionByName(cut.select(*columns))
 
 
 def chunked_counts(df: DataFrame, key: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(key, n, n_items)``: rows and distinct non-null items of every key, with even load."""
     states = chunk_states(df, key, item, chunk_rows)
-    inner = states.where("not edge").select("key", "n", "n_items")
-    merged = numbered_chunks(states).groupBy("key").agg(F.sum("n").alias("n"), F.sum("new_items").alias("n_items"))
-    return inner.unionByName(merged)
+    merged = _joined(states.where("edge"), "key").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_items").alias("n_items"))
+    return states.where("not edge").select("key", "n", "n_items").unionByName(merged)
