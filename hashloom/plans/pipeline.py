@@ -92,7 +92,7 @@ def live_fingerprints(spark: SparkSession, sf_dir: str, path: str, payload: list
         F.col("commit_id").alias("position"), F.col("ordinal").cast("long").alias("ordinal"), "version", *hashes,
     )
     state.apply(commits.where(ids))
-    fresh = p5_found(spark, sf_dir)
+    fresh = uncovered_entries(spark, sf_dir, f"{path}-entries")[0].read(P5_OUTPUT)
     entries = table(spark, sf_dir, "changelog").select("index_name", "generation", "seq", "change").where("change.op is not null and change.id is not null and change.id <> 0")
     routed = entries.join(fresh, ["index_name", "generation", "seq"], "left_semi").select(
         op_kind(F.col("change.op")).alias("op"), "index_name", F.col("change.id").alias("id"), F.lit(1).alias("phase"),
