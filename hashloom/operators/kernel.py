@@ -1,7 +1,7 @@
 """Batch search over whole documents: every document meets all queries of its scope at once.
 
-Where the queries are few enough to be sent to every executor (their hashes are counted
-first), scoring needs neither postings nor a shuffle of hits: a block of documents and the
+Where the queries are few enough to be sent to every executor, and so are the best rows of all that a
+task keeps (their hashes, number and limits are counted first), scoring needs neither postings nor a shuffle of hits: a block of documents and the
 queries of a scope form a table of scores, filled by one counting pass over the hashes they
 share, and only each query's best rows of a partition leave it. Beyond that bound ``search_docs``
 takes the join of ``operators.search`` instead. Both give the same rows.
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.ints import U32_MAX
 from hashloom.operators.search import Batch, SearchOptions, batch, capped_postings, counted_postings, qualifying, ranked, scores
-from hashloom.runtime import Shared
+from hashloom.runtime import Shared, small_side
 
 #: Hashes of all queries together that are sent to executors, at most.
 MOST_PROBES = 4_000_000
+#: Best rows that a task keeps of all queries together, at most: 8 bytes each, a few copies at a time.
+MOST_KEPT = 4_000_000
 #: Cells of a score table and shared hashes counted in one step.
 CELLS = 4_000_000
 
@@ -120,9 +122,11 @@ def _score(shared, scopes: int):
 
 
 def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES) -> DataFrame:
-    """Ranked ``(query_id, id, score, rank)`` of ``queries`` over ``docs (id, hashes, *scope)``, each id once and a u32.
+    """Ranked ``(query_id, id, score, rank)`` of ``queries`` over ``docs (id, hashes, *scope)``.
 
-    Query ids are BIGINT and unique. The rows are those of ``search`` over the documents' postings.
+    Query ids are BIGINT and unique. The rows are those of ``search`` over the documents' postings, whichever
+    way is taken: several rows of one id (in one scope) are one bag with the elements of all; rows whose id is null
+    or no u32 are left out.
     """
     asked = batch(queries, options or SearchOptions(), *scope)
     return ranked(_found(docs, asked, options or SearchOptions(), scope, most_probes, max(asked.limit, 1)), asked)
@@ -134,10 +138,26 @@ def search_all_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions
     return qualifying(_found(docs, asked, options or SearchOptions(), scope, most_probes, None), asked)
 
 
+def whole_documents(docs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """``(id, hashes, *scope)`` with one row for each id of a scope.
+
+    Ids are counted (they alone are shuffled); only the rows of those that come more than once are then put together.
+    """
+    rows = docs.select(F.col("id").cast("bigint").alias("id"), "hashes", *scope).where(f"hashes is not null and id between 0 and {U32_MAX}")
+    several = small_side(rows.groupBy("id", *scope).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
+    if several.isEmpty():
+        return rows
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("id", *scope)]
+    alone = rows.alias("r").join(several.alias("s"), same, "left_anti")
+    parts = rows.alias("r").join(several.alias("s"), same, "left_semi")
+    return alone.unionByName(parts.groupBy("id", *scope).agg(F.flatten(F.collect_list("hashes")).alias("hashes")).select("id", "hashes", *scope))
+
+
 def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[str, ...], most_probes: int, keep: int | None) -> DataFrame:
     """``(query_id, id, score)`` at or above each query's absolute floor; of every partition the best ``keep`` of a query."""
-    if options.max_docs_per_hash is not None or asked.probes > most_probes:
-        rows = counted_postings(docs, *scope)
+    cells = asked.queries * (keep or 0)
+    if options.max_docs_per_hash is not None or asked.probes > most_probes or cells > MOST_KEPT:
+        rows = counted_postings(docs.where(f"id between 0 and {U32_MAX}"), *scope)
         if options.max_docs_per_hash is not None:
             rows = capped_postings(rows, options.max_docs_per_hash)
         return scores(rows, asked, *scope)
@@ -147,5 +167,5 @@ def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[s
     for number, key in enumerate(keys):
         rows_of.setdefault(key, []).append(number)
     by_scope = {key: _probes(table.take(pa.array(numbers)), keep) for key, numbers in rows_of.items() if None not in key}
-    found = docs.where("hashes is not null").select(F.col("id").cast("bigint").alias("id"), "hashes", *scope)
+    found = whole_documents(docs, scope)
     return found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")

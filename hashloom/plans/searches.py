@@ -63,6 +63,14 @@ def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(fx.baskets(spark, sf_dir), fx.basket_queries(spark, sf_dir))
 
 
+@query(_search_sql(_BASKETS, _FIFTIETH, _DEFAULT, "10", "40", "query_id, id, score, rank"))
+def search_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents stored in several rows each, one for each flag and status: their elements are one bag."""
+    stored = fx.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("id"), "l_returnflag", "l_linestatus").agg(F.collect_list("l_partkey").alias("hashes"))
+    nameless = spark.createDataFrame([(None, "A", "F", [1, 2, 3])], stored.schema)
+    return search_docs(stored.unionByName(nameless), fx.basket_queries(spark, sf_dir))
+
+
 @query(_search_sql(_BASKETS, _FIFTIETH, "2", "10", "100", "query_id, id, score"))
 def search_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = SearchOptions(limit=100, min_score=2)

@@ -10,7 +10,7 @@ from hashloom.operators import merge, state
 from hashloom.operators.cow import BucketedTable
 from hashloom.operators.incremental import IncrementalTable
 from hashloom.operators.search import SearchOptions, counted_postings, postings, search
-from hashloom.operators.skew import chunk_states, chunked_counts, key_chunks, merged_chunks, number_rows, numbered_chunks
+from hashloom.operators.skew import chunk_states, chunked_counts, key_chunks, number_rows
 
 
 def expected_counts(rows):
@@ -37,10 +37,31 @@ def test_chunked_counts_of_strings_and_nothing(spark):
 
 
 def test_chunks_are_equal_and_numbered(spark):
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
-    chunks = numbered_chunks(chunk_states(df, "k", "v", 50)).orderBy("first_row").collect()
-    assert max(c.n for c in chunks) <= 50 and sum(c.n for c in chunks) == 1000
-    assert [c.first_row for c in chunks] == [sum(d.n for d in chunks[:i]) for i in range(len(chunks))]
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v")).repartition(7)
+    states = chunk_states(df, "k", "v", 50).orderBy("first_row").collect()
+    assert max(c.n for c in states) <= 50 and sum(c.n for c in states) == 1000
+    # The offsets number the rows on over the partitions, and the numbers alone decide where chunks end.
+    assert [c.first_row for c in states] == [sum(d.n for d in states[:i]) for i in range(len(states))]
+    assert all(c.chunk == c.first_row // 50 for c in states)
+    chunks = key_chunks(df, "k", "v", 50).orderBy("chunk").collect()
+    assert [(c.chunk, c.n, c.n_items, c.first_item, c.last_item) for c in chunks] == [(i, 50, 50, 50 * i, 50 * i + 49) for i in range(20)]
+
+
+def test_chunks_of_files_read_in_pieces(spark):
+    """The scan of the numbered rows may cut or pack their files."""
+    df = spark.createDataFrame([(1 if i % 3 else i, i // 4) for i in range(4000)], "k bigint, v bigint").repartition(6)
+    want = expected_counts([tuple(r) for r in df.collect()])
+    for size in ("2k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert {r.key: (r.n, r.n_items) for r in chunked_counts(df, "k", "v", 100).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_nan_is_one_key(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (1.0, 2)], "k double, v bigint")
+    assert sorted((str(r.key), r.n, r.n_items) for r in chunked_counts(df, "k", "v", 1).collect()) == [("1.0", 1, 1), ("nan", 2, 2)]
 
 
 def test_rows_are_numbered_exactly(spark):
@@ -56,7 +77,6 @@ def test_rows_are_numbered_exactly(spark):
         assert [n for n, _ in sorted(got[key])] == list(range(len(got[key])))
     chunks = key_chunks(df, "k", "v", 40)
     assert all(c.n == 40 for c in chunks.collect() if (c.chunk + 1) * 40 <= len(got[c.key]))
-    assert {r.key: (r.n, r.n_items) for r in merged_chunks(chunks).collect()} == expected_counts((k, v) for k, v, _ in rows)
     assert number_rows(df.limit(0), "k", "v").collect() == []
 
 
@@ -102,6 +122,42 @@ def test_incremental_repeats_a_run_that_died(spark, folder):
     assert run_incremental(spark, folder, [("a", 1)], []) == (1, [("a", 1)])
 
 
+def test_incremental_never_reads_what_a_dead_run_wrote(spark, folder, monkeypatch):
+    """The run dies after its rows were written and before its commit; then the source goes back to what it was."""
+    from hashloom.operators import incremental
+
+    first, second = [("a", 1), ("b/ c=%", 2)], [("a", 7), ("b/ c=%", 2)]
+    assert run_incremental(spark, folder, first, []) == (2, first)
+    write = incremental.files.write_json
+
+    def dies(spark, path, value):
+        raise OSError(path)
+
+    for _ in range(2):
+        monkeypatch.setattr(incremental.files, "write_json", dies)
+        with pytest.raises(OSError):
+            run_incremental(spark, folder, second, [])
+        monkeypatch.setattr(incremental.files, "write_json", write)
+        # What was not committed isn't seen, neither now nor after a run on the old source.
+        assert sorted(map(tuple, IncrementalTable(spark, folder).read(OUT).collect())) == first
+    assert run_incremental(spark, folder, first, []) == (0, first)
+    assert run_incremental(spark, folder, second, []) == (1, second)
+    assert run_incremental(spark, folder, [*second, ("c", 3)], []) == (1, [*second, ("c", 3)])
+    assert run_incremental(spark, folder, second, []) == (0, second)
+
+
+def test_incremental_deletes_what_was_replaced(spark, folder):
+    reader = None
+    for v in range(1, 5):
+        assert run_incremental(spark, folder, [("a=b", v), ("c", 0)], [])[0] == (2 if v == 1 else 1)
+        if reader is not None:  # a reader of the state before a run can still end
+            assert reader.collect() == [(("a=b"), v - 1)]
+        reader = IncrementalTable(spark, folder).read(OUT)
+    assert IncrementalTable(spark, folder).vacuum() <= 1
+    assert IncrementalTable(spark, folder).vacuum() == 0
+    assert [tuple(r) for r in reader.collect()] == [("a=b", 4)]
+
+
 CHANGES = "op string, id bigint, pos bigint, v string"
 
 
@@ -131,6 +187,40 @@ def test_bucketed_table_in_any_order(spark, folder):
         BucketedTable(spark, folder, ["id"], ["pos"], ["bucket"])
 
 
+def test_bucketed_table_grows_and_leaves_buckets_untouched(spark, folder):
+    """A table ten times its first batch is hashed into more buckets; a batch of few keys leaves most of them as they were."""
+    table = BucketedTable(spark, folder, ["id"], ["pos"], ["v"], 2, rows_per_bucket=50)
+    table.apply(spark.range(80).selectExpr("'i' AS op", "id", "id AS pos", "'a' AS v"))
+    assert table.buckets == 2
+    assert len(table.apply(spark.range(40, 800).selectExpr("'i' AS op", "id", "id + 1000 AS pos", "'b' AS v"))) == table.buckets == 32
+    assert {(r.id, r.v) for r in table.live().collect()} == {(i, "a" if i < 40 else "b") for i in range(800)}
+    before = table._manifest()["folders"]
+    again = BucketedTable(spark, folder, ["id"], ["pos"], ["v"], rows_per_bucket=50)
+    touched = again.apply(spark.createDataFrame([("d", 3, 9000, None), ("i", 4, 1, "late")], CHANGES))
+    after = again._manifest()["folders"]
+    assert len(touched) <= 2 and {b for b in after if after[b] != before[b]} == {str(b) for b in touched}
+    rows = {r.id: r.v for r in again.live().collect()}
+    assert 3 not in rows and rows[4] == "a" and len(rows) == 799
+
+
+def test_bucketed_table_with_a_hot_key(spark, folder):
+    """One key changed a million times: one row of each task goes through the shuffle."""
+    table = BucketedTable(spark, folder, ["id"], ["pos"], ["v"])
+    changes = spark.range(0, 1_000_000, 1, 8).selectExpr("'i' AS op", "if(id % 1000 = 0, id, 7L) AS id", "(id * 7919) % 1000003 AS pos", "cast(id AS string) AS v", "1 AS bucket")
+    plan = table._last(changes.select("op", "id", "pos", "v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("Aggregate")
+    table.apply(changes)
+    rows = {r.id: r.pos for r in table.live().collect()}
+    assert len(rows) == 1001 and rows[7] == max((i * 7919) % 1000003 for i in range(1_000_000) if i % 1000)
+
+
+def test_bucketed_table_of_null_payloads_and_no_rows(spark, folder):
+    table = BucketedTable(spark, folder, ["id"], ["pos"], ["v"], 3)
+    table.apply(spark.createDataFrame([("i", 1, 5, None), ("i", 1, 5, "x"), ("d", 1, 5, "z"), ("i", 2, None, "n"), ("i", 2, 0, "o")], CHANGES))
+    assert {(r.id, r.v) for r in table.live().collect()} == {(1, "x"), (2, "o")}
+    assert table.apply(spark.createDataFrame([("q", 1, 9, "y"), ("i", None, 9, "y")], CHANGES)) == []
+
+
 def brute_search(docs, query, limit=40, min_score=None, pct=10):
     floor = max((len(query) + 19) // 20 if min_score is None else min_score, 1)
     found = sorted(((d, sum(h in set(query) for h in hs)) for d, hs in docs.items()), key=lambda x: (-x[1], x[0]))
@@ -174,6 +264,21 @@ def test_search_docs_equals_search(spark, monkeypatch, most_probes, cells):
     assert kernel.search_docs(docs, asked.limit(0), most_probes=most_probes).collect() == []
 
 
+@pytest.mark.parametrize(("most_probes", "most_kept"), [(10**6, 10**6), (0, 10**6), (10**6, 10)])
+def test_search_docs_with_repeated_and_invalid_ids(spark, monkeypatch, most_probes, most_kept):
+    """Rows of one id are one bag and invalid ids are left out, whether scores are tabled or joined."""
+    from hashloom.operators import kernel
+
+    monkeypatch.setattr(kernel, "MOST_KEPT", most_kept)
+    docs = spark.createDataFrame([(1, [1, 2], "a"), (1, [3, 4, 4], "a"), (2, [1], "a"), (None, [1, 2, 3, 4], "a"), (-5, [1], "a"), (2**32, [1], "a"), (1, None, "a"), (2, [1, 2], "b"), (3, [1], None), (3, [2], None)], "id bigint, hashes array<bigint>, part string").repartition(3)
+    asked = spark.createDataFrame([(1, [1, 2, 3, 4], "a"), (2, [1, 2], "b"), (3, [2], None)], "query_id bigint, hashes array<bigint>, part string")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want = [(1, 1, 5, 1), (1, 2, 3, 2), (1, 3, 2, 3), (2, 1, 2, 2), (2, 2, 3, 1), (2, 3, 2, 3), (3, 1, 1, 1), (3, 2, 1, 2), (3, 3, 1, 3)]
+    assert rows(kernel.search_docs(docs, asked, most_probes=most_probes)) == want
+    assert rows(kernel.search_docs(docs, asked, scope=("part",), most_probes=most_probes)) == [(1, 1, 5, 1), (1, 2, 1, 2), (2, 2, 2, 1)]
+    assert rows(kernel.search_all_docs(docs, asked, scope=("part",), most_probes=most_probes)) == [(1, 1, 5), (1, 2, 1), (2, 2, 2)]
+
+
 @pytest.mark.parametrize(("most_probes", "cells"), [(10**6, 10**6), (10**6, 40), (0, 0)])
 def test_search_all_docs_has_no_limit(spark, monkeypatch, most_probes, cells):
     from hashloom.operators import kernel
