@@ -25,7 +25,7 @@ def u32_bag(hashes: Column) -> Column:
 
 def u32_set(hashes: Column) -> Column:
     """Sorted distinct u32 elements; empty for a null array."""
-    return F.array_sort(F.array_distinct(F.coalesce(u32_bag(hashes), F.array().cast("array<bigint>"))))
+    return F.sort_array(F.array_distinct(F.coalesce(u32_bag(hashes), F.array().cast("array<bigint>"))))
 
 
 def is_u32(value: Column) -> Column:

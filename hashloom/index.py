@@ -2,8 +2,9 @@
 
 A write is one commit in the log (its rename is the commit point); a checkpoint turns
 logged commits into a Parquet segment and publishes it by replacing the manifest. Readers
-hold the manifest they started with, so a search never sees half a change, and files a
-reader may use are only removed by ``vacuum`` when no reader holds them.
+hold the manifest and the logged commits they started with, so a search never sees half a change;
+files that a reader of this process may use, commits as well as segments, are only removed by ``vacuum`` once
+no reader holds them.
 """
 
 from __future__ import annotations
@@ -23,11 +24,17 @@ from hashloom.functions.ints import U32_MAX, u32_bag
 from hashloom.metrics import Metrics
 from hashloom.operators.feeds import op_kind
 from hashloom.operators.search import MOST_TIMEOUT_MS, SearchOptions, batch, counted_postings, ranked
+from hashloom.operators.state import metadata_state
 from hashloom.plans.merge_policy import TieredPolicy
+from hashloom.runtime import scratch, stage
 from hashloom.sources import files, segments
 from hashloom.sources.oplog import Oplog
 
 
+#: Hashes of one query that are pushed into the scan one by one.
+MOST_PUSHED = 1000
+
+
 @dataclass(frozen=True)
 class IndexOptions:
     """Checkpoint after so many logged items or milliseconds (0: never by age); how many logged commits a search reads before they are folded."""
@@ -35,6 +42,8 @@ class IndexOptions:
     checkpoint_threshold: int = 100_000
     checkpoint_age_ms: int = 60_000
     most_logged_commits: int = 16
+    #: Of so many searches, one counts the documents scanned for each of its hashes; 0: none.
+    scan_metrics_every: int = 100
     policy: TieredPolicy = field(default_factory=TieredPolicy)
 
 
@@ -54,15 +63,20 @@ class Reader:
     """An immutable view: the segments of one manifest and the log up to one commit."""
 
     def __init__(self, index: Index) -> None:
-        self.index = index
+        self.index, self._open = index, True
         with index._lock:
             self.infos, self.commit_id = list(index.infos), index.commit_id
-            index._leases.update(i["name"] for i in self.infos)
-            self.logged = index.oplog.read(index.file_commit_id, self.commit_id) if self.commit_id > index.file_commit_id else None
+            logged = self.commit_id > index.file_commit_id
+            self.logged = index.oplog.read(index.file_commit_id, self.commit_id) if logged else None
+            self._held = [i["name"] for i in self.infos] + (index.oplog.present(index.file_commit_id, self.commit_id) if logged else [])
+            index._leases.update(self._held)
+            self.stored_docs, self._stored_postings = index._stored(self.infos)
 
     def close(self) -> None:
         with self.index._lock:
-            self.index._leases.subtract(i["name"] for i in self.infos)
+            if self._open:
+                self.index._leases.subtract(self._held)
+            self._open = False
 
     def __enter__(self) -> Reader:
         return self
@@ -80,15 +94,13 @@ class Reader:
 
     def docs(self) -> DataFrame:
         """``(id, alive, commit_id, version)`` of all segments and logged commits."""
-        stored = segments.read_docs(self.index.spark, self.index.data, self.infos)
         fresh = self._logged_docs()
-        return stored if fresh is None else stored.unionByName(fresh.select("id", (F.col("kind") == "i").alias("alive"), "commit_id", "version"))
+        return self.stored_docs if fresh is None else self.stored_docs.unionByName(fresh.selectExpr("id", "kind = 'i' AS alive", "commit_id", "version"))
 
     def postings(self) -> DataFrame:
         """``(hash, id, n, commit_id)``."""
-        stored = segments.read_postings(self.index.spark, self.index.data, self.infos)
         fresh = self._logged_docs()
-        return stored if fresh is None else stored.unionByName(counted_postings(fresh.where("kind = 'i'"), "commit_id").select("hash", "id", "n", "commit_id"))
+        return self._stored_postings if fresh is None else self._stored_postings.unionByName(counted_postings(fresh.where("kind = 'i'"), "commit_id").select("hash", "id", "n", "commit_id"))
 
     def metadata_entries(self) -> DataFrame:
         """``(commit_id, ordinal, key, value)``: folded metadata of segments and of logged commits."""
@@ -100,8 +112,6 @@ class Reader:
         return stored.unionByName(fresh)
 
     def metadata(self) -> dict[str, str]:
-        from hashloom.operators.state import metadata_state
-
         return {r.key: r.value for r in metadata_state(self.metadata_entries()).collect()}
 
     def newest(self, only: DataFrame | None = None) -> DataFrame:
@@ -112,22 +122,42 @@ class Reader:
     def live(self) -> DataFrame:
         return self.newest().where("alive").select("id", "version")
 
-    def search(self, queries: DataFrame, options: SearchOptions | None = None, known: list[int] | None = None) -> DataFrame:
-        """Ranked ``(query_id, id, score, rank)`` of ``queries (query_id, hashes, ...)``.
+    def _current(self, hits: DataFrame) -> DataFrame:
+        """Those of ``hits (id, commit_id, ...)`` that no newer commit replaces or deletes."""
+        if self.logged is None and len(self.infos) <= 1:
+            return hits  # one segment holds an id once, and postings of live documents only
+        current = self.newest(hits).where("alive").select("id", "commit_id")
+        return hits.join(current, ["id", "commit_id"], "left_semi")
 
-        ``known``: all their hashes, if they are few; row groups without any of them are then not read.
+    def search(self, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
+        """Ranked ``(query_id, id, score, rank)`` of ``queries (query_id, hashes, ...)``.
 
         Hits are counted by segment; those a newer segment supersedes are dropped before
         the floor, the ranking and the limit, so they take no result's place.
         """
-        options = options or SearchOptions()
-        asked = batch(queries, options)
-        items = self.postings() if known is None else self.postings().where(F.col("hash").isin(known))
-        hits = items.join(asked.probe_rows("query_id"), "hash").groupBy("query_id", "id", "commit_id").agg(F.sum("n").cast("bigint").alias("score"))
-        current = self.newest(hits).where("alive").select("id", "commit_id")
-        live = hits.join(current, ["id", "commit_id"], "left_semi").join(asked.settings("query_id", "min_score"), "query_id")
+        asked = batch(queries, options or SearchOptions())
+        hits = self.postings().join(asked.probe_rows("query_id"), "hash").groupBy("query_id", "id", "commit_id").agg(F.sum("n").cast("bigint").alias("score"))
+        live = self._current(hits).join(asked.settings("query_id", "min_score"), "query_id")
         return ranked(live.where("score >= min_score").select("query_id", "id", "score"), asked)
 
+    def matching(self, hashes: list[int]) -> DataFrame:
+        """Postings of the hashes of one query; row groups without any of them aren't read if they are few."""
+        if len(hashes) <= MOST_PUSHED:
+            return self.postings().where(f"hash IN ({', '.join(map(str, hashes))})")
+        asked = self.index.spark.createDataFrame([(h,) for h in hashes], "hash bigint")
+        return self.postings().join(F.broadcast(asked), "hash")
+
+    def search_one(self, query: list[int], options: SearchOptions) -> list[tuple[int, int]]:
+        """``(id, score)`` of one query in order, in one job and without staging: the driver holds the query anyway."""
+        limit, floor = options.bounds(len(query))
+        hashes = sorted({h & U32_MAX for h in query})
+        if not hashes or limit < 1:
+            return []
+        hits = self.matching(hashes).groupBy("id", "commit_id").agg(F.sum("n").alias("score")).where(f"score >= {floor}")
+        found = self._current(hits).select("id", "score").orderBy(F.desc("score"), "id").limit(limit).collect()
+        cut = max(floor, found[0].score * options.score_pct // 100) if found else 0
+        return [(r.id, r.score) for i, r in enumerate(found) if i == 0 or r.score >= cut]
+
 
 class Index:
     def __init__(self, spark: SparkSession, path: str, generation: int = 1, name: str = "", options: IndexOptions | None = None, metrics: Metrics | None = None) -> None:
@@ -136,7 +166,9 @@ class Index:
         self.data = f"{self.path}/data"
         self.oplog = Oplog(spark, f"{self.path}/oplog")
         self._lock, self._write = threading.RLock(), threading.RLock()
-        self._leases: Counter[str] = Counter()
+        #: Names of segments and ids of logged commits that readers hold.
+        self._leases: Counter[str | int] = Counter()
+        self._frames: dict[tuple, tuple[DataFrame, DataFrame]] = {}
         self._load()
 
     def _load(self) -> None:
@@ -156,6 +188,15 @@ class Index:
         for torn in [c for c in self.oplog.commits() if c > self.commit_id]:
             files.delete(self.spark, f"{self.oplog.path}/{torn:016x}.xlog")
 
+    def _stored(self, infos: list[dict]) -> tuple[DataFrame, DataFrame]:
+        """(docs, postings) of segments; their files never change, so they are listed once."""
+        names = tuple(i["name"] for i in infos)
+        if names not in self._frames:
+            if len(self._frames) > 8:
+                self._frames.clear()
+            self._frames[names] = segments.read_docs(self.spark, self.data, infos), segments.read_postings(self.spark, self.data, infos)
+        return self._frames[names]
+
     # Watermarks
 
     @property
@@ -255,19 +296,34 @@ class Index:
     def search(self, query: Iterable[int], options: SearchOptions | None = None, timeout_ms: int = 0) -> list[dict]:
         """Ranked results of one query; the deadline cancels its Spark jobs (0: none)."""
         query = list(query)
-        queries = self.spark.createDataFrame([(0, query)], "query_id bigint, hashes array<bigint>")
-        known = sorted(set(query)) if 0 < len(query) <= 1000 else None
+        options = options or SearchOptions()
         began = time.monotonic()
         self.metrics.add("searches", self.name)
         with self.reader() as r:
-            rows = self._in_time(lambda: r.search(queries, options, known).orderBy("rank").collect(), min(timeout_ms, MOST_TIMEOUT_MS))
+            rows = self._in_time(lambda: r.search_one(query, options), min(timeout_ms, MOST_TIMEOUT_MS))
         self.metrics.add("search_hits" if rows else "search_misses", self.name)
         self.metrics.observe("search_duration_seconds", time.monotonic() - began, self.name)
-        return [{"id": r.id, "score": r.score} for r in rows]
+        if self.metrics.due("scanned_docs_per_hash", self.options.scan_metrics_every):
+            threading.Thread(target=self.observe_scan, args=(query,), daemon=True).start()
+        return [{"id": i, "score": score} for i, score in rows]
+
+    def observe_scan(self, query: list[int]) -> None:
+        """Count the documents that each hash of a query leads to in each segment: a job of its own, so for some searches only."""
+        hashes = sorted({h & U32_MAX for h in query})[:MOST_PUSHED]
+        if not hashes:
+            return
+        try:
+            with self.reader() as r:
+                counts = r.matching(hashes).groupBy("hash", "commit_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("hashes")).collect()
+        except Exception:  # noqa: BLE001: figures only, and the session may be ending
+            return
+        for row in counts:
+            self.metrics.observe("scanned_docs_per_hash", row.n, self.name, row.hashes)
 
     def search_batch(self, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
-        """Lazy results of many queries in one job, on the state of this moment."""
-        return Reader(self).search(queries, options)
+        """Results of many queries on the state of this moment: computed at once, staged, so that nothing stays held."""
+        with scratch(self.spark) as keep, self.reader() as r:
+            return keep(stage(r.search(queries, options), "results"))
 
     def _in_time(self, run, timeout_ms: int):
         if not timeout_ms:
@@ -300,7 +356,7 @@ class Index:
             commits = 0
             if fresh is not None:
                 found = fresh.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).first()
-                commits = r.commit_id - self.file_commit_id
+                commits = r.commit_id - max((i["commit_id"] + i["merges"] for i in r.infos), default=0)
             least = [i["min_doc_id"] for i in r.infos if i["min_doc_id"]] + ([found.least] if found and found.least else [])
             most = [i["max_doc_id"] for i in r.infos] + ([found.most] if found and found.most else [])
             docs = sum(i["num_docs"] for i in r.infos) + (found.n if found else 0)
@@ -331,25 +387,32 @@ class Index:
                 return False
             first, last = self.file_commit_id + 1, self.commit_id
             logged = self.oplog.read(self.file_commit_id, last)
-            versions = logged.agg(F.max("version")).first()[0]
+            counted = logged.agg(F.max("version").alias("version"), F.sum(F.greatest(F.size("hashes"), F.lit(0))).alias("items"), F.count("entries").alias("entries")).first()
             ops = logged.withColumn("kind", op_kind(F.col("op"))).where("kind in ('i', 'd')")
             latest = Window.partitionBy("id").orderBy(F.desc("commit_id"), F.desc("ordinal"))
             docs = ops.withColumn("_r", F.row_number().over(latest)).where("_r = 1")
-            with self.reader() as r:
-                from hashloom.operators.state import metadata_state
-
-                entries = r.logged.where("entries is not null").select("commit_id", "ordinal", F.explode("entries").alias("key", "value"))
+            metadata = {}
+            if counted.entries:
+                entries = logged.where("entries is not null").select("commit_id", "ordinal", F.explode("entries").alias("key", "value"))
                 metadata = {x.key: x.value for x in metadata_state(entries).collect()}
-            info = {"commit_id": first, "merges": last - first, "version": versions, "metadata": metadata}
-            rows = docs.select("id", (F.col("kind") == "i").alias("alive"), F.lit(last).alias("commit_id"), F.coalesce("version", "commit_id").alias("version"))
-            items = counted_postings(docs.where("kind = 'i'")).select("hash", "id", "n", F.lit(last).cast("bigint").alias("commit_id"))
-            written = segments.write_segment(self.spark, self.data, info, rows.withColumn("commit_id", F.col("commit_id").cast("bigint")), items)
+            info = {"commit_id": first, "merges": last - first, "version": counted.version, "metadata": metadata}
+            rows = docs.selectExpr("id", "kind = 'i' AS alive", f"{last}L AS commit_id", "coalesce(version, commit_id) AS version")
+            items = counted_postings(docs.where("kind = 'i'")).selectExpr("hash", "id", "n", f"{last}L AS commit_id")
+            written = segments.write_segment(self.spark, self.data, info, rows, items, counted.items or 0)
             self._publish([*self.infos, written])
-            self.oplog.truncate(last)
+            self._drop_commits()
             self.logged_items = 0
             self.metrics.add("checkpoints")
+            if last > first:
+                # Each logged commit is a segment of its own to searches; the checkpoint makes one of them.
+                self.metrics.add("memory_merges")
             return True
 
+    def _drop_commits(self) -> int:
+        """Delete the logged commits that segments cover and no reader holds."""
+        with self._lock:
+            return self.oplog.truncate(self.file_commit_id, {c for c, n in self._leases.items() if n > 0})
+
     def merge(self, first: int, end: int) -> dict:
         """Replace the segments ``first`` to ``end`` by one; documents any newer segment mentions are left out."""
         with self._write:
@@ -369,7 +432,7 @@ class Index:
             for part in parts:
                 metadata |= part["metadata"]
             info = {"commit_id": parts[0]["commit_id"], "merges": last - parts[0]["commit_id"], "version": max(versions, default=None), "metadata": metadata}
-            written = segments.write_segment(self.spark, self.data, info, kept, items)
+            written = segments.write_segment(self.spark, self.data, info, kept, items, sum(i["num_items"] for i in parts))
             self._publish([*self.infos[:first], written, *newer])
             self.metrics.add("file_merges")
             return written
@@ -381,12 +444,13 @@ class Index:
             self.merge(*chosen)
 
     def vacuum(self) -> int:
-        """Delete segment folders that neither the manifest nor a reader holds; returns how many."""
+        """Delete segment folders that neither the manifest nor a reader holds, and commits that segments cover; returns how many folders."""
         with self._write, self._lock:
             held = {i["name"] for i in self.infos} | {n for n, c in self._leases.items() if c > 0}
             old = [n for n in files.names(self.spark, self.data) if n.endswith(".data") and n not in held]
             for name in old:
                 files.delete(self.spark, f"{self.data}/{name}")
+            self._drop_commits()
             return len(old)
 
     # Snapshots

@@ -19,6 +19,7 @@ class Metrics:
         self._counters: dict[tuple, int] = defaultdict(int)
         self._gauges: dict[tuple, float] = {}
         self._histograms: dict[tuple, list] = {}
+        self._calls: dict[str, int] = defaultdict(int)
 
     def add(self, name: str, index: str | None = None, by: int = 1) -> None:
         with self._lock:
@@ -28,14 +29,20 @@ class Metrics:
         with self._lock:
             self._gauges[name, index] = value
 
-    def observe(self, name: str, value: float, index: str | None = None) -> None:
+    def due(self, name: str, every: int) -> bool:
+        """True for the first of each ``every`` calls with this name."""
+        with self._lock:
+            self._calls[name] += 1
+            return bool(every) and self._calls[name] % every == 1 % every
+
+    def observe(self, name: str, value: float, index: str | None = None, times: int = 1) -> None:
         bounds = HISTOGRAMS[name]
         with self._lock:
             cell = self._histograms.setdefault((name, index), [[0] * len(bounds), 0, 0.0])
             for i, bound in enumerate(bounds):
-                cell[0][i] += value <= bound
-            cell[1] += 1
-            cell[2] += value
+                cell[0][i] += times * (value <= bound)
+            cell[1] += times
+            cell[2] += times * value
 
     def value(self, name: str, index: str | None = None) -> float:
         with self._lock:

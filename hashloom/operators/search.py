@@ -37,6 +37,12 @@ class SearchOptions:
     #: At most so many documents of each hash, those with the smallest ids; None counts all.
     max_docs_per_hash: int | None = None
 
+    def bounds(self, raw_len: int) -> tuple[int, int]:
+        """(limit, least score) of one query of so many hashes, repeated ones counted."""
+        limit = DEFAULT_LIMIT if self.limit is None else self.limit
+        floor = (raw_len + 19) // 20 if self.min_score is None else self.min_score
+        return min(max(limit, LEAST_LIMIT), MOST_LIMIT) if self.clamped else limit, max(floor, 1)
+
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:
     """``(hash, id, *keep)``: one row for each element of each bag, repeated ones too."""
@@ -52,7 +58,7 @@ def counted_postings(docs: DataFrame, *keep: str) -> DataFrame:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(bag), F.lit(1))), begins)
         return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.element_at(bag, at).alias("hash"), (F.coalesce(F.get(s, k + 1), F.size(bag) + 1) - at).cast("bigint").alias("n"))))
 
-    return docs.select("id", *keep, F.inline(let(F.array_sort(u32_bag(F.col("hashes"))), runs))).select("hash", "id", "n", *keep)
+    return docs.select("id", *keep, F.inline(let(F.sort_array(u32_bag(F.col("hashes"))), runs))).select("hash", "id", "n", *keep)
 
 
 def capped_postings(rows: DataFrame, most: int) -> DataFrame:

@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     """A new name below this process's own folder, which is deleted when the process ends."""
     root = f"{shared_dir(spark)}/hashloom/run-{_RUN}"
     _folders.setdefault(root, spark.sparkContext._jvm)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    if (made := getattr(_scratch, "folders", None)) is not None:
+        made.append(path)
+    return path
+
+
+_scratch = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Folders that this thread makes inside are deleted at its end, but for those of staged tables given to the block's value."""
+    outer, made, kept = getattr(_scratch, "folders", None), [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    _scratch.folders = made
+    try:
+        yield keep
+    finally:
+        _scratch.folders = outer
+        for path in made:
+            if path not in kept:
+                with contextlib.suppress(Exception):
+                    _delete(spark.sparkContext, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 @atexit.register

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -73,6 +75,54 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be renamed to {target}")
 
 
+def publish(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder to a name that nothing has yet; False if something has it."""
+    jvm = spark.sparkContext._jvm
+    _, p = _fs(spark, source)
+    _, q = _fs(spark, target)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(p, q, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception) or exists(spark, target):
+            return False
+        raise
+    return True
+
+
+def sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name below ``path``, bytes) of every file in a folder and its folders, in order."""
+    fs, p = _fs(spark, path)
+    found, listed = [], fs.listFiles(p, True)
+    root = fs.makeQualified(p).toUri().getPath()
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toUri().getPath()[len(root) :].lstrip("/"), status.getLen()))
+    return sorted(found)
+
+
+def chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        while part := bytes(stream.readNBytes(size)):
+            yield part
+    finally:
+        stream.close()
+
+
+def write_chunks(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    stream = fs.create(p, True)
+    try:
+        for part in parts:
+            stream.write(bytearray(part))
+    finally:
+        stream.close()
+
+
 def copy(spark: SparkSession, source: str, target: str) -> None:
     """Copy a file or a folder with all it holds."""
     fs, p = _fs(spark, source)

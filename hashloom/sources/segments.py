@@ -6,7 +6,7 @@ in for a block index when few hashes are looked up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.errors import CorruptSegment
@@ -20,19 +20,28 @@ def segment_name(commit_id: int, merges: int) -> str:
     return f"{commit_id:016x}-{merges:08x}.data"
 
 
-def write_segment(spark: SparkSession, folder: str, info: dict, docs: DataFrame, postings: DataFrame) -> dict:
-    """Write a segment whose ``info`` has commit_id, merges, version and metadata; returns the info with counts.
+#: A segment of at most so many items is sorted and written by one task.
+ONE_TASK_ITEMS = 500_000
 
-    ``info.json`` is written last: a folder without it is no segment.
+
+def write_segment(spark: SparkSession, folder: str, info: dict, docs: DataFrame, postings: DataFrame, items: int) -> dict:
+    """Write a segment whose ``info`` has commit_id, merges, version and metadata; returns the info with counts, taken while it is written.
+
+    ``items``: an upper bound of the postings' multiplicities. ``info.json`` is written last: a folder without it is no segment.
     """
     name = segment_name(info["commit_id"], info["merges"])
     path = f"{folder}/{name}"
     files.delete(spark, path)
-    docs.select("id", "alive", "commit_id", "version").write.parquet(f"{path}/docs")
-    postings.select("hash", "id", "n", "commit_id").repartitionByRange("hash", "id").sortWithinPartitions("hash", "id").write.parquet(f"{path}/postings")
-    counted = spark.read.schema(DOCS).parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).first()
-    items = spark.read.schema(POSTINGS).parquet(f"{path}/postings").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = info | {"name": name, "num_docs": counted.n, "num_items": items, "min_doc_id": counted.least or 0, "max_doc_id": counted.most or 0}
+    counted, summed = Observation(), Observation()
+    docs = docs.select("id", "alive", "commit_id", "version")
+    docs = docs.coalesce(1) if items <= ONE_TASK_ITEMS else docs
+    docs.observe(counted, F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).write.parquet(f"{path}/docs")
+    rows = postings.select("hash", "id", "n", "commit_id")
+    rows = rows.repartition(1) if items <= ONE_TASK_ITEMS else rows.repartitionByRange("hash", "id")
+    rows.sortWithinPartitions("hash", "id").observe(summed, F.sum("n").alias("n")).write.parquet(f"{path}/postings")
+    whole = info | {
+        "name": name, "num_docs": counted.get["n"], "num_items": summed.get["n"] or 0, "min_doc_id": counted.get["least"] or 0, "max_doc_id": counted.get["most"] or 0,
+    }
     files.write_json(spark, f"{path}/info.json", whole)
     return whole
 

@@ -78,6 +78,73 @@ def test_deletes_survive_merges_and_readers_keep_their_view(spark, folder):
     assert ix.doc_info(5) == {"version": 2, "deleted": True}
 
 
+def test_a_reader_outlives_checkpoints_and_batches_hold_nothing(spark, folder):
+    ix = Index(spark, folder)
+    ix.insert(1, [100])
+    old = ix.reader()
+    ix.update([insert(i, [100]) for i in range(2, 31)])
+    later = ix.reader()
+    assert ix.checkpoint(force=True)
+    ix.delete(5)
+    ix.checkpoint(force=True)
+    queries = spark.createDataFrame([(1, [100])], "query_id bigint, hashes array<bigint>")
+    options = SearchOptions(limit=100)
+    found = lambda r: {x.id for x in r.search(queries, options).collect()}
+    assert found(old) == {1} and found(later) == set(range(1, 31)) and old.search_one([100], options) == [(1, 1)]
+    assert ix.oplog.commits() == [1, 2]
+    later.close()
+    later.close()
+    old.close()
+    ix.vacuum()
+    assert ix.oplog.commits() == []
+    batch = ix.search_batch(queries, options)
+    assert not +ix._leases
+    ix.insert(7, [1])
+    assert {x.id for x in batch.collect()} == set(range(1, 31)) - {5}
+
+
+def test_searches_leave_no_folder(spark, folder):
+    from hashloom import runtime
+
+    ix = Index(spark, folder, options=IndexOptions(scan_metrics_every=0))
+    ix.insert(1, [1, 2])
+    queries = spark.createDataFrame([(1, [1])], "query_id bigint, hashes array<bigint>")
+    root = f"{runtime.shared_dir(spark)}/hashloom/run-{runtime._RUN}"
+    before = files.names(spark, root)
+    for _ in range(3):
+        assert pairs(ix.search([1, 2])) == [(1, 2)]
+        runtime.drop_staged(ix.search_batch(queries))
+    assert files.names(spark, root) == before
+
+
+def test_one_query_equals_a_batch(spark, folder):
+    """The single search's own plan against the batch's, over segments, a logged commit and all options."""
+    import random
+
+    rnd = random.Random(3)
+    ix = Index(spark, folder)
+    for part in range(3):
+        ix.update([insert(rnd.randint(1, 60), [rnd.randint(0, 40) for _ in range(rnd.randint(0, 30))]) if rnd.random() < 0.8 else delete(rnd.randint(1, 60)) for _ in range(50)])
+        if part < 2:
+            ix.checkpoint(force=True)
+    for options in (SearchOptions(), SearchOptions(limit=3, min_score=0, score_pct=60), SearchOptions(limit=0), SearchOptions(limit=0, clamped=False), SearchOptions(limit=500, score_pct=200, clamped=False)):
+        query = [rnd.randint(0, 40) for _ in range(rnd.randint(1, 45))]
+        rows = ix.search_batch(spark.createDataFrame([(0, query)], "query_id bigint, hashes array<bigint>"), options).orderBy("rank").collect()
+        assert pairs(ix.search(query, options)) == [(r.id, r.score) for r in rows]
+    assert ix.search([]) == []
+
+
+def test_scans_are_observed(spark, folder):
+    ix = Index(spark, folder, name="n")
+    ix.update([insert(1, [5, 6]), insert(2, [5])])
+    ix.insert(3, [5])
+    ix.observe_scan([5, 6, 7])
+    text = ix.metrics.render()
+    assert 'scanned_docs_per_hash_count{index="n"} 3' in text and 'scanned_docs_per_hash_sum{index="n"} 4' in text
+    ix.checkpoint(force=True)
+    assert ix.metrics.value("memory_merges") == 1
+
+
 def test_merge_leaves_out_what_newer_segments_replace(spark, folder):
     ix = Index(spark, folder)
     for hashes in ([1, 2], [3], [2, 4]):
