@@ -6,10 +6,10 @@ import argparse
 import sys
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
-from hashloom import errors
 from hashloom.catalog import Catalog
 from hashloom.index import IndexOptions
 from hashloom.replica import Replica
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--checkpoint-threshold", type=int, default=100_000, help="logged items that make a checkpoint due")
     p.add_argument("--checkpoint-age-ms", type=int, default=60_000, help="age of the oldest logged change that makes one due; 0: never by age")
     p.add_argument("--legacy-port", type=int, default=0, help="port of the line protocol; 0: off")
-    p.add_argument("--load-concurrency", type=int, default=0, help="accepted for compatibility; Spark schedules loading")
+    p.add_argument("--load-concurrency", type=int, default=0, help="indexes loaded or kept up at the same time; 0: 8")
     p.add_argument("--coordinator", action="store_true", help="serve the feeds instead of indexes")
     p.add_argument("--coordinator-url", default="", help="follow the feeds at this address")
     p.add_argument("--peers", default="", help="comma-separated addresses of nodes that may donate snapshots")
@@ -44,7 +44,7 @@ def main(args: list[str]) -> None:
     if options.coordinator:
         FeedServer(Feed(spark, options.dir), address).serve_forever()
         return
-    catalog = Catalog(spark, options.dir, IndexOptions(checkpoint_threshold=options.checkpoint_threshold, checkpoint_age_ms=options.checkpoint_age_ms))
+    catalog = Catalog(spark, options.dir, IndexOptions(checkpoint_threshold=options.checkpoint_threshold, checkpoint_age_ms=options.checkpoint_age_ms), options.load_concurrency or 8)
     replica = None
     if options.coordinator_url:
         deadline = options.bootstrap_timeout_ms / 1000 or None
@@ -53,18 +53,27 @@ def main(args: list[str]) -> None:
     if options.legacy_port:
         threading.Thread(target=LineServer(catalog, (options.host, options.legacy_port), replica is not None).serve_forever, daemon=True).start()
 
+    def keep(name: str) -> None:
+        """One index: follow its feed, fold its log, delete what nothing needs. Another turn follows whatever happens."""
+        try:
+            if replica:
+                replica.sync(name)
+            index = catalog.get(name)
+            index.maintain()
+            index.vacuum()
+        except Exception as e:  # noqa: BLE001: a failed job must not end upkeep
+            print(f"upkeep of {name}: {type(e).__name__} {str(e)[:500]}", file=sys.stderr)
+
     def upkeep() -> None:
-        while True:
-            time.sleep(1)
-            try:
-                if replica:
-                    replica.follow_meta()
-                    for name in catalog.names():
-                        replica.sync(name)
-                for name in catalog.names():
-                    catalog.get(name).maintain()
-            except errors.EngineError as e:
-                print(f"upkeep: {e.name} {e}", file=sys.stderr)
+        with ThreadPoolExecutor(max_workers=options.load_concurrency or 8) as pool:
+            while True:
+                time.sleep(1)
+                try:
+                    if replica:
+                        replica.follow_meta()
+                    list(pool.map(keep, catalog.names()))
+                except Exception as e:  # noqa: BLE001
+                    print(f"upkeep: {type(e).__name__} {str(e)[:500]}", file=sys.stderr)
 
     threading.Thread(target=upkeep, daemon=True).start()
     IndexServer(catalog, address, replica).serve_forever()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -18,16 +19,20 @@ from hashloom.sources import files
 class Catalog:
     """``root/<name>/current.json`` names the active generation, whose files are in ``root/<name>/v<generation>``."""
 
-    def __init__(self, spark: SparkSession, root: str, options: IndexOptions | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, options: IndexOptions | None = None, load_concurrency: int = 8) -> None:
         self.spark, self.root, self.options = spark, root.rstrip("/"), options
         self.metrics = Metrics()
         self._lock = threading.RLock()
         self._open: dict[str, Index] = {}
         self._loading: set[str] = set()
-        for name in files.names(spark, self.root):
-            record = self._record(name) if re.match(INDEX_NAME, name) else None
-            if record and not record["deleted"]:
-                self._open[name] = self._lineage(name, record["generation"])
+        with ThreadPoolExecutor(max_workers=load_concurrency) as pool:
+            found = list(pool.map(self._found, files.names(spark, self.root)))
+        self._open.update({index.name: index for index in found if index is not None})
+
+    def _found(self, name: str) -> Index | None:
+        """The active lineage of a folder, if it has one."""
+        record = self._record(name) if re.match(INDEX_NAME, name) else None
+        return self._lineage(name, record["generation"]) if record and not record["deleted"] else None
 
     def _record(self, name: str) -> dict | None:
         return files.read_json(self.spark, f"{self.root}/{name}/current.json")

@@ -81,6 +81,11 @@ def unpack(data: bytes):
     return value
 
 
+def unpack_first(data: bytes) -> tuple:
+    """(the value that ``data`` begins with, where it ends)."""
+    return _unpack(data, 0)
+
+
 def unpack_stream(data: bytes):
     at = 0
     while at < len(data):

@@ -13,7 +13,7 @@ import threading
 import time
 import uuid
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from hashloom import errors
 from hashloom.functions.ints import U32_MAX, u32_bag
+from hashloom.functions.msgpack import pack, unpack_first
 from hashloom.metrics import Metrics
 from hashloom.operators.feeds import op_kind
 from hashloom.operators.search import MOST_TIMEOUT_MS, SearchOptions, batch, counted_postings, ranked
@@ -31,6 +32,7 @@ from hashloom.sources import files, segments
 from hashloom.sources.oplog import Oplog
 
 
+SNAPSHOT_FORMAT = 1
 #: Hashes of one query that are pushed into the scan one by one.
 MOST_PUSHED = 1000
 
@@ -460,14 +462,73 @@ class Index:
         with self.reader() as r:
             for info in r.infos:
                 files.copy(self.spark, f"{self.data}/{info['name']}", f"{target}/{info['name']}")
-            header = {"format": 1, "generation": self.generation, "segments": r.infos}
+            header = {"format": SNAPSHOT_FORMAT, "generation": self.generation, "segments": r.infos}
             files.write_json(self.spark, f"{target}/header.json", header)
             return header
 
 
+    def snapshot_stream(self) -> tuple[int, Iterator[bytes]]:
+        """(bytes, their pieces) of a snapshot that needs no shared store: a MessagePack header, then the segments' files one after another.
+
+        The header has the format, the generation and for each segment its info, its bytes and its files with theirs.
+        The segments are held until the pieces are read or dropped.
+        """
+        r = self.reader()
+        try:
+            listed = [(i, files.sizes(self.spark, f"{self.data}/{i['name']}")) for i in r.infos]
+            parts = [{"i": i, "s": sum(n for _, n in found), "f": [list(x) for x in found]} for i, found in listed]
+            header = pack({"f": SNAPSHOT_FORMAT, "g": self.generation, "s": parts})
+        except BaseException:
+            r.close()
+            raise
+
+        def pieces() -> Iterator[bytes]:
+            with r:
+                yield header
+                for info, found in listed:
+                    for name, _ in found:
+                        yield from files.chunks(self.spark, f"{self.data}/{info['name']}/{name}")
+
+        return len(header) + sum(p["s"] for p in parts), pieces()
+
+
+def receive_snapshot(spark: SparkSession, read: Callable[[int], bytes], target: str) -> dict:
+    """Write the snapshot that ``read(most bytes)`` brings, as ``snapshot_stream`` sends it, to ``target``; returns its header."""
+    held, parsed = b"", None
+    while parsed is None:
+        part = read(1 << 16)
+        held += part
+        try:
+            parsed, end = unpack_first(held)
+        except ValueError:
+            if not part:
+                raise errors.CorruptSegment("the snapshot has no header") from None
+    if not isinstance(parsed, dict) or parsed.get("f") != SNAPSHOT_FORMAT:
+        raise errors.CorruptSegment("no snapshot of a known format")
+    held = held[end:]
+
+    def exactly(size: int) -> Iterator[bytes]:
+        nonlocal held
+        while size:
+            part, held = (held[:size], held[size:]) if held else (read(min(size, 1 << 20)), b"")
+            if not part:
+                raise errors.CorruptSegment("the snapshot ended early")
+            size -= len(part)
+            yield part
+
+    for segment in parsed["s"]:
+        for name, size in segment["f"]:
+            if name.startswith("/") or ".." in name.split("/") or "/" in segment["i"]["name"]:
+                raise errors.CorruptSegment(name)
+            files.write_chunks(spark, f"{target}/{segment['i']['name']}/{name}", exactly(size))
+    header = {"format": SNAPSHOT_FORMAT, "generation": parsed["g"], "segments": [s["i"] for s in parsed["s"]]}
+    files.write_json(spark, f"{target}/header.json", header)
+    return header
+
+
 def read_snapshot_header(spark: SparkSession, source: str) -> dict:
     header = files.read_json(spark, f"{source}/header.json")
-    if header is None or header.get("format") != 1:
+    if header is None or header.get("format") != SNAPSHOT_FORMAT:
         raise errors.CorruptSegment(f"{source} is no snapshot")
     return header
 

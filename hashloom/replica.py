@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,7 +11,8 @@ from hashloom import errors
 from hashloom.catalog import Catalog
 from hashloom.index import Index, read_snapshot_header
 from hashloom.operators.changelog import folded_meta, ranked_donors, stale
-from hashloom.runtime import new_folder
+from hashloom.runtime import new_folder, scratch
+from hashloom.sources import files
 from hashloom.sources.feed import Feed
 from hashloom.sources.remote import RemoteFeed
 from hashloom.streaming.consumer import Consumer, PollingConsumer
@@ -32,10 +32,9 @@ class Peer:
             return (self.base_url, 0, 0, False)
         return (self.base_url, status["generation"], status["file_version"], True)
 
-    def snapshot(self, name: str) -> tuple[str, dict]:
-        """(where a fresh snapshot lies in the shared store, its header)."""
-        target = new_folder(self.catalog.spark, f"snapshot-{name}")
-        return target, self.catalog.get(name).export_snapshot(target)
+    def snapshot(self, name: str, spark: SparkSession, target: str) -> dict:
+        """Copy a fresh snapshot to ``target``; returns its header."""
+        return self.catalog.get(name).export_snapshot(target)
 
 
 class Replica:
@@ -77,7 +76,10 @@ class Replica:
 
     def _drop(self, name: str) -> None:
         self.remove_consumer(name)
+        generation = self.catalog.get(name).generation if self.catalog.exists(name) else None
         self.catalog.delete(name)
+        if generation is not None:
+            files.delete(self.spark, self._offsets(name, generation))
 
     def _apply_meta(self, op: dict) -> None:
         name = op["index_name"]
@@ -100,10 +102,14 @@ class Replica:
             if isinstance(self.feed, RemoteFeed):
                 held = PollingConsumer(self.spark, self.feed, index)
             else:
-                held = Consumer(self.spark, self.feed, index, new_folder(self.spark, f"consumer-{name}-{uuid.uuid4().hex[:8]}"))
+                held = Consumer(self.spark, self.feed, index, self._offsets(name, index.generation))
             self.consumers[name] = held
         return held
 
+    def _offsets(self, name: str, generation: int) -> str:
+        """Where the stream of a lineage keeps what files it has seen: beside the lineage, for the next start."""
+        return f"{self.catalog.folder(name, generation)}.stream"
+
     def remove_consumer(self, name: str) -> None:
         held = self.consumers.pop(name, None)
         if held is not None:
@@ -147,16 +153,18 @@ class Replica:
         self.catalog.set_loading(name, True)
         try:
             for url in self.donors(name, index.generation, after):
-                try:
-                    # Only the transfer has a deadline; the install below always runs to its end.
-                    target, header = by_url[url].snapshot(name)
-                except (OSError, errors.EngineError):
-                    continue
-                if max((i["version"] if i["version"] is not None else i["commit_id"] + i["merges"] for i in header["segments"]), default=0) < floor:
-                    break  # the freshest is below the floor, so are all others
-                read_snapshot_header(self.spark, target)
-                self.remove_consumer(name)
-                return self.catalog.restore(name, index.generation, target)
+                with scratch(self.spark):
+                    target = new_folder(self.spark, f"snapshot-{name}")
+                    try:
+                        # Only the transfer has a deadline; the install below always runs to its end.
+                        header = by_url[url].snapshot(name, self.spark, target)
+                    except (OSError, errors.EngineError):
+                        continue
+                    if max((i["version"] if i["version"] is not None else i["commit_id"] + i["merges"] for i in header["segments"]), default=0) < floor:
+                        break  # the freshest is below the floor, so are all others
+                    read_snapshot_header(self.spark, target)
+                    self.remove_consumer(name)
+                    return self.catalog.restore(name, index.generation, target)
         finally:
             self.catalog.set_loading(name, False)
         raise errors.BelowRetention(f"no donor of {name} reaches {floor}")

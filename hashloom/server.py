@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -13,7 +14,6 @@ from hashloom.functions.ints import U32_MAX
 from hashloom.functions.msgpack import pack, unpack
 from hashloom.index import delete, insert
 from hashloom.operators.search import DEFAULT_LIMIT, DEFAULT_PCT, MOST_TIMEOUT_MS, SearchOptions
-from hashloom.runtime import new_folder
 from hashloom.sources.feed import BATCH, Feed
 
 MOST_BODY = 16 * 1024 * 1024
@@ -237,10 +237,15 @@ class IndexHandler(_Handler):
         self._answer(self.catalog.get(name).status())
 
     def snapshot(self, name: str) -> None:
-        """The snapshot's header and where its segments were copied: files are read from the shared store, not through this node."""
-        target = new_folder(self.catalog.spark, f"snapshot-{name}")
-        header = self.catalog.get(name).export_snapshot(target)
-        self._send(json.dumps({"location": target, "header": header}).encode(), JSON)
+        """The snapshot as one stream: MessagePack header, then the segments' bytes."""
+        size, pieces = self.catalog.get(name).snapshot_stream()
+        self.send_response(200)
+        self.send_header("Content-Type", "application/octet-stream")
+        self.send_header("Content-Length", str(size))
+        self.end_headers()
+        with contextlib.closing(pieces):
+            for piece in pieces:
+                self.wfile.write(piece)
 
 
 class FeedHandler(_Handler):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hashloom import errors
 from hashloom.functions.msgpack import pack, unpack, unpack_stream
+from hashloom.index import receive_snapshot
 from hashloom.operators.changelog import DEFAULT_ENTRIES
 from hashloom.sources.feed import FLAT
 
@@ -108,7 +109,7 @@ class RemoteFeed:
 
 
 class HttpPeer:
-    """A donor behind the index API. Its snapshots lie in the store both nodes share; only the header travels."""
+    """A donor behind the index API; its snapshots travel as streams of bytes."""
 
     def __init__(self, base_url: str, timeout_s: float = PROBE_TIMEOUT_S, transfer_timeout_s: float | None = None) -> None:
         self.base_url, self.timeout_s, self.transfer_timeout_s = base_url.rstrip("/"), timeout_s, transfer_timeout_s
@@ -125,6 +126,14 @@ class HttpPeer:
             return (self.base_url, 0, 0, False)
         return (self.base_url, status["generation"], status["file_version"], True)
 
-    def snapshot(self, name: str) -> tuple[str, dict]:
-        answer = self._json(f"/{quote(name)}/_snapshot", self.transfer_timeout_s)
-        return answer["location"], answer["header"]
+    def snapshot(self, name: str, spark: SparkSession, target: str) -> dict:
+        """Write the donor's snapshot to ``target`` as it arrives; returns its header. The deadline holds for the whole transfer."""
+        end = None if self.transfer_timeout_s is None else time.monotonic() + self.transfer_timeout_s
+        with urllib.request.urlopen(f"{self.base_url}/{quote(name)}/_snapshot", timeout=self.transfer_timeout_s) as answer:
+
+            def read(most: int) -> bytes:
+                if end is not None and time.monotonic() > end:
+                    raise errors.ReplicationTimeout(f"the snapshot of {name} takes too long")
+                return answer.read(most)
+
+            return receive_snapshot(spark, read, target)

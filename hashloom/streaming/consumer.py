@@ -57,20 +57,18 @@ class Consumer:
         reader = self.spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", self.files_per_batch).option("pathGlobFilter", "*.json")
         return reader.json(folder)
 
-    def _batch(self, _rows: DataFrame, _: int) -> None:
+    def _batch(self, _rows: DataFrame | None = None, _: int = 0) -> None:
         name, generation = self.index.name, self.index.generation
         if self.index.version < self.feed.floor(name, generation):
             raise errors.BelowRetention(f"at {self.index.version}")
         while paths := self.feed.next_files(name, generation, self.index.version, self.files_per_batch):
-            rows = self.feed.flat(paths).persist()
-            try:
-                apply_entries(self.index, rows)
-                if self.index.needs_checkpoint():
-                    self.index.maintain()
-            finally:
-                rows.unpersist()
+            apply_entries(self.index, self.feed.flat(paths))
+            if self.index.needs_checkpoint():
+                self.index.maintain()
 
     def start(self, every: str = "1 second"):
+        # A stream that has seen all files says nothing, also where the index was set back to a snapshot since.
+        self._batch()
         self.query = self._writer().trigger(processingTime=every).start()
         return self.query
 
@@ -80,6 +78,7 @@ class Consumer:
         if not self.query.awaitTermination(timeout_s):
             self.query.stop()
             raise errors.ReplicationTimeout(self.index.name)
+        self._batch()
         return self.index.version
 
     def _writer(self):

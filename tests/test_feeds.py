@@ -99,6 +99,23 @@ def test_replicas_follow_bootstrap_and_restore(spark, folder):
         lone.sync("main")
 
 
+def test_a_stream_goes_on_after_a_restart_and_a_setback(spark, folder):
+    feed = Feed(spark, f"{folder}/feed")
+    node = Replica(spark, Catalog(spark, f"{folder}/one"), feed)
+    node.create_index("main")
+    node.update("main", [insert(1, [1])])
+    index = node.catalog.get("main")
+    index.checkpoint(force=True)
+    index.export_snapshot(f"{folder}/snap")
+    node.update("main", [insert(2, [1])])
+    seen = node.consumers["main"].checkpoint
+    again = Replica(spark, Catalog(spark, f"{folder}/one"), feed)
+    assert again.add_consumer("main").checkpoint == seen and again.sync("main") == 2
+    # Set back to the snapshot: the stream has seen all files, yet they are applied again.
+    again.catalog.restore("main", 1, f"{folder}/snap")
+    assert again.sync("main") == 2 and ids(again.catalog.get("main"), [1]) == [1, 2]
+
+
 def test_meta_convergence_and_parked_operations(spark, folder):
     feed = Feed(spark, f"{folder}/feed")
     cat = Catalog(spark, f"{folder}/node")

@@ -8,7 +8,7 @@ import threading
 import pytest
 
 from hashloom.catalog import Catalog
-from hashloom.functions.msgpack import pack, unpack, unpack_stream
+from hashloom.functions.msgpack import pack, unpack, unpack_first, unpack_stream
 from hashloom.index import insert
 from hashloom.server import FeedServer, IndexServer
 from hashloom.session import LONGEST_LINE, LineServer, Session
@@ -105,7 +105,13 @@ def test_index_api(catalog):
         assert unpack(data) == {"v": 3, "m": {"a": "b"}, "s": {"min_doc_id": 1, "max_doc_id": 3, "num_segments": 3, "num_docs": 4}}
         assert as_json("GET", "/web/_status") == (200, {"generation": 1, "version": 3, "file_version": 0})
         assert b'hashloom_searches_total{index="web"}' in ask(server, "GET", "/_metrics")[1]
-        assert json.loads(ask(server, "GET", "/web/_snapshot")[1])["header"]["generation"] == 1
+        assert ask(server, "GET", "/none/_snapshot")[0] == 404
+        for segments in (0, 1):  # nothing is in a segment at first
+            status, data = ask(server, "GET", "/web/_snapshot")
+            header, end = unpack_first(data)
+            assert status == 200 and (header["f"], header["g"], len(header["s"])) == (1, 1, segments)
+            assert end + sum(x["s"] for x in header["s"]) == len(data)
+            catalog.get("web").checkpoint(force=True)
         assert as_json("DELETE", "/web") == (200, {"deleted": True})
         assert as_json("DELETE", "/web", {"expect_exists": True}) == (404, {"error": "IndexNotFound"})
         assert ask(server, "PATCH", "/web")[0] == 501 and ask(server, "GET", "/a/b/c")[0] == 404

@@ -1,5 +1,6 @@
 """Feeds and peers behind HTTP."""
 
+import io
 import threading
 
 import pytest
@@ -7,7 +8,8 @@ import pytest
 from hashloom import errors
 from hashloom.__main__ import parser
 from hashloom.catalog import Catalog
-from hashloom.index import delete, insert, set_metadata
+from hashloom.functions.msgpack import pack
+from hashloom.index import Index, delete, insert, receive_snapshot, restore_snapshot, set_metadata
 from hashloom.replica import Replica
 from hashloom.server import FeedServer, IndexServer
 from hashloom.sources.feed import Feed
@@ -24,6 +26,26 @@ def test_options():
     assert options.port == 9 and options.checkpoint_threshold == 100_000 and not options.coordinator
 
 
+def test_snapshot_streams(spark, folder):
+    ix = Index(spark, f"{folder}/a", generation=3)
+    ix.update([insert(1, [1, 2]), set_metadata({"k": "v"})])
+    ix.checkpoint(force=True)
+    ix.insert(2, [1])
+    ix.checkpoint(force=True)
+    size, pieces = ix.snapshot_stream()
+    data = b"".join(pieces)
+    assert len(data) == size and not +ix._leases
+    receive_snapshot(spark, io.BytesIO(data).read, f"{folder}/snap")
+    restore_snapshot(spark, f"{folder}/snap", f"{folder}/b", 3)
+    back = Index(spark, f"{folder}/b", generation=3)
+    assert back.search([1, 2]) == ix.search([1, 2]) and back.info() == ix.info()
+    for bad in (data[:-1], data[:9], b"", pack({"f": 9})):
+        with pytest.raises(errors.CorruptSegment):
+            receive_snapshot(spark, io.BytesIO(bad).read, f"{folder}/bad")
+    with pytest.raises(errors.CorruptSegment):
+        receive_snapshot(spark, io.BytesIO(pack({"f": 1, "g": 3, "s": [{"i": {"name": "x"}, "s": 1, "f": [["../y", 1]]}]}) + b"z").read, f"{folder}/bad")
+
+
 def test_remote_feed_and_replica(spark, folder):
     feed = Feed(spark, f"{folder}/feed")
     with FeedServer(feed, ("127.0.0.1", 0)) as server:
@@ -53,6 +75,7 @@ def test_remote_feed_and_replica(spark, folder):
             second = Replica(spark, Catalog(spark, f"{folder}/second"), remote, peers)
             second.catch_up_meta()
             assert second.sync("main") == 4 and second.catalog.get("main").file_version == 4
+            assert {r["id"] for r in second.catalog.get("main").search([1])} == {1, 2}
             donor.shutdown()
         third = Replica(spark, Catalog(spark, f"{folder}/third"), remote)
         third.catch_up_meta()
