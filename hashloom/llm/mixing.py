@@ -11,8 +11,8 @@ emitted once for every integer the running sum crosses: never more often than it
 cap allows, and, the order being by size, with a token total close to the target.
 
 The running sum is exact and even: documents are numbered inside buckets of one source
-(size class and hash), and bucket counts are prefix-summed, so no task holds a whole
-source. The bucket table has at most ``BUCKETS`` rows for each listed source.
+(size class and hash; the more documents, the more buckets), and bucket counts are prefix-summed, so no task holds a whole
+source. The bucket table has at most ``SIZE_CLASSES * MOST_SPREAD`` rows for each listed source.
 
 Defined results: null and empty texts have no tokens and are never emitted; sources are
 matched by ``source_key`` (case, spaces and separators don't matter); documents of sources
@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +40,40 @@ from hashloom.runtime import small_side, stage
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of the byte-level vocabulary above.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SIZE_CLASSES, SPREAD = 64, 64
-BUCKETS = SIZE_CLASSES * SPREAD
-#: Longest unbroken piece handed to the tokenizer at once, in characters; longer texts go in pieces cut at white space.
+#: Size classes; buckets of each, at least and at most, and documents for each of them on average.
+SIZE_CLASSES, LEAST_SPREAD, MOST_SPREAD, BUCKET_ROWS = 64, 64, 4096, 100_000
+#: Characters handed to the tokenizer at once; longer texts go in pieces.
 PIECE = 100_000
+#: Where white space begins: the split pattern never joins what is before with it, nor looks back.
+_EDGE = re.compile(r"(?<=\S)(?=\s)")
 
 
-def _pieces(text: str) -> list[str]:
-    """A very long text cut before white space, where a split pattern cuts as well."""
-    out = []
-    while len(text) > PIECE:
-        cut = max(text.rfind(" ", 1, PIECE), text.rfind("\n", 1, PIECE))
-        cut = cut if cut > 0 else PIECE
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text]
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut where white space begins; a piece is longer than ``PIECE`` only where no such place is."""
+    at = last = 0
+    for edge in _EDGE.finditer(text) if len(text) > PIECE else ():
+        if edge.start() - at > PIECE and last > at:
+            yield text[at:last]
+            at = last
+        last = edge.start()
+    if len(text) - at > PIECE and last > at:
+        yield text[at:last]
+        at = last
+    yield text[at:]
+
+
+def count_tokens(encoder, text: str) -> int:
+    """Tokens of a text of any length, the same as in one piece.
+
+    A piece that can't be cut is split by the pattern here: the tokenizer's own splitting has no room for very long runs of white space.
+    """
+    total = 0
+    for piece in _pieces(text):
+        if len(piece) <= PIECE:
+            total += len(encoder.encode_ordinary(piece))
+        else:
+            total += sum(len(encoder._encode_single_piece(part.group())) for part in regex.finditer(PATTERN, piece))
+    return total
 
 
 def token_counts(docs: DataFrame, columns: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -68,7 +88,7 @@ def token_counts(docs: DataFrame, columns: list[str], text: str, vocabulary: str
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            counts = [sum(len(encoder.encode_ordinary(p)) for p in _pieces(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
+            counts = [count_tokens(encoder, t) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*columns, "n_tokens"])
 
     rows = docs.select(*columns, F.col(text).alias("_text"))
@@ -132,7 +152,8 @@ def copies(counted: DataFrame, planned: DataFrame, doc: str) -> DataFrame:
     rows = counted.where("n_tokens > 0").join(rates, "source")
     # Half powers of two: neighbours in size share a class.
     size = F.least(F.floor(F.log2("n_tokens") * 2), F.lit(SIZE_CLASSES - 1))
-    rows = rows.withColumn("bucket", (size * SPREAD + F.pmod(F.xxhash64(doc), F.lit(SPREAD))).cast("int"))
+    spread = min(max(counted.count() // BUCKET_ROWS, LEAST_SPREAD), MOST_SPREAD)
+    rows = rows.withColumn("bucket", (size * spread + F.pmod(F.xxhash64(doc), F.lit(spread))).cast("int"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = small_side(counts.select("source", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "offsets")
