@@ -116,8 +116,8 @@ def summarize(df: DataFrame, column: str, counters: int = COUNTERS, prepare=_sam
     width = source.rdd.getNumPartitions()
     while width > 1:
         width = -(-width // FAN_IN)
-        # All rows of one summary go to one task, which merges the summaries it gets.
-        level = level.repartition(width, F.pmod("part", F.lit(width))).mapInArrow(_merge(counters), schema)
+        # Each task gets all rows of 64 summaries (the last one of fewer) and merges them.
+        level = level.repartitionById(width, F.floor(F.col("part") / FAN_IN).cast("int")).mapInArrow(_merge(counters), schema)
     return level.where("value is not null").select("value", "low", "floor", "n")
 
 
