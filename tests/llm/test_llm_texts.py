@@ -95,6 +95,28 @@ def test_retrieval_prunes_and_verifies_retrieved_pairs_only():
     assert counts["verified"] <= counts["pairs"] and counts["retrieved"] < 0.1 * counts["passages"]
 
 
+def test_tokens_of_pieces(monkeypatch):
+    """Counts don't depend on where long texts are cut, and runs of any length have theirs."""
+    import base64
+
+    import tiktoken
+
+    with open(mixing.VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.read().splitlines())}
+    encoder = tiktoken.Encoding("own", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\n", " \n ", "\t", "a", "word", "it's", "12", "...", "é", "今天", "x" * 9, "\u00a0", "'ll "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80))) for _ in range(300)] + [" " * 70 + "a", "a" + "\n" * 70, "b" * 70, " " * 50 + "a " + "!" * 60 + "   b"]
+    want = [len(encoder.encode_ordinary(t)) for t in texts]
+    for piece in (1, 2, 7, 30):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        assert [mixing.count_tokens(encoder, t) for t in texts] == want
+        assert all("".join(mixing._pieces(t)) == t for t in texts)
+    monkeypatch.undo()
+    assert mixing.count_tokens(encoder, " " * 1_500_000 + "a") == 1_500_000
+    assert mixing.count_tokens(encoder, "word " * 100_000) == len(encoder.encode_ordinary("word " * 100_000))
+
+
 def test_fill_targets():
     fill = mixing.fill_targets
     assert fill(100, [("a", 1, 9, 50), ("b", 3, 9, 50)]) == {"a": 25.0, "b": 75.0}
@@ -169,17 +191,66 @@ def test_languages_of_mixed_and_dirty_texts(spark):
     assert language.wrong_labels(profiles, frame.limit(0), "doc_id", "text", "label").collect() == []
 
 
-def test_long_texts_in_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("step", [40, 700, 3000])
+def test_steps_change_nothing(spark, monkeypatch, step):
+    """Texts cut into pieces, and texts that share a step with others, give what they give alone and whole."""
     profiles = language.train(samples(spark), "sample_id", "lang", "text")
     texts = [r.text for r in samples(spark).orderBy("sample_id").limit(40).collect()]
-    long = ["\n".join(texts[:20]), texts[20], "x" * 5000, " ".join(texts[21:])]
-    whole = language.segment_texts(profiles, long)
-    monkeypatch.setattr(language, "STEP_CHARS", 700)
-    cut = language.segment_texts(profiles, long)
-    assert [len(t) for t in long] == [int(cut[2][cut[0] == i].sum()) for i in range(4)]
-    chars = lambda found, i: np.concatenate([np.full(s, n) for t, _, s, n, _ in zip(*found, strict=True) if t == i])
-    same = np.concatenate([chars(whole, i) == chars(cut, i) for i in range(4)])
-    assert same.mean() > 0.97
+    calm = texts[3].replace(".", "").replace(",", "")
+    long = ["\n".join(texts[:20]), texts[20], "x" * 5000, "", "..! ?", (calm + " ") * 9, "a  b \t " + calm, " ".join(texts[21:]), "Это другой язык. " * 60 + texts[2] + " - " * 400 + texts[2], texts[5] + "."]
+    alone = [language.segment_texts(profiles, [t]) for t in long]
+    monkeypatch.setattr(language, "STEP_CHARS", step)
+    for found in (language.segment_texts(profiles, long), [np.concatenate([np.full(len(x[0]), i) if k == 0 else x[k] for i, x in enumerate(language.segment_texts(profiles, [t]) for t in long)]) for k in range(5)]):
+        for i, whole in enumerate(alone):
+            own = found[0] == i
+            for k in range(1, 4):
+                assert found[k][own].tolist() == whole[k].tolist(), (i, k)
+            assert np.allclose(found[4][own], whole[4])
+
+
+SCRIPTS = {
+    "ru": "Сегодня мы обсуждаем бюджет города и дороги, которые давно пора починить. Никто не спорит с этим решением. ",
+    "uk": "Сьогодні ми обговорюємо бюджет міста і дороги, які давно час полагодити. Ніхто не заперечує цього рішення. ",
+    "el": "Σήμερα συζητάμε τον προϋπολογισμό της πόλης και τους δρόμους που πρέπει να επισκευαστούν. Κανείς δεν διαφωνεί. ",
+    "ar": "نناقش اليوم ميزانية المدينة والطرق التي يجب إصلاحها منذ زمن طويل. لا أحد يعترض على هذا القرار. ",
+    "zh": "今天我们讨论城市的预算和早就应该修理的道路。没有人反对这个决定。我们希望尽快开始工作。",
+    "ja": "今日は市の予算と、ずっと前に修理するべきだった道路について話し合います。この決定に反対する人はいません。",
+    "ko": "오늘 우리는 도시의 예산과 오래전에 고쳤어야 할 도로를 논의합니다. 아무도 이 결정에 반대하지 않습니다. ",
+    "hi": "आज हम शहर के बजट और उन सड़कों पर चर्चा करते हैं जिनकी मरम्मत होनी चाहिए। कोई भी इस निर्णय का विरोध नहीं करता। ",
+}
+
+
+@pytest.mark.parametrize("code", sorted(SCRIPTS))
+def test_scripts_without_a_profile(spark, code):
+    profiles = language.train(samples(spark), "sample_id", "lang", "text")
+    en = "Nobody disputes that the bridge is needed, but the way it shifts the burden onto small towns is simply wrong. "
+    other = SCRIPTS[code] * 2
+    frame = spark.createDataFrame([(1, other, "xx"), (2, en * 2 + other, "en"), (3, en * 9 + SCRIPTS[code][:4] + ". " + en, "en")], "doc_id bigint, text string, label string")
+    parts = {}
+    for r in language.segments(profiles, frame, "doc_id", "text").orderBy("doc_id", "segment").collect():
+        parts.setdefault(r.doc_id, []).append((r.lang, r.begin, r.chars))
+    assert parts[1] == [("und", 0, len(other))]
+    assert parts[2] == [("en", 0, len(en) * 2), ("und", len(en) * 2, len(other))]
+    found = {(r.doc_id, r.lang, r.main_lang, r.several) for r in language.document_languages(profiles, frame, "doc_id", "text", "label").collect()}
+    assert (1, "und", "und", False) in found and {("en", True), ("und", True)} == {(x[1], x[3]) for x in found if x[0] == 2} and [x[1:] for x in found if x[0] == 3] == [("en", "en", False)]
+    assert {(r.doc_id, r.lang) for r in language.wrong_labels(profiles, frame, "doc_id", "text", "label").collect()} <= {(2, "en")}
+
+
+def test_scripts_with_profiles():
+    """Profiles of any script: languages of one script are told apart, and labels of all are known."""
+    english = "Nobody disputes that the bridge is needed, but the way it shifts the burden onto small towns is simply wrong. "
+    profiles = language.fit_profiles([*SCRIPTS.items(), ("en", english)])
+    texts = [t * 3 for t in SCRIPTS.values()] + [SCRIPTS["ru"] + english * 2 + SCRIPTS["zh"], SCRIPTS["ru"].upper()]
+    text, begin, size, number, _ = language.segment_texts(profiles, texts)
+    named = [[profiles.languages[n] for n in number[text == i]] for i in range(len(texts))]
+    assert named == [[code] for code in SCRIPTS] + [["ru", "en", "zh"], ["ru"]]
+    assert all(size[text == i].sum() == len(t) for i, t in enumerate(texts))
+
+
+def test_many_languages_in_sequence():
+    cost = np.full((400, 200), 9.0)
+    cost[np.arange(400), np.repeat(np.arange(200), 2)] = 0
+    assert language.best_sequences(cost, np.zeros(400, np.int64)).tolist() == np.repeat(np.arange(200), 2).tolist()
 
 
 def test_labels(spark):
