@@ -15,6 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from hashloom.sources.oplog import Oplog
 
 
 SNAPSHOT_FORMAT = 1
+#: Logged items, hashes and changes, that are also kept in memory.
+MEMORY_ITEMS = 200_000
 #: Hashes of one query that are pushed into the scan one by one.
 MOST_PUSHED = 1000
 
@@ -61,19 +64,45 @@ def set_metadata(entries: dict[str, str]) -> dict:
     return {"op": "set_metadata", "id": None, "hashes": None, "entries": dict(entries)}
 
 
+@dataclass(frozen=True)
+class MemorySegment:
+    """One logged commit in the driver's memory: the last operation on each id, and its postings by hash."""
+
+    commit_id: int
+    version: int
+    #: Is the document alive?
+    docs: dict[int, bool]
+    postings: dict[int, list[tuple[int, int]]]
+
+    @staticmethod
+    def of(commit_id: int, version: int | None, changes: list[dict]) -> MemorySegment:
+        last = {c["id"]: c for c in changes if c["op"] != "set_metadata"}
+        postings: dict[int, list[tuple[int, int]]] = {}
+        for change in last.values():
+            if change["op"] == "insert":
+                for h, n in Counter(change["hashes"]).items():
+                    postings.setdefault(h, []).append((change["id"], n))
+        return MemorySegment(commit_id, commit_id if version is None else version, {i: c["op"] == "insert" for i, c in last.items()}, postings)
+
+
 class Reader:
     """An immutable view: the segments of one manifest and the log up to one commit."""
 
     def __init__(self, index: Index) -> None:
         self.index, self._open = index, True
         with index._lock:
-            self.infos, self.commit_id = list(index.infos), index.commit_id
-            logged = self.commit_id > index.file_commit_id
-            self.logged = index.oplog.read(index.file_commit_id, self.commit_id) if logged else None
-            self._held = [i["name"] for i in self.infos] + (index.oplog.present(index.file_commit_id, self.commit_id) if logged else [])
+            self.infos, self.commit_id, self.file_commit_id = list(index.infos), index.commit_id, index.file_commit_id
+            #: All logged commits, the oldest first; None if some aren't in memory.
+            self.memory: tuple[MemorySegment, ...] | None = index._memory
+            self._held = [i["name"] for i in self.infos] + list(range(self.file_commit_id + 1, self.commit_id + 1))
             index._leases.update(self._held)
             self.stored_docs, self._stored_postings = index._stored(self.infos)
 
+    @cached_property
+    def logged(self) -> DataFrame | None:
+        """Changes of the logged commits."""
+        return self.index.oplog.read(self.file_commit_id, self.commit_id) if self.commit_id > self.file_commit_id else None
+
     def close(self) -> None:
         with self.index._lock:
             if self._open:
@@ -118,19 +147,32 @@ class Reader:
 
     def newest(self, only: DataFrame | None = None) -> DataFrame:
         """``(id, alive, commit_id, version)``: the newest mention of each id, or of the ids in ``only``."""
-        docs = self.docs() if only is None else self.docs().join(only.select("id").distinct(), "id", "left_semi")
-        return docs.groupBy("id").agg(F.max_by(F.struct("alive", "version"), "commit_id").alias("d"), F.max("commit_id").alias("commit_id")).select("id", "d.alive", "commit_id", "d.version")
+        return _newest(self.docs() if only is None else self.docs().join(only.select("id").distinct(), "id", "left_semi"))
+
+    def mention(self, doc_id: int) -> tuple[bool, int] | None:
+        """(alive, version) of the newest mention of an id."""
+        for segment in reversed(self.memory or ()):
+            if doc_id in segment.docs:
+                return segment.docs[doc_id], segment.version
+        if self.memory is not None and not self.infos:
+            return None
+        docs = self.docs() if self.memory is None else self.stored_docs
+        row = docs.where(f"id = {int(doc_id)}").agg(F.max_by(F.struct("alive", "version"), "commit_id").alias("d")).first().d
+        return None if row is None else (row.alive, row.version)
 
     def live(self) -> DataFrame:
         return self.newest().where("alive").select("id", "version")
 
-    def _current(self, hits: DataFrame) -> DataFrame:
-        """Those of ``hits (id, commit_id, ...)`` that no newer commit replaces or deletes."""
-        if self.logged is None and len(self.infos) <= 1:
+    def _current(self, hits: DataFrame, docs: DataFrame, sources: int) -> DataFrame:
+        """Those of ``hits (id, commit_id, ...)`` that no newer commit of ``docs`` replaces or deletes."""
+        if sources <= 1:
             return hits  # one segment holds an id once, and postings of live documents only
-        current = self.newest(hits).where("alive").select("id", "commit_id")
+        current = _newest(docs.join(hits.select("id").distinct(), "id", "left_semi")).where("alive").select("id", "commit_id")
         return hits.join(current, ["id", "commit_id"], "left_semi")
 
+    def _sources(self) -> int:
+        return len(self.infos) + self.commit_id - self.file_commit_id
+
     def search(self, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
         """Ranked ``(query_id, id, score, rank)`` of ``queries (query_id, hashes, ...)``.
 
@@ -139,26 +181,75 @@ class Reader:
         """
         asked = batch(queries, options or SearchOptions())
         hits = self.postings().join(asked.probe_rows("query_id"), "hash").groupBy("query_id", "id", "commit_id").agg(F.sum("n").cast("bigint").alias("score"))
-        live = self._current(hits).join(asked.settings("query_id", "min_score"), "query_id")
+        live = self._current(hits, self.docs(), self._sources()).join(asked.settings("query_id", "min_score"), "query_id")
         return ranked(live.where("score >= min_score").select("query_id", "id", "score"), asked)
 
-    def matching(self, hashes: list[int]) -> DataFrame:
+    def matching(self, hashes: list[int], rows: DataFrame | None = None) -> DataFrame:
         """Postings of the hashes of one query; row groups without any of them aren't read if they are few."""
+        rows = self.postings() if rows is None else rows
         if len(hashes) <= MOST_PUSHED:
-            return self.postings().where(f"hash IN ({', '.join(map(str, hashes))})")
-        asked = self.index.spark.createDataFrame([(h,) for h in hashes], "hash bigint")
-        return self.postings().join(F.broadcast(asked), "hash")
+            return rows.where(f"hash IN ({', '.join(map(str, hashes))})")
+        return rows.join(F.broadcast(self.index.spark.createDataFrame([(h,) for h in hashes], "hash bigint")), "hash")
+
+    def _remembered(self, hashes: list[int]) -> tuple[Counter[int], set[int]]:
+        """(scores of the live documents in memory, all ids it mentions)."""
+        scores, seen = Counter(), set()
+        for segment in reversed(self.memory):
+            for h in hashes:
+                for i, n in segment.postings.get(h, ()):
+                    if i not in seen:
+                        scores[i] += n
+            seen |= segment.docs.keys()
+        return scores, seen
+
+    def _best(self, hits: DataFrame, docs: DataFrame, sources: int, limit: int) -> list[tuple[int, int]]:
+        """The best ``limit`` of ``hits (id, commit_id, score)`` that are current."""
+        most = 2 * limit + 16
+        order = F.desc("score"), F.asc("id"), F.desc("commit_id")
+        if 1 < sources and most <= MOST_PUSHED:
+            # Few documents are replaced, so the first hits mostly hold the best current ones: two small jobs, the second for a few ids.
+            first = hits.orderBy(*order).limit(most).collect()
+            if not first:
+                return []
+            named = docs.where(f"id IN ({', '.join(str(r.id) for r in first)})")
+            alive = {(r.id, r.commit_id) for r in _newest(named).where("alive").select("id", "commit_id").collect()}
+            kept = [(r.id, r.score) for r in first if (r.id, r.commit_id) in alive]
+            if len(kept) >= limit or len(first) < most:
+                return kept[:limit]
+        found = self._current(hits, docs, sources).orderBy(*order).limit(limit).collect()
+        return [(r.id, r.score) for r in found]
 
     def search_one(self, query: list[int], options: SearchOptions) -> list[tuple[int, int]]:
-        """``(id, score)`` of one query in order, in one job and without staging: the driver holds the query anyway."""
+        """``(id, score)`` of one query in order, without staging: the driver holds the query anyway.
+
+        The segments take one job, from which the best ``limit`` come back; commits in memory are scored in the driver.
+        """
         limit, floor = options.bounds(len(query))
         hashes = sorted({h & U32_MAX for h in query})
         if not hashes or limit < 1:
             return []
-        hits = self.matching(hashes).groupBy("id", "commit_id").agg(F.sum("n").alias("score")).where(f"score >= {floor}")
-        found = self._current(hits).select("id", "score").orderBy(F.desc("score"), "id").limit(limit).collect()
-        cut = max(floor, found[0].score * options.score_pct // 100) if found else 0
-        return [(r.id, r.score) for i, r in enumerate(found) if i == 0 or r.score >= cut]
+        found: list[tuple[int, int]] = []
+        if self.memory is None:
+            hits, docs, sources, seen = self.matching(hashes), self.docs(), self._sources(), set()
+        else:
+            hits, docs, sources = self.matching(hashes, self._stored_postings), self.stored_docs, len(self.infos)
+            scores, seen = self._remembered(hashes)
+            found = [(i, n) for i, n in scores.items() if n >= floor]
+        if sources:
+            hits = hits.groupBy("id", "commit_id").agg(F.sum("n").alias("score")).where(f"score >= {floor}")
+            if seen:
+                hits = hits.where(f"id NOT IN ({', '.join(map(str, seen))})") if len(seen) <= MOST_PUSHED else hits.join(
+                    F.broadcast(self.index.spark.createDataFrame([(i,) for i in seen], "id bigint")), "id", "left_anti"
+                )
+            found += self._best(hits, docs, sources, limit)
+        found = sorted(found, key=lambda x: (-x[1], x[0]))[:limit]
+        cut = max(floor, found[0][1] * options.score_pct // 100) if found else 0
+        return [x for i, x in enumerate(found) if i == 0 or x[1] >= cut]
+
+
+def _newest(docs: DataFrame) -> DataFrame:
+    """``(id, alive, commit_id, version)`` of each id's newest mention."""
+    return docs.groupBy("id").agg(F.max_by(F.struct("alive", "version"), "commit_id").alias("d"), F.max("commit_id").alias("commit_id")).select("id", "d.alive", "commit_id", "d.version")
 
 
 class Index:
@@ -186,6 +277,7 @@ class Index:
             self.commit_id = max(file_commit, tail.c or 0)
             self.upstream = max([*versions, *([tail.v] if tail.v is not None else [])], default=None)
             self.logged_items, self.logged_since = 0, time.monotonic()
+            self._memory: tuple[MemorySegment, ...] | None = () if self.commit_id == file_commit else None
         # Files of commits after a torn one were never acknowledged: their ids are used again.
         for torn in [c for c in self.oplog.commits() if c > self.commit_id]:
             files.delete(self.spark, f"{self.oplog.path}/{torn:016x}.xlog")
@@ -224,9 +316,13 @@ class Index:
             raise errors.VersionWentBackwards(f"{version} after {self.upstream}")
         return self.commit_id + 1
 
-    def _committed(self, commit: int, version: int | None, items: int) -> int:
+    def _committed(self, commit: int, version: int | None, items: int, changes: list[dict] | None = None) -> int:
         with self._lock:
             self.commit_id = commit
+            if changes is None or self._memory is None or self.logged_items + items + len(changes) > MEMORY_ITEMS:
+                self._memory = None  # read from the log until the next checkpoint
+            else:
+                self._memory = (*self._memory, MemorySegment.of(commit, version, changes))
             if version is not None:
                 self.upstream = version
             if not self.logged_items:
@@ -249,7 +345,7 @@ class Index:
             commit = self._next(expected_version, version)
             if not self.oplog.append(commit, version, changes):
                 raise errors.VersionMismatch(f"commit {commit} was taken by another writer")
-            return self._committed(commit, version, sum(len(c["hashes"] or ()) for c in changes))
+            return self._committed(commit, version, sum(len(c["hashes"] or ()) for c in changes), changes)
 
     def update_frame(self, changes: DataFrame, expected_version: int | None = None, version: int | None = None) -> int:
         """Commit a DataFrame ``(ordinal, op, id, hashes, entries)`` as one batch, whatever its size."""
@@ -278,10 +374,10 @@ class Index:
     def get(self, doc_id: int) -> dict:
         """Version of a live document."""
         with self.reader() as r:
-            row = r.docs().where(F.col("id") == doc_id).agg(F.max_by(F.struct("alive", "version"), "commit_id").alias("d")).first().d
-        if row is None or not row.alive:
+            found = r.mention(doc_id)
+        if found is None or not found[0]:
             raise errors.FingerprintNotFound(str(doc_id))
-        return {"version": row.version}
+        return {"version": found[1]}
 
     def exists(self, doc_id: int) -> bool:
         try:
@@ -292,8 +388,8 @@ class Index:
 
     def doc_info(self, doc_id: int) -> dict | None:
         with self.reader() as r:
-            row = r.docs().where(F.col("id") == doc_id).agg(F.max_by(F.struct("alive", "version"), "commit_id").alias("d")).first().d
-        return None if row is None else {"version": row.version, "deleted": not row.alive}
+            found = r.mention(doc_id)
+        return None if found is None else {"version": found[1], "deleted": not found[0]}
 
     def search(self, query: Iterable[int], options: SearchOptions | None = None, timeout_ms: int = 0) -> list[dict]:
         """Ranked results of one query; the deadline cancels its Spark jobs (0: none)."""
@@ -369,10 +465,12 @@ class Index:
 
     # Maintenance
 
-    def _publish(self, infos: list[dict]) -> None:
+    def _publish(self, infos: list[dict], forget: bool = False) -> None:
+        """``forget``: the new segments hold all logged commits."""
         files.write_json(self.spark, f"{self.data}/manifest.json", {"segments": infos})
         with self._lock:
             self.infos = infos
+            self._memory = () if forget else self._memory
             self.file_commit_id = max((i["commit_id"] + i["merges"] for i in infos), default=0)
 
     def needs_checkpoint(self) -> bool:
@@ -401,7 +499,7 @@ class Index:
             rows = docs.selectExpr("id", "kind = 'i' AS alive", f"{last}L AS commit_id", "coalesce(version, commit_id) AS version")
             items = counted_postings(docs.where("kind = 'i'")).selectExpr("hash", "id", "n", f"{last}L AS commit_id")
             written = segments.write_segment(self.spark, self.data, info, rows, items, counted.items or 0)
-            self._publish([*self.infos, written])
+            self._publish([*self.infos, written], forget=True)
             self._drop_commits()
             self.logged_items = 0
             self.metrics.add("checkpoints")

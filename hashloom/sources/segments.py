@@ -1,4 +1,4 @@
-"""Immutable Parquet segments: ``docs (id, alive, commit_id, version)`` and ``postings (hash, id, n, commit_id)`` sorted by hash.
+"""Immutable Parquet segments: ``docs (id, alive, commit_id, version)`` sorted by id and ``postings (hash, id, n, commit_id)`` sorted by hash.
 
 Range partitions sorted by hash give every row group narrow hash statistics, which stand
 in for a block index when few hashes are looked up.
@@ -34,8 +34,8 @@ def write_segment(spark: SparkSession, folder: str, info: dict, docs: DataFrame,
     files.delete(spark, path)
     counted, summed = Observation(), Observation()
     docs = docs.select("id", "alive", "commit_id", "version")
-    docs = docs.coalesce(1) if items <= ONE_TASK_ITEMS else docs
-    docs.observe(counted, F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).write.parquet(f"{path}/docs")
+    docs = docs.coalesce(1) if items <= ONE_TASK_ITEMS else docs.repartitionByRange("id")
+    docs.sortWithinPartitions("id").observe(counted, F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).write.parquet(f"{path}/docs")
     rows = postings.select("hash", "id", "n", "commit_id")
     rows = rows.repartition(1) if items <= ONE_TASK_ITEMS else rows.repartitionByRange("hash", "id")
     rows.sortWithinPartitions("hash", "id").observe(summed, F.sum("n").alias("n")).write.parquet(f"{path}/postings")

@@ -134,6 +134,21 @@ def test_one_query_equals_a_batch(spark, folder):
     assert ix.search([]) == []
 
 
+def test_most_first_hits_are_replaced(spark, folder):
+    """So many of the best hits are of replaced documents that the first look doesn't suffice."""
+    ix = Index(spark, folder)
+    ix.update([insert(i, [1, 2, 3]) for i in range(1, 200)])
+    ix.checkpoint(force=True)
+    ix.update([insert(i, [1]) for i in range(1, 190)] + [delete(190)])
+    want = [(i, 3) for i in range(191, 200)] + [(1, 1)]
+    for _ in range(2):
+        assert pairs(ix.search([1, 2, 3], SearchOptions(limit=10))) == want
+        assert Index(spark, folder).search([1, 2, 3], SearchOptions(limit=10)) == ix.search([1, 2, 3], SearchOptions(limit=10))
+        ix.checkpoint(force=True)
+    ix.update([insert(500 + i, range(1000)) for i in range(250)])  # too much to keep in memory
+    assert ix._memory is None and pairs(ix.search([1, 2, 3], SearchOptions(limit=1))) == [(191, 3)]
+
+
 def test_scans_are_observed(spark, folder):
     ix = Index(spark, folder, name="n")
     ix.update([insert(1, [5, 6]), insert(2, [5])])
