@@ -68,4 +68,6 @@ def statistics(changes: DataFrame) -> DataFrame:
     )
     version = changes.agg(F.coalesce(F.max("commit_id"), F.lit(0)).alias("version"))
     live = live_docs(changes).agg(F.count("*").alias("num_live"))
-    return version.crossJoin(by_commit).crossJoin(live)
+    # One row each, put side by side.
+    parts = by_commit.unionByName(version, allowMissingColumns=True).unionByName(live, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("version", *by_commit.columns, "num_live")])
