@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.ints import u32
 from hashloom.llm import contamination, heavy_hitters, language, mixing, near_dups, set_join, top_n
-from hashloom.runtime import spread
+from hashloom.runtime import small_side, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "search_hits")
     best = top_n.top_n_newest(hits, "query_id", "id", "score", "commit_id", 100)
     limits = table(spark, sf_dir, "search_requests").groupBy("query_id").agg(F.max(F.greatest(F.least(F.coalesce("result_limit", F.lit(40)), F.lit(100)), F.lit(1))).alias("most"))
-    return best.join(limits, "query_id").where("rank <= most").select("query_id", "id")
+    return best.join(small_side(limits, "limits"), "query_id").where("rank <= most").select("query_id", "id")
 
 
 def p7_best_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,22 @@ def _overlaps(left: str, right: str) -> str:
 FROM (SELECT id, len(s) AS n, unnest(s) AS h FROM {left}) a JOIN (SELECT id, len(s) AS n, unnest(s) AS h FROM {right}) b ON a.h = b.h {"AND a.id < b.id" if left == right else ""} GROUP BY 1, 2)"""
 
 
+def _without_brackets(text: str) -> str:
+    """Pairs of brackets up to three levels deep."""
+    for _ in range(3):
+        text = f"regexp_replace(regexp_replace({text}, '\\([^()]*\\)', ' ', 'g'), '\\[[^\\[\\]]*\\]', ' ', 'g')"
+    return text
+
+
+def _runs(table: str, item: str) -> str:
+    """Each run of 15 words of each text, as p8 sees words."""
+    words = f"regexp_extract_all(replace(strip_accents(lower({_without_brackets('text')})), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""SELECT DISTINCT {item}, unnest(list_transform(range(1, len(w) - {contamination.RUN - 2}), lambda i: array_to_string(w[i:i+{contamination.RUN - 1}], ' '))) AS run
+FROM (SELECT {item}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {contamination.RUN}"""
+
+
 ORACLES = {
+    "p8_found": f"SELECT DISTINCT item_id, doc_id FROM ({_runs('eval_items', 'item_id')}) i JOIN ({_runs('documents', 'doc_id')}) d ON i.run = d.run",
     "p1_found": f"WITH p AS ({_POSTINGS}) SELECT hash FROM p GROUP BY hash HAVING count(*) * 1000 >= 2 * (SELECT count(*) FROM p)",
     "p1_counts": f"WITH p AS ({_POSTINGS}) SELECT hash, count(*) AS n, (SELECT count(*) FROM p) AS total, true AS within_bounds FROM p GROUP BY hash HAVING count(*) * 10000 >= 5 * (SELECT count(*) FROM p)",
     "p2_found": f"WITH {_STORED}, {_overlaps('stored', 'stored')} SELECT ia AS id_a, ib AS id_b FROM met WHERE k * 2 >= na + nb - k",

@@ -7,8 +7,8 @@ import unicodedata
 
 import numpy as np
 
-_ROUND = re.compile(r"\([^()]*\)")
-_SQUARE = re.compile(r"\[[^\[\]]*\]")
+_BRACKET = re.compile(r"[()\[\]]")
+_OPENS = {")": "(", "]": "["}
 _WORD = re.compile(r"[^\W_]+")
 #: Which code points are combining marks, up to the last one that is.
 _MARKS = np.array([unicodedata.combining(chr(c)) > 0 for c in range(0x1F000)])
@@ -21,12 +21,35 @@ def without_marks(text: str) -> str:
 
 
 def without_brackets(text: str) -> str:
-    """Text in ( ) or [ ], nested ones too, replaced by a space; brackets without a partner stay."""
-    while True:
-        shorter = _SQUARE.sub(" ", _ROUND.sub(" ", text))
-        if shorter == text:
-            return text
-        text = shorter
+    """Text in ( ) or [ ], nested ones too, replaced by a space; brackets without a partner stay.
+
+    One scan: a closing bracket goes with the nearest open one of its kind, and what is open between them has no partner.
+    """
+    stack: list[tuple[str, int]] = []
+    opened = {"(": 0, "[": 0}
+    removed: list[tuple[int, int]] = []
+    for found in _BRACKET.finditer(text):
+        char, at = found.group(), found.start()
+        if char in opened:
+            stack.append((char, at))
+            opened[char] += 1
+        elif opened[_OPENS[char]]:
+            while True:
+                kind, begin = stack.pop()
+                opened[kind] -= 1
+                if kind == _OPENS[char]:
+                    break
+            # Pairs end in order: those inside this one are the last so far.
+            while removed and removed[-1][0] > begin:
+                removed.pop()
+            removed.append((begin, at + 1))
+    if not removed:
+        return text
+    parts, at = [], 0
+    for begin, end in removed:
+        parts.append(text[at:begin])
+        at = end
+    return " ".join([*parts, text[at:]])
 
 
 def words(text: str | None) -> list[str]:
