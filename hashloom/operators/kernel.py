@@ -121,30 +121,30 @@ def _score(shared, scopes: int):
     return run
 
 
-def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES) -> DataFrame:
+def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES, ids: DataFrame | None = None) -> DataFrame:
     """Ranked ``(query_id, id, score, rank)`` of ``queries`` over ``docs (id, hashes, *scope)``.
 
     Query ids are BIGINT and unique. The rows are those of ``search`` over the documents' postings, whichever
     way is taken: several rows of one id (in one scope) are one bag with the elements of all; rows whose id is null
-    or no u32 are left out.
+    or no u32 are left out. ``ids (id, *scope)``: the ids of all rows, or more, where they are cheaper to read than ``docs``.
     """
     asked = batch(queries, options or SearchOptions(), *scope)
-    return ranked(_found(docs, asked, options or SearchOptions(), scope, most_probes, max(asked.limit, 1)), asked)
+    return ranked(_found(docs, asked, options or SearchOptions(), scope, most_probes, max(asked.limit, 1), ids), asked)
 
 
-def search_all_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES) -> DataFrame:
+def search_all_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES, ids: DataFrame | None = None) -> DataFrame:
     """As ``search_docs``, but ``(query_id, id, score)`` of every document at or above the floors: no limit is applied."""
     asked = batch(queries, options or SearchOptions(), *scope)
-    return qualifying(_found(docs, asked, options or SearchOptions(), scope, most_probes, None), asked)
+    return qualifying(_found(docs, asked, options or SearchOptions(), scope, most_probes, None, ids), asked)
 
 
-def whole_documents(docs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+def whole_documents(docs: DataFrame, scope: tuple[str, ...], ids: DataFrame | None = None) -> DataFrame:
     """``(id, hashes, *scope)`` with one row for each id of a scope.
 
     Ids are counted (they alone are shuffled); only the rows of those that come more than once are then put together.
     """
     rows = docs.select(F.col("id").cast("bigint").alias("id"), "hashes", *scope).where(f"hashes is not null and id between 0 and {U32_MAX}")
-    several = small_side(rows.groupBy("id", *scope).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
+    several = small_side((rows if ids is None else ids).groupBy("id", *scope).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
     if several.isEmpty():
         return rows
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("id", *scope)]
@@ -153,7 +153,7 @@ def whole_documents(docs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     return alone.unionByName(parts.groupBy("id", *scope).agg(F.flatten(F.collect_list("hashes")).alias("hashes")).select("id", "hashes", *scope))
 
 
-def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[str, ...], most_probes: int, keep: int | None) -> DataFrame:
+def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[str, ...], most_probes: int, keep: int | None, ids: DataFrame | None) -> DataFrame:
     """``(query_id, id, score)`` at or above each query's absolute floor; of every partition the best ``keep`` of a query."""
     cells = asked.queries * (keep or 0)
     if options.max_docs_per_hash is not None or asked.probes > most_probes or cells > MOST_KEPT:
@@ -167,5 +167,5 @@ def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[s
     for number, key in enumerate(keys):
         rows_of.setdefault(key, []).append(number)
     by_scope = {key: _probes(table.take(pa.array(numbers)), keep) for key, numbers in rows_of.items() if None not in key}
-    found = whole_documents(docs, scope)
+    found = whole_documents(docs, scope, ids)
     return found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")

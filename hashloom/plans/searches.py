@@ -13,6 +13,7 @@ from hashloom.operators import changelog, feeds, merge, state
 from hashloom.operators.kernel import search_all_docs, search_docs
 from hashloom.operators.search import SearchOptions, postings, search
 from hashloom.plans import fixtures as fx
+from hashloom.runtime import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +69,7 @@ def search_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over documents stored in several rows each, one for each flag and status: their elements are one bag."""
     stored = fx.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("id"), "l_returnflag", "l_linestatus").agg(F.collect_list("l_partkey").alias("hashes"))
     nameless = spark.createDataFrame([(None, "A", "F", [1, 2, 3])], stored.schema)
-    return search_docs(stored.unionByName(nameless), fx.basket_queries(spark, sf_dir))
+    return search_docs(stage(stored.unionByName(nameless), "stored"), fx.basket_queries(spark, sf_dir))
 
 
 @query(_search_sql(_BASKETS, _FIFTIETH, "2", "10", "100", "query_id, id, score"))
@@ -140,6 +141,11 @@ def _shingles(name: str, item: str) -> str:
  FROM (SELECT {item} + 1 AS id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ') AS w FROM {name} WHERE text IS NOT NULL) WHERE len(w) >= 3"""
 
 
+def _doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, without reading their texts."""
+    return fx.table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"))
+
+
 @query(
     _search_sql(
         _shingles("documents", "doc_id").replace("SELECT id, unnest", "SELECT hash, id FROM (SELECT id, unnest") + ")",
@@ -154,7 +160,7 @@ def search_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = fx.shingle_docs(fx.table(spark, sf_dir, "eval_items"), "item_id").withColumnRenamed("id", "query_id")
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
-    found = search_docs(docs, items)
+    found = search_docs(docs, items, ids=_doc_ids(spark, sf_dir))
     return found.select((F.col("query_id") - 1).alias("item_id"), (F.col("id") - 1).alias("doc_id"), "score")
 
 
@@ -174,7 +180,7 @@ def search_contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fx.shingle_docs(fx.table(spark, sf_dir, "eval_items"), "item_id").withColumnRenamed("id", "query_id")
     items = items.withColumn("min_score", F.least(default_min_score(F.size("hashes")), F.lit(13)))
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
-    found = search_all_docs(docs, items, SearchOptions(score_pct=0))
+    found = search_all_docs(docs, items, SearchOptions(score_pct=0), ids=_doc_ids(spark, sf_dir))
     return found.select((F.col("query_id") - 1).alias("item_id"), (F.col("id") - 1).alias("doc_id"), "score")
 
 
@@ -192,7 +198,7 @@ def search_documents_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
     asked = docs.where("(id - 1) % 50 = 0").select(F.col("id").alias("query_id"), "hashes", F.floor((F.size("hashes") + 1) / 2).alias("min_score"), F.lit(50).alias("score_pct"))
-    found = search_docs(docs, asked)
+    found = search_docs(docs, asked, ids=_doc_ids(spark, sf_dir))
     return found.select((F.col("query_id") - 1).alias("doc_id"), (F.col("id") - 1).alias("other_id"), "score")
 
 
@@ -210,7 +216,7 @@ def search_documents_neardup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = fx.shingle_docs(fx.table(spark, sf_dir, "documents"), "doc_id")
     asked = docs.where("(id - 1) % 50 = 0").select(F.col("id").alias("query_id"), "hashes", F.floor((F.size("hashes") + 1) / 2).alias("min_score"))
-    found = search_all_docs(docs, asked, SearchOptions(score_pct=0))
+    found = search_all_docs(docs, asked, SearchOptions(score_pct=0), ids=_doc_ids(spark, sf_dir))
     return found.select((F.col("query_id") - 1).alias("doc_id"), (F.col("id") - 1).alias("other_id"), "score")
 
 
