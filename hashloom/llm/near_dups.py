@@ -17,11 +17,14 @@ inequality no coordinate of a pair within the bound differs by more than r. Two
 - Coarse: 32 references of half of all tokens. Pairs that met are discarded if their greatest coordinate
   difference is above r; survivors are verified on the sets.
 
-Records that meet in a band are compared with one of them, the reference of the band, and linked if similar.
-Where many are still outside the band's largest component, one of these becomes a further reference, a few
-times at most. The pairs left have at least one side outside the largest component of their band; they pass
-the coarse table and are verified. So a group of near copies that holds a third of all rows costs a few
-distances a member and not its square. Exact copies are one class from the start. Linked classes form groups
+Bands that up to ``COLD`` records share give their pairs. In a hotter band, as of a group of near copies that may hold a
+third of all rows, one of its records, which few edits set apart from the others, becomes a further reference
+P, and each record x gets its exact distance to it and what it differs in, E(x) = x xor P. Records within the bound of P
+are linked to it. Two others y are within the bound d(x,y) = |E(x) xor E(y)| of an x that isn't linked only if E(x) and E(y)
+share more than half of E(y), or if even d(x,P) + d(P,y) is within it. So of each record only its edits that
+are rare around P, about half of them, are joined with the edits of the records that aren't linked; of the latter case one
+linked record, the one with most room, tells whether there is any. The cost is a few rows for each edit of a member,
+not the square of the members. Exact copies are one class from the start. Linked classes form groups
 by connected components.
 
 Defined results: sets ignore order, repeats and nulls; null and empty sets and null ids
@@ -37,13 +40,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.llm.components import connected
 from hashloom.llm.prefix import SKETCH, sets_by_id
 from hashloom.llm.set_join import classes_of, paired
-from hashloom.runtime import small_side, stage
+from hashloom.runtime import stage
 
 #: References of a band; their coordinates take three bits each of a long.
 REFERENCES = 21
@@ -51,8 +54,8 @@ REFERENCES = 21
 SMALL = 32
 #: Hashes tried before all records get one band for each token.
 SEEDS = 3
-#: References per band at most, and the pairs per key that are compared rather than a further reference taken.
-TURNS, WORTH = 6, 16
+#: Records that share a band and are compared with each other, at most.
+COLD = 16
 #: Longs of eight coordinates each of the coarse table.
 PACKS = 4
 _PACKED = [f"c{i}" for i in range(PACKS)]
@@ -197,19 +200,47 @@ def similar(pairs: DataFrame, table: DataFrame, up: int, down: int) -> DataFrame
     return both.where(shared * F.lit(up + down) >= (F.col("a_size") + F.col("b_size")) * F.lit(up)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _with_reference(rows: DataFrame, *more) -> DataFrame:
-    """``(key, ref, ...)``: one holder of each key, the same for many keys of a group, but not for all."""
-    rank = F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("rank"), "id")
-    return rows.groupBy("key").agg(F.min(rank).alias("least"), *more).withColumn("ref", F.col("least.id")).drop("least")
-
-
-def _to_reference(held: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of each holder and the reference of its key."""
-    return held.where("id <> ref").select(F.least("id", "ref").alias("a"), F.greatest("id", "ref").alias("b")).distinct()
-
-
-def class_roots(table: DataFrame, threshold: str) -> DataFrame:
-    """``(id, root)`` of every class that isn't the smallest of its group; groups are those that all similar pairs would connect."""
+def _central(hot: DataFrame) -> DataFrame:
+    """Distinct ``(id, ref)``: for each key's holders the one that shares most keys, so one with few edits; then the smallest id."""
+    weighed = hot.join(hot.groupBy("id").agg(F.count("*").alias("central")), "id")
+    refs = weighed.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("r")).select("key", (-F.col("r.minus")).alias("ref"))
+    return hot.join(refs, "key").select("id", "ref").distinct()
+
+
+def _edits(pairs: DataFrame, table: DataFrame, up: int, down: int) -> DataFrame:
+    """``(id, ref, size, ref_size, edits, d, linked)`` of ``pairs (id, ref)``: what each record differs from its reference in."""
+    sets = table.select("id", "tokens", "size")
+    both = paired(pairs.select(F.col("id").alias("a"), F.col("ref").alias("b")), sets, sets)
+    apart = F.concat(F.array_except("a_tokens", "b_tokens"), F.array_except("b_tokens", "a_tokens"))
+    rows = both.select(F.col("a").alias("id"), F.col("b").alias("ref"), F.col("a_size").alias("size"), F.col("b_size").alias("ref_size"), apart.alias("edits"))
+    return rows.withColumn("d", F.size("edits").cast("bigint")).withColumn("linked", F.expr(f"d * {up + down} <= (size + ref_size) * {down - up}"))
+
+
+def hot_links(hot: DataFrame, table: DataFrame, up: int, down: int) -> DataFrame:
+    """Links ``(u, v)`` that connect what all similar pairs of records with a common key of ``hot (key, id)`` would connect."""
+    edits = stage(_edits(_central(hot), table, up, down), "edits")
+    direct = edits.where("linked and id <> ref").select(F.col("id").alias("u"), F.col("ref").alias("v"))
+    # Is a record so near the reference that d(x,P) + d(P,y) is within the bound of x and y? The one with most room tells.
+    room = f"size * {down - up} - d * {up + down}"
+    roomy = edits.where("linked").groupBy("ref").agg(F.max(F.struct(F.expr(room).alias("room"), "id")).alias("best")).select("ref", "best.room", F.col("best.id").alias("v"))
+    near = edits.where("not linked").join(roomy, "ref").where(f"{room} + room >= 0").select(F.col("id").alias("u"), "v")
+    # Edits a record shares at least with another one, if that one isn't linked, and if it isn't linked itself.
+    shared = F.expr(f"greatest(1, (d * {up + down} + (ref_size - size) * {down - up}) div {2 * (up + down)} + 1)")
+    shared = F.when(F.expr(f"d * {up + down} + (ref_size - size) * {down - up} < 0"), 1).otherwise(shared)
+    own = F.expr(f"greatest(1, d - (size * {down - up}) div {up})")
+    each = edits.select("ref", "id", "linked", (F.col("d") - shared + 1).alias("other_prefix"), (F.col("d") - own + 1).alias("own_prefix"), F.explode("edits").alias("e"))
+    each = stage(each, "each-edit")
+    ranked = each.join(each.groupBy("ref", "e").agg(F.count("*").alias("n")), ["ref", "e"])
+    place = F.row_number().over(Window.partitionBy("ref", "id").orderBy("n", "e"))
+    ranked = stage(ranked.withColumn("place", place).where("place <= other_prefix or (not linked and place <= own_prefix)"), "rare-edits")
+    x = ranked.where("not linked and place <= own_prefix").select("ref", "e", F.col("id").alias("x"))
+    y = ranked.where("place <= other_prefix").select("ref", "e", F.col("id").alias("y"))
+    pairs = x.join(y, ["ref", "e"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return direct.unionByName(near).unionByName(similar(pairs, table, up, down))
+
+
+def class_links(table: DataFrame, threshold: str) -> DataFrame:
+    """Links ``(u, v)`` that connect the classes that all similar pairs would connect."""
     share = Fraction(threshold)
     up, down = share.numerator, share.denominator
     for seed in [*range(SEEDS), None]:
@@ -217,38 +248,18 @@ def class_roots(table: DataFrame, threshold: str) -> DataFrame:
         if loads is not None:
             break
     keys = stage(pivot_keys(table, loads, up, down, seed), "pivot-keys")
-    refs = _with_reference(keys, F.count("*").alias("holders")).where("holders > 1")
-    held = stage(keys.join(refs, "key"), "held-keys")
-    every = held.count()
-    roots = connected(similar(_to_reference(held), table, up, down))
-    for turn in range(TURNS):
-        # Holders with the component of each, and for each key the component of most holders and the strays outside it.
-        rows = held.where("holders > 2").join(roots, "id", "left").select("key", "id", "holders", F.coalesce("root", "id").alias("root"))
-        rows = stage(rows, "holders")
-        tops = rows.groupBy("key", "root", "holders").agg(F.count("*").alias("n")).groupBy("key", "holders").agg(F.max(F.struct("n", "root")).alias("top"))
-        tops = tops.select("key", F.col("top.root").alias("top"), (F.col("holders") - F.col("top.n")).alias("strays"), (F.col("holders") - F.col("top.n")) * F.col("holders")).toDF("key", "top", "strays", "cost")
-        tops = stage(tops.where("strays > 0"), "tops")
-        cost = tops.agg(F.sum("cost")).first()[0] or 0
-        if cost <= WORTH * every or turn == TURNS - 1:
-            break
-        # Keys with many holders outside their largest component take one of these as a further reference.
-        left = rows.join(tops.where(f"strays > {WORTH}").select("key", "top"), "key").where("root <> top").select("key", "id")
-        more = similar(_to_reference(left.join(_with_reference(left), "key")), table, up, down)
-        roots = connected(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
-    if not cost:
-        return roots
-    strayed = small_side(rows.join(tops.select("key", "top"), "key").withColumn("stray", F.col("root") != F.col("top")), "strayed")
-    strayed = strayed.join(table.drop("tokens"), "id")
-    x, y = (strayed.select(*[F.col(c).alias(f"{side}_{c}") for c in strayed.columns]) for side in "xy")
-    met = x.where("x_stray").join(y, F.col("x_key") == F.col("y_key")).where(f"x_root <> y_root and (not y_stray or x_id < y_id) and {within('x_', 'y_', up, down)}")
-    pairs = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    return connected(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(similar(pairs, table, up, down)))
+    held = stage(keys.join(keys.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "key"), "held-keys")
+    cold = held.where(f"holders <= {COLD}").select("key", "id")
+    met = cold.select("key", F.col("id").alias("a")).join(cold.select("key", F.col("id").alias("b")), "key").where("a < b")
+    links = similar(met.select("a", "b").distinct(), table, up, down)
+    hot = held.where(f"holders > {COLD}").select("key", "id")
+    return links if hot.isEmpty() else links.unionByName(hot_links(hot, table, up, down))
 
 
 def groups(rows: DataFrame, item: str, hashes: str, threshold: str = "0.8") -> DataFrame:
     """``(id, group_id, group_size)`` for each id in a group of two or more; group_id is its smallest id."""
     members, classes = classes_of(sets_by_id(rows, item, hashes).withColumn("id", F.col("id").cast("bigint")))
-    roots = class_roots(stage(pivot_table(classes), "pivot-table"), threshold)
+    roots = connected(class_links(stage(pivot_table(classes), "pivot-table"), threshold))
     placed = members.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").select("id", F.coalesce("root", "class").alias("group_id"))
     placed = stage(placed, "placed")
     sizes = placed.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")

@@ -168,8 +168,10 @@ def groups_of(links, ids):
     return {(i, min(g)) for g in found.values() if len(g) > 1 for i in g}
 
 
-@pytest.mark.parametrize("seed", [6, 7])
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize(("seed", "cold"), [(6, 16), (7, 1), (8, 3)])
+def test_near_duplicates(spark, monkeypatch, seed, cold):
+    """Also with bands that count as hot from two records on."""
+    monkeypatch.setattr(near_dups, "COLD", cold)
     rnd = random.Random(seed)
     sets = make_sets(rnd, 90)
     hot = {rnd.randint(0, 2**32 - 1) for _ in range(40)}
@@ -190,10 +192,11 @@ def test_near_duplicates(spark, seed):
     assert all(r.group_size == sizes[r.group_id] for r in got)
 
 
-@pytest.mark.parametrize(("small", "threshold"), [(32, "0.8"), (4, "0.8"), (2, "0.9"), (32, "0.6")])
-def test_near_duplicates_of_all_sizes(spark, monkeypatch, small, threshold):
+@pytest.mark.parametrize(("small", "threshold", "cold"), [(32, "0.8", 16), (4, "0.8", 1), (2, "0.9", 2), (32, "0.6", 1)])
+def test_near_duplicates_of_all_sizes(spark, monkeypatch, small, threshold, cold):
     """Sizes on both sides of the tables' powers of two; with a small bound some records have too few filled bands at first."""
     monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "COLD", cold)
     rnd = random.Random(small)
     sets = []
     for size in [3, 5, 8, 14, 27, 30, 31, 33, 50, 62, 64, 66, 100, 126, 129, 140] * 3:
@@ -209,6 +212,30 @@ def test_near_duplicates_of_all_sizes(spark, monkeypatch, small, threshold):
     assert {(r.id, r.group_id) for r in near_dups.groups(df, "id", "hashes", threshold).collect()} == groups_of(links, range(len(sets)))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_hot_links_connect_what_all_pairs_connect(spark, seed):
+    """Records around one middle, most of them near the threshold, of several sizes, some by removals or additions only."""
+    rnd = random.Random(seed)
+    base = [rnd.randint(0, 2**32 - 1) for _ in range(50)]
+    extra = [rnd.randint(0, 2**32 - 1) for _ in range(12)]
+    sets = [set(base)]
+    for _ in range(150):
+        s = set(rnd.choice(sets)) if rnd.random() < 0.3 else set(base)
+        drop, add = rnd.choice([(0, 1), (1, 0), (0.5, 0.5)])
+        k = rnd.randint(0, 14)
+        s -= set(rnd.sample(sorted(s), int(k * drop)))
+        sets.append(s | {rnd.choice([rnd.choice(extra), rnd.randint(0, 2**32 - 1)]) for _ in range(int(k * add))})
+    sets = [set(s) for s in {frozenset(s) for s in sets}]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, tokens array<bigint>")
+    table = near_dups.stage(near_dups.pivot_table(df), "t")
+    links = near_dups.hot_links(spark.range(len(sets)).selectExpr("1L AS key", "id"), table, 4, 5)
+    similar = lambda a, b: jaccard(sets[a], sets[b])[0] * 5 >= jaccard(sets[a], sets[b])[1] * 4
+    got = [tuple(r) for r in links.collect()]
+    assert all(similar(*link) for link in got)
+    ids = range(len(sets))
+    assert groups_of(got, ids) == groups_of([(a, b) for a in ids for b in ids if a < b and similar(a, b)], ids)
+
+
 def test_similar_records_share_a_needed_band():
     """The guarantee behind the fine table, without the engine: of each record the least shared bands meet those of the other."""
     rng = np.random.default_rng(3)
