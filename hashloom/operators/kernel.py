@@ -3,8 +3,14 @@
 Where the queries are few enough to be sent to every executor, and so are the best rows of all that a
 task keeps (their hashes, number and limits are counted first), scoring needs neither postings nor a shuffle of hits: a block of documents and the
 queries of a scope form a table of scores, filled by one counting pass over the hashes they
-share, and only each query's best rows of a partition leave it. Beyond that bound ``search_docs``
-takes the join of ``operators.search`` instead. Both give the same rows.
+share, and only each query's best rows of a partition leave it.
+
+Batches of more queries than that are dealt to tasks, and each task reads the documents of its scopes, staged
+once, piece by piece (``best_of_all``). Hashes that many documents and many queries hold fill its tables of
+scores as a product of matrices, the others are added one by one. Cells below a query's least score, which rises
+with its best rows so far, are passed over; so a task ends with the final rows of its queries and no hit is shuffled.
+
+Caps of hashes and limits beyond ``MOST_LIMIT`` take the join of ``operators.search``. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,12 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.ints import U32_MAX
-from hashloom.operators.search import Batch, SearchOptions, batch, capped_postings, counted_postings, qualifying, ranked, scores
-from hashloom.runtime import Shared, small_side
+from hashloom.operators.search import MOST_LIMIT, Batch, SearchOptions, batch, capped_postings, counted_postings, qualifying, ranked, scores
+from hashloom.runtime import Shared, small_side, stage
 
 #: Hashes of all queries together that are sent to executors, at most.
 MOST_PROBES = 4_000_000
@@ -28,6 +36,14 @@ MOST_PROBES = 4_000_000
 MOST_KEPT = 4_000_000
 #: Cells of a score table and shared hashes counted in one step.
 CELLS = 4_000_000
+#: Queries that documents are brought to, at most; more are dealt to tasks that read the documents.
+MOST_QUERIES = 3_000
+#: Queries and their hashes that one such task takes, about.
+TASK_QUERIES, TASK_PROBES = 2_000, 1_000_000
+#: Cells of a score table there, which stays in the cache, and documents read at a time.
+TABLE_CELLS, READ_DOCS = 1_000_000, 4096
+#: A hash has a row in the product of matrices if it is shared by at least this part of all (document, query) pairs; rows at most.
+DENSE, MOST_DENSE = 1 / 700, 256
 
 
 @dataclass
@@ -128,8 +144,12 @@ def search_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | No
     way is taken: several rows of one id (in one scope) are one bag with the elements of all; rows whose id is null
     or no u32 are left out. ``ids (id, *scope)``: the ids of all rows, or more, where they are cheaper to read than ``docs``.
     """
-    asked = batch(queries, options or SearchOptions(), *scope)
-    return ranked(_found(docs, asked, options or SearchOptions(), scope, most_probes, max(asked.limit, 1), ids), asked)
+    options = options or SearchOptions()
+    asked = batch(queries, options, *scope)
+    many = asked.queries > MOST_QUERIES or asked.probes > most_probes or asked.queries * asked.limit > MOST_KEPT
+    if many and options.max_docs_per_hash is None and asked.limit <= MOST_LIMIT:
+        return best_of_all(whole_documents(docs, scope, ids), asked, scope)
+    return ranked(_found(docs, asked, options, scope, most_probes, max(asked.limit, 1), ids), asked)
 
 
 def search_all_docs(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, scope: tuple[str, ...] = (), most_probes: int = MOST_PROBES, ids: DataFrame | None = None) -> DataFrame:
@@ -169,3 +189,147 @@ def _found(docs: DataFrame, asked: Batch, options: SearchOptions, scope: tuple[s
     by_scope = {key: _probes(table.take(pa.array(numbers)), keep) for key, numbers in rows_of.items() if None not in key}
     found = whole_documents(docs, scope, ids)
     return found.mapInArrow(_score(Shared(docs.sparkSession, by_scope), len(scope)), "query_id bigint, id bigint, score bigint")
+
+
+class Best:
+    """The best rows so far of the queries of one scope, ``table (query_id, hashes, limit, min_score, score_pct)``."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.probes = _probes(table, None)
+        self.held = np.diff(self.probes.start)
+        self.limit, self.floor = (table.column(c).to_numpy().astype(np.int64) for c in ("limit", "min_score"))
+        # Greater ones leave the first row only, as this does; its product with a score fits 64 bits.
+        self.pct = np.clip(table.column("score_pct").to_numpy().astype(np.int64), 0, 1 << 30)
+        #: What a row must score to get among the best.
+        self.least = self.floor.copy()
+        self.query, self.packed = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.tables = 0, 0
+
+    def add(self, ids: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> None:
+        """Documents ``ids`` with their elements: u32 ``hashes``, ``row`` the document's place in ``ids``, ascending."""
+        probes, queries = self.probes, len(self.limit)
+        place = np.searchsorted(probes.hashes, hashes)
+        place[place == len(probes.hashes)] = 0
+        met = probes.hashes[place] == hashes
+        row, place = row[met], place[met]
+        if not len(row):
+            return
+        # Documents without a shared hash take no row of a table.
+        begins = np.r_[True, row[1:] != row[:-1]]
+        ids, row = ids[row[begins]], np.cumsum(begins) - 1
+        shared = np.bincount(place, minlength=len(self.held)) * self.held
+        dense = np.flatnonzero(shared >= max(DENSE * len(ids) * queries, 1))
+        dense = dense[np.argsort(-shared[dense], kind="stable")[:MOST_DENSE]]
+        # Sums of whole numbers below 2**24 are exact in 32 bits.
+        kind = np.float32 if np.bincount(row).max() < 1 << 24 else np.float64
+        column = np.full(len(self.held), -1)
+        column[dense] = np.arange(len(dense))
+        asked = np.zeros((len(dense), queries), kind)
+        for at, hash_place in enumerate(dense):
+            asked[at, probes.query[probes.start[hash_place] : probes.start[hash_place + 1]]] = 1
+        at = column[place]
+        bags = np.bincount(row[at >= 0] * len(dense) + at[at >= 0], minlength=len(ids) * len(dense)).reshape(len(ids), len(dense)).astype(kind)
+        row, place = row[at < 0], place[at < 0]
+        spent = np.r_[0, np.cumsum(self.held[place])]
+        docs = max(1, TABLE_CELLS // queries)
+        for begin in range(0, len(ids), docs):
+            end = min(begin + docs, len(ids))
+            table = bags[begin:end] @ asked
+            cells, (at, last) = table.reshape(-1), np.searchsorted(row, [begin, end])
+            while at < last:
+                upto = min(last, max(at + 1, int(np.searchsorted(spent, spent[at] + TABLE_CELLS, "right")) - 1))
+                counts = self.held[place[at:upto]]
+                entry = np.repeat(probes.start[place[at:upto]] - (spent[at:upto] - spent[at]), counts) + np.arange(counts.sum())
+                np.add.at(cells, np.repeat((row[at:upto] - begin) * queries, counts) + probes.query[entry], kind(1))
+                at = upto
+            self._take(table, ids[begin:end])
+
+    def _take(self, table: np.ndarray, ids: np.ndarray) -> None:
+        docs, queries = table.shape
+        self.tables += 1
+        if self.tables == 1:
+            # The k-th best of these documents bounds the k-th best of all from below.
+            some = np.flatnonzero(self.limit <= docs)
+            kth = np.sort(table, axis=0)[docs - self.limit[some], some].astype(np.int64)
+            self.least[some] = np.maximum(self.least[some], kth)
+        at = np.flatnonzero(table >= self.least.astype(table.dtype))
+        score, (row, query) = table.reshape(-1)[at].astype(np.int64), np.divmod(at, queries)
+        exact = score >= self.least[query]
+        self.more.append((query[exact], (score[exact] << 32) | (U32_MAX - ids[row[exact]])))
+        self.waiting += len(self.more[-1][0])
+        if self.waiting > max(2 * len(self.query), 100_000):
+            self._cut()
+
+    def _cut(self) -> np.ndarray:
+        """Keep what can be among the best rows; the kept rows' ranks from 0."""
+        query, packed = (np.concatenate(x) for x in zip((self.query, self.packed), *self.more, strict=True))
+        self.more, self.waiting = [], 0
+        order = np.lexsort((-packed, query))
+        query, packed = query[order], packed[order]
+        first = np.searchsorted(query, np.arange(len(self.limit)))
+        rank, score = np.arange(len(query)) - first[query], packed >> 32
+        cut = (score[first[query]] * self.pct[query]) // 100
+        keep = (rank < self.limit[query]) & ((rank == 0) | (score >= np.maximum(self.floor[query], cut)))
+        self.query, self.packed, rank = query[keep], packed[keep], rank[keep]
+        score, last = self.packed >> 32, rank == self.limit[self.query] - 1
+        self.least[self.query[last]] = np.maximum(self.least[self.query[last]], score[last])
+        # A later row may be the new first one, which no percentage cuts off.
+        best = np.flatnonzero(rank == 0)
+        of = self.query[best]
+        self.least[of] = np.maximum(self.least[of], np.minimum(score[best], score[best] * self.pct[of] // 100))
+        return rank
+
+    def rows(self) -> pa.RecordBatch:
+        rank = self._cut()
+        found = (self.probes.query_ids[self.query], U32_MAX - (self.packed & U32_MAX), self.packed >> 32, rank + 1)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "id", "score", "rank"])
+
+
+def _best(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        table = pa.Table.from_batches(parts) if parts else None
+        if not table or not table.num_rows:
+            return
+        numbers = table.column("_scope").to_numpy()
+        by_scope = {int(n): Best(table.filter(pa.array(numbers == n))) for n in np.unique(numbers)}
+        files, path = pafs.FileSystem.from_uri(folder)
+        schema = pa.schema([("_scope", pa.int32()), ("id", pa.int64()), ("hashes", pa.list_(pa.field("element", pa.int64())))])
+        docs = ds.dataset(path, schema=schema, filesystem=files, format="parquet")
+        wanted = (ds.field("_scope") >= int(numbers.min())) & (ds.field("_scope") <= int(numbers.max()))
+        for read in docs.to_batches(filter=wanted, batch_size=READ_DOCS, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            of = read.column(0).to_numpy()
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else []
+            begin = 0
+            for end in map(int, ends):
+                if best := by_scope.get(int(of[begin])):
+                    part = read.slice(begin, end - begin)
+                    flat, parent = part.column(2).flatten(), pc.list_parent_indices(part.column(2))
+                    valid = flat.is_valid()
+                    hashes = flat.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64) & U32_MAX
+                    best.add(part.column(1).to_numpy(), hashes, parent.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64))
+                begin = end
+        for best in by_scope.values():
+            yield best.rows()
+
+    return run
+
+
+def best_of_all(docs: DataFrame, asked: Batch, scope: tuple[str, ...]) -> DataFrame:
+    """Ranked ``(query_id, id, score, rank)`` over ``docs (id, hashes, *scope)`` with one row for each id of a scope, for any number of queries.
+
+    The documents are staged once, sorted by scope; executors read them from the shared folder.
+    """
+    frame = asked.frame.where("query_id is not null and limit > 0 and size(hashes) > 0")
+    if scope:
+        numbered = frame.select(*scope).distinct().withColumn("_scope", F.row_number().over(Window.orderBy(*scope)))
+        scopes = small_side(numbered, "scopes")
+        docs, frame = docs.join(scopes, list(scope)), frame.join(scopes, list(scope))
+    else:
+        docs, frame = (df.withColumn("_scope", F.lit(0)) for df in (docs, frame))
+    held = stage(docs.select("_scope", "id", F.col("hashes").cast("array<bigint>").alias("hashes")).repartition("_scope", F.col("id") % 64).sortWithinPartitions("_scope"), "documents")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-asked.queries // TASK_QUERIES), -(-asked.probes // TASK_PROBES), min(3 * cores, -(-asked.queries // 256)), 1)
+    dealt = frame.select("_scope", "query_id", "hashes", "limit", "min_score", "score_pct").repartitionByRange(tasks, "_scope", "query_id")
+    return dealt.mapInArrow(_best(held._staged_at), "query_id bigint, id bigint, score bigint, rank bigint")

@@ -264,6 +264,28 @@ def test_search_docs_equals_search(spark, monkeypatch, most_probes, cells):
     assert kernel.search_docs(docs, asked.limit(0), most_probes=most_probes).collect() == []
 
 
+@pytest.mark.parametrize(("cells", "dense", "task_queries"), [(10**6, 1 / 700, 2000), (1, 0, 7), (500, 2, 2000), (40, 0.02, 7)])
+def test_large_batches_keep_hits_in_their_tasks(spark, monkeypatch, cells, dense, task_queries):
+    """Many queries with limits aren't joined with postings; all hashes as matrix rows, none and some, one document a table and many."""
+    from hashloom.operators import kernel
+
+    def joined(*args):
+        raise AssertionError("hits are joined")
+
+    monkeypatch.setattr(kernel, "scores", joined)
+    for name, value in (("MOST_KEPT", 10), ("TABLE_CELLS", cells), ("DENSE", dense), ("TASK_QUERIES", task_queries), ("READ_DOCS", 16)):
+        monkeypatch.setattr(kernel, name, value)
+    rnd = random.Random(9)
+    bag = lambda n: [rnd.choice([None, -1, 1, 1, 2, *range(25), rnd.randint(0, 2**32 - 1)]) for _ in range(rnd.randint(0, n))]
+    docs = [(d, bag(40), rnd.choice(["a", "a", "b", None])) for d in rnd.sample(range(1000), 300)] + [(2000, None, "a"), (2001, [], "b"), (None, [1], "a"), (5000, [1, 2], "d")]
+    asked = [(q, bag(20), rnd.choice(["a", "a", "b", "c", None]), rnd.choice([None, 0, 1, 3, 100, 10**6]), rnd.choice([None, 0, 4, 10**12]), rnd.choice([None, -5, 0, 50, 100, 150, 10**15])) for q in range(60)]
+    docs = spark.createDataFrame(docs, "id bigint, hashes array<bigint>, part string").repartition(3)
+    asked = spark.createDataFrame([*asked, (90, None, "a", 1, 1, 1)], "query_id bigint, hashes array<bigint>, part string, limit bigint, min_score bigint, score_pct bigint")
+    for scope in ((), ("part",)):
+        want = sorted(map(tuple, search(counted_postings(docs.where("id is not null"), *scope), asked, scope=scope).collect()))
+        assert want and sorted(map(tuple, kernel.search_docs(docs, asked, scope=scope).collect())) == want
+
+
 @pytest.mark.parametrize(("most_probes", "most_kept"), [(10**6, 10**6), (0, 10**6), (10**6, 10)])
 def test_search_docs_with_repeated_and_invalid_ids(spark, monkeypatch, most_probes, most_kept):
     """Rows of one id are one bag and invalid ids are left out, whether scores are tabled or joined."""
