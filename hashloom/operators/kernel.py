@@ -39,7 +39,7 @@ CELLS = 4_000_000
 #: Queries that documents are brought to, at most; more are dealt to tasks that read the documents.
 MOST_QUERIES = 3_000
 #: Queries and their hashes that one such task takes, about.
-TASK_QUERIES, TASK_PROBES = 2_000, 1_000_000
+TASK_QUERIES, TASK_PROBES = 4_000, 1_000_000
 #: Cells of a score table there, which stays in the cache, and documents read at a time.
 TABLE_CELLS, READ_DOCS = 1_000_000, 4096
 #: A hash has a row in the product of matrices if it is shared by at least this part of all (document, query) pairs; rows at most.
@@ -206,23 +206,45 @@ class Best:
         self.more: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting, self.tables = 0, 0
 
-    def add(self, ids: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> None:
-        """Documents ``ids`` with their elements: u32 ``hashes``, ``row`` the document's place in ``ids``, ascending."""
-        probes, queries = self.probes, len(self.limit)
-        place = np.searchsorted(probes.hashes, hashes)
-        place[place == len(probes.hashes)] = 0
-        met = probes.hashes[place] == hashes
-        row, place = row[met], place[met]
+    def add(self, docs: pa.RecordBatch) -> None:
+        """Documents ``(_scope, id, hashes)``. None scores more than it has elements that the queries hold."""
+        probes = self.probes
+        sizes = pc.list_value_length(docs.column(2)).to_numpy(zero_copy_only=False)
+        long = sizes >= self.least.min()
+        if not long.any():
+            return
+        docs = docs if long.all() else docs.filter(pa.array(long))
+        open_ = self.least <= sizes.max()
+        ids, lists = docs.column(1).to_numpy(), docs.column(2)
+        flat, parent = lists.flatten(), pc.list_parent_indices(lists)
+        valid = flat.is_valid()
+        hashes = flat.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64) & U32_MAX
+        row = parent.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.flatnonzero(np.logical_or.reduceat(open_[probes.query], probes.start[:-1]))
+        known = probes.hashes[held]
+        place = np.searchsorted(known, hashes)
+        place[place == len(known)] = 0
+        met = known[place] == hashes
+        row, place = row[met], held[place[met]]
+        # Those that share most come first; those that share too little take no row of a table.
+        bound = np.bincount(row, minlength=len(ids))
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= self.least.min())]
+        number = np.full(len(ids), -1)
+        number[order] = np.arange(len(order))
+        row, place = number[row[number[row] >= 0]], place[number[row] >= 0]
+        by_row = np.argsort(row, kind="stable")
+        self._add(ids[order], bound[order], row[by_row], place[by_row])
+
+    def _add(self, ids: np.ndarray, bound: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        """Documents ``ids`` by how many elements they share, and these: the document's place in ``ids``, ascending, and the hash's place."""
         if not len(row):
             return
-        # Documents without a shared hash take no row of a table.
-        begins = np.r_[True, row[1:] != row[:-1]]
-        ids, row = ids[row[begins]], np.cumsum(begins) - 1
+        probes, queries = self.probes, len(self.limit)
         shared = np.bincount(place, minlength=len(self.held)) * self.held
         dense = np.flatnonzero(shared >= max(DENSE * len(ids) * queries, 1))
         dense = dense[np.argsort(-shared[dense], kind="stable")[:MOST_DENSE]]
         # Sums of whole numbers below 2**24 are exact in 32 bits.
-        kind = np.float32 if np.bincount(row).max() < 1 << 24 else np.float64
+        kind = np.float32 if bound[0] < 1 << 24 else np.float64
         column = np.full(len(self.held), -1)
         column[dense] = np.arange(len(dense))
         asked = np.zeros((len(dense), queries), kind)
@@ -232,33 +254,42 @@ class Best:
         bags = np.bincount(row[at >= 0] * len(dense) + at[at >= 0], minlength=len(ids) * len(dense)).reshape(len(ids), len(dense)).astype(kind)
         row, place = row[at < 0], place[at < 0]
         spent = np.r_[0, np.cumsum(self.held[place])]
-        docs = max(1, TABLE_CELLS // queries)
-        for begin in range(0, len(ids), docs):
-            end = min(begin + docs, len(ids))
-            table = bags[begin:end] @ asked
+        begin = 0
+        while begin < len(ids):
+            # Queries that a document sharing so much may still answer; later ones share less.
+            of = np.flatnonzero(self.least <= bound[begin])
+            if not len(of):
+                break
+            turned = np.full(queries, -1)
+            turned[of] = np.arange(len(of))
+            end = min(begin + max(1, TABLE_CELLS // len(of)), len(ids))
+            table = bags[begin:end] @ (asked if len(of) == queries else asked[:, of])
             cells, (at, last) = table.reshape(-1), np.searchsorted(row, [begin, end])
             while at < last:
                 upto = min(last, max(at + 1, int(np.searchsorted(spent, spent[at] + TABLE_CELLS, "right")) - 1))
                 counts = self.held[place[at:upto]]
                 entry = np.repeat(probes.start[place[at:upto]] - (spent[at:upto] - spent[at]), counts) + np.arange(counts.sum())
-                np.add.at(cells, np.repeat((row[at:upto] - begin) * queries, counts) + probes.query[entry], kind(1))
+                query = turned[probes.query[entry]]
+                np.add.at(cells, (np.repeat((row[at:upto] - begin) * len(of), counts) + query)[query >= 0], kind(1))
                 at = upto
-            self._take(table, ids[begin:end])
+            self._take(table, ids[begin:end], of)
+            begin = end
 
-    def _take(self, table: np.ndarray, ids: np.ndarray) -> None:
+    def _take(self, table: np.ndarray, ids: np.ndarray, of: np.ndarray) -> None:
+        """Cells of documents ``ids`` and queries ``of`` that can be among the best."""
         docs, queries = table.shape
         self.tables += 1
         if self.tables == 1:
             # The k-th best of these documents bounds the k-th best of all from below.
-            some = np.flatnonzero(self.limit <= docs)
-            kth = np.sort(table, axis=0)[docs - self.limit[some], some].astype(np.int64)
-            self.least[some] = np.maximum(self.least[some], kth)
-        at = np.flatnonzero(table >= self.least.astype(table.dtype))
+            some = np.flatnonzero(self.limit[of] <= docs)
+            kth = np.sort(table, axis=0)[docs - self.limit[of[some]], some].astype(np.int64)
+            self.least[of[some]] = np.maximum(self.least[of[some]], kth)
+        at = np.flatnonzero(table >= self.least[of].astype(table.dtype))
         score, (row, query) = table.reshape(-1)[at].astype(np.int64), np.divmod(at, queries)
-        exact = score >= self.least[query]
-        self.more.append((query[exact], (score[exact] << 32) | (U32_MAX - ids[row[exact]])))
+        exact = score >= self.least[of[query]]
+        self.more.append((of[query[exact]], (score[exact] << 32) | (U32_MAX - ids[row[exact]])))
         self.waiting += len(self.more[-1][0])
-        if self.waiting > max(2 * len(self.query), 100_000):
+        if self.waiting > max(2 * len(self.query), 20_000):
             self._cut()
 
     def _cut(self) -> np.ndarray:
@@ -304,11 +335,7 @@ def _best(folder: str):
             begin = 0
             for end in map(int, ends):
                 if best := by_scope.get(int(of[begin])):
-                    part = read.slice(begin, end - begin)
-                    flat, parent = part.column(2).flatten(), pc.list_parent_indices(part.column(2))
-                    valid = flat.is_valid()
-                    hashes = flat.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64) & U32_MAX
-                    best.add(part.column(1).to_numpy(), hashes, parent.filter(valid).to_numpy(zero_copy_only=False).astype(np.int64))
+                    best.add(read.slice(begin, end - begin))
                 begin = end
         for best in by_scope.values():
             yield best.rows()
@@ -319,7 +346,8 @@ def _best(folder: str):
 def best_of_all(docs: DataFrame, asked: Batch, scope: tuple[str, ...]) -> DataFrame:
     """Ranked ``(query_id, id, score, rank)`` over ``docs (id, hashes, *scope)`` with one row for each id of a scope, for any number of queries.
 
-    The documents are staged once, sorted by scope; executors read them from the shared folder.
+    The documents are staged once, by scope and size; executors read them from the shared folder. The large ones come
+    first, so that most queries soon need a score that most of the others are too small for.
     """
     frame = asked.frame.where("query_id is not null and limit > 0 and size(hashes) > 0")
     if scope:
@@ -328,7 +356,7 @@ def best_of_all(docs: DataFrame, asked: Batch, scope: tuple[str, ...]) -> DataFr
         docs, frame = docs.join(scopes, list(scope)), frame.join(scopes, list(scope))
     else:
         docs, frame = (df.withColumn("_scope", F.lit(0)) for df in (docs, frame))
-    held = stage(docs.select("_scope", "id", F.col("hashes").cast("array<bigint>").alias("hashes")).repartition("_scope", F.col("id") % 64).sortWithinPartitions("_scope"), "documents")
+    held = stage(docs.select("_scope", "id", F.col("hashes").cast("array<bigint>").alias("hashes")).repartition("_scope", F.col("id") % 64).sortWithinPartitions("_scope", F.size("hashes").desc()), "documents")
     cores = docs.sparkSession.sparkContext.defaultParallelism
     tasks = max(-(-asked.queries // TASK_QUERIES), -(-asked.probes // TASK_PROBES), min(3 * cores, -(-asked.queries // 256)), 1)
     dealt = frame.select("_scope", "query_id", "hashes", "limit", "min_score", "score_pct").repartitionByRange(tasks, "_scope", "query_id")
